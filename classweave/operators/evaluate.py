@@ -65,23 +65,22 @@ def score_counts(scored: DataFrame, score: str = "score",
     )
 
 
-def auc_from_counts(counts: DataFrame,
-                    window_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
+def rank_area() -> Column:
     """Area under the ROC curve by ranks; tied scores earn half credit.
 
-    A table with one class only has no area: the result is null.
+    An aggregate over counts that carry the running ``neg_upto``. A table with
+    one class only has no area: the result is null.
     """
-    ranked = running_totals(counts, "score", ["neg"], window_rows)
-    wins = F.col("pos") * (
-        F.col("neg_upto").cast("double") - F.col("neg") / 2)
+    wins = F.col("pos") * (F.col("neg_upto").cast("double") - F.col("neg") / 2)
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.agg(
-        (F.sum(wins) / F.nullif(pairs, F.lit(0.0))).alias("auc"))
+    return F.sum(wins) / F.nullif(pairs, F.lit(0.0))
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label",
         window_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
-    return auc_from_counts(score_counts(scored, score, label), window_rows)
+    counts = score_counts(scored, score, label)
+    ranked = running_totals(counts, "score", ["neg"], window_rows)
+    return ranked.agg(rank_area().alias("auc"))
 
 
 def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
@@ -130,13 +129,11 @@ def evaluate_model(model: Model, test: DataFrame, name: str = "model",
             F.count_if(~F.col("positive") & (F.col("prediction") == 1)).alias("fp"),
         )
     )
-    totals = counts.agg(
+    totals = running_totals(counts, "score", ["neg"]).agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
-        (F.sum("pos") - F.sum("tp")).alias("fn"))
-    area = auc_from_counts(counts).first()["auc"]
-    return rates(totals).select(
-        F.lit(name).alias("model"), "precision", "recall", "f1",
-        F.lit(area).cast("double").alias("auc"))
+        (F.sum("pos") - F.sum("tp")).alias("fn"), rank_area().alias("auc"))
+    return rates(totals, ["auc"]).select(
+        F.lit(name).alias("model"), "precision", "recall", "f1", "auc")
 
 
 def compare_models(models: dict[str, Model], test: DataFrame,

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.ml import Transformer
 from pyspark.ml.feature import (
-    Bucketizer,
     MinMaxScaler,
+    MinMaxScalerModel,
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
@@ -16,18 +16,20 @@ from pyspark.ml.feature import (
     VectorAssembler,
     VectorSlicer,
 )
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from classweave.functions.quantiles import finite, quantiles
+from classweave.functions.chi import chi_square, log_p_value
+from classweave.functions.quantiles import finite
 from classweave.operators.clean import Fences, Fills, sql_name
+from classweave.session import materialise
 
 # How many vector slots the selector keeps.
 TOP_SLOTS = 10
 
 MAX_CATEGORIES = 10_000
-DECILES = tuple(i / 10 for i in range(1, 10))
 
 
 # --- encoders as tables -----------------------------------------------------
@@ -52,6 +54,14 @@ def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "idx", (F.row_number().over(order) - 1).cast("double"))
 
 
+def fit_indexer(df: DataFrame, columns: Sequence[str],
+                unseen: str = "keep") -> StringIndexerModel:
+    """The same order as a fitted stage, all columns in one pass."""
+    return StringIndexer(
+        inputCols=list(columns), outputCols=[f"{c}_index" for c in columns],
+        handleInvalid=unseen).fit(df)
+
+
 def one_hot_columns(df: DataFrame, column: str, categories: Sequence[str],
                     drop_last: bool = True) -> dict[str, Column]:
     """One 0/1 column per category, the last left out as the baseline."""
@@ -85,21 +95,6 @@ def min_max_columns(df: DataFrame, columns: Sequence[str],
 
 # --- encoders as fitted stages ----------------------------------------------
 
-@dataclass(frozen=True)
-class FeatureStages:
-    """Fitted transformers that end in ``features``, and its slot names."""
-
-    stages: tuple[Transformer, ...]
-    slots: tuple[str, ...]
-    numeric_slots: int
-    binned: tuple[Transformer, ...]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        for stage in self.stages:
-            df = stage.transform(df)
-        return df
-
-
 def numeric_name(column: str) -> str:
     return f"{column}_num"
 
@@ -120,112 +115,214 @@ def clean_stage(fills: Fills, fences: Fences,
     ))
 
 
-def check_categories(df: DataFrame, columns: Sequence[str],
-                     limit: int = MAX_CATEGORIES) -> None:
-    """Refuse a column whose category list would not fit a model.
+@dataclass(frozen=True)
+class SlotTest:
+    slot: str
+    statistic: float
+    dof: int
+    log_p: float
+
+
+@dataclass(frozen=True)
+class Learned:
+    """All that encoding, scaling and selection need to know of the rows."""
+
+    ranges: dict[str, tuple[float, float]]
+    categories: dict[str, list[str]]
+    tests: dict[str, SlotTest]
+    class_counts: tuple[int, int]
+
+
+def bin_by_cuts(value: Column, cuts: Sequence[float]) -> Column:
+    """How many cuts the value reaches."""
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + (value >= F.lit(cut)).cast("int")
+    return number
+
+
+def feature_cells(df: DataFrame, cuts: dict[str, Sequence[float]],
+                  categorical: Sequence[str], label: str) -> DataFrame:
+    """Class counts and value range per (feature, bin or category).
+
+    One scan. Every task reduces its rows to one entry per cell before the
+    shuffle, so a category held by most rows costs no more than a rare one.
+    """
+    parts = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            bin_by_cuts(F.col(numeric_name(c)), inner).alias("bin"),
+            F.lit(None).cast("string").alias("category"),
+            F.col(numeric_name(c)).alias("value"),
+        )
+        for c, inner in cuts.items()
+    ] + [
+        F.struct(
+            F.lit(c).alias("feature"), F.lit(0).alias("bin"),
+            F.col(c).cast("string").alias("category"),
+            F.lit(None).cast("double").alias("value"),
+        )
+        for c in categorical
+    ]
+    return (
+        df.select((F.col(label) == 1).alias("one"),
+                  F.explode(F.array(*parts)).alias("s"))
+        .select("one", "s.*")
+        .groupBy("feature", "bin", "category")
+        .agg(F.count_if(~F.col("one")).alias("n0"),
+             F.count_if("one").alias("n1"),
+             F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+
+
+def learn(df: DataFrame, cuts: dict[str, Sequence[float]],
+          categorical: Sequence[str], label: str,
+          max_categories: int = MAX_CATEGORIES) -> Learned:
+    """Ranges, category order and slot tests from one grouped scan.
 
-    The list is learned on the driver and shipped to every task, so its size
-    is checked before any encoder is fitted.
+    The cells are written first and counted; a column with more categories
+    than a model can hold is refused before anything reaches the driver.
     """
-    if not columns:
-        return
-    row = df.agg(
-        *(F.approx_count_distinct(c).alias(c) for c in columns)
-    ).first()
-    wide = {c: row[c] for c in columns if row[c] > limit}
+    cells = materialise(feature_cells(df, cuts, categorical, label))
+    sizes = cells.groupBy("feature").count().collect()  # one row per feature
+    wide = {r["feature"]: r["count"] for r in sizes
+            if r["count"] > max_categories}
     if wide:
         raise ValueError(f"too many categories to one-hot encode: {wide}")
+    if not sizes:
+        raise ValueError("no labelled row lies inside the fences")
+    by_feature: dict[str, list] = {}
+    for row in cells.collect():
+        by_feature.setdefault(row["feature"], []).append(row)
+    return _digest(by_feature, cuts, categorical)
 
 
-def fit_indexer(df: DataFrame, columns: Sequence[str],
-                unseen: str = "keep") -> StringIndexerModel:
-    """One pass for all columns: most frequent category first, ties by name."""
-    return StringIndexer(
-        inputCols=list(columns), outputCols=[f"{c}_index" for c in columns],
-        handleInvalid=unseen).fit(df)
+def _digest(by_feature: dict[str, list], cuts: dict[str, Sequence[float]],
+            categorical: Sequence[str]) -> Learned:
+    first = next(iter(by_feature.values()))
+    totals = (sum(r["n0"] for r in first), sum(r["n1"] for r in first))
+    ranges, categories, tests = {}, {}, {}
+
+    def add_test(slot: str, table: list[tuple[int, int]]) -> None:
+        statistic, dof = chi_square(table)
+        tests[slot] = SlotTest(slot, statistic, dof,
+                               log_p_value(statistic, dof))
+
+    for c in cuts:
+        rows = by_feature[c]
+        ranges[c] = (min(r["low"] for r in rows), max(r["high"] for r in rows))
+        add_test(numeric_slot(c), [(r["n0"], r["n1"]) for r in rows])
+    for c in categorical:
+        known = [r for r in by_feature[c] if r["category"] is not None]
+        known.sort(key=lambda r: (-(r["n0"] + r["n1"]), r["category"]))
+        categories[c] = [r["category"] for r in known]
+        for r in known:
+            inside = (r["n0"], r["n1"])
+            outside = (totals[0] - r["n0"], totals[1] - r["n1"])
+            add_test(category_slot(c, r["category"]), [inside, outside])
+    return Learned(ranges, categories, tests, totals)
+
+
+def numeric_slot(column: str) -> str:
+    return f"{column}_scaled"
+
+
+def category_slot(column: str, category: str) -> str:
+    return f"{column}={category}"
+
+
+@dataclass(frozen=True)
+class FeatureStages:
+    """Transformers that end in ``features``, and the names of its slots."""
+
+    stages: tuple[Transformer, ...]
+    slots: tuple[str, ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for stage in self.stages:
+            df = stage.transform(df)
+        return df
+
 
+def index_stages(categories: dict[str, list[str]],
+                 unseen: str) -> list[StringIndexerModel]:
+    """One model per column: the many-column builder pads short lists."""
+    return [
+        StringIndexerModel.from_labels(
+            labels, inputCol=c, outputCol=f"{c}_index", handleInvalid=unseen)
+        for c, labels in categories.items()
+    ]
 
-def fit_features(df: DataFrame, numeric: Sequence[str],
-                 categorical: Sequence[str], unseen: str = "keep",
-                 max_categories: int = MAX_CATEGORIES) -> FeatureStages:
-    """Fit encoder and scaler, one multi-column stage each.
+
+def scale_stage(df: DataFrame,
+                ranges: dict[str, tuple[float, float]]) -> MinMaxScalerModel:
+    """A scaler is its minima and maxima, so two rows of those fit it."""
+    extremes = df.sparkSession.createDataFrame([
+        (Vectors.dense([low for low, _ in ranges.values()]),),
+        (Vectors.dense([high for _, high in ranges.values()]),),
+    ], ["numeric_vec"])
+    return MinMaxScaler(
+        inputCol="numeric_vec", outputCol="scaled_vec").fit(extremes)
+
+
+def feature_stages(df: DataFrame, learned: Learned,
+                   unseen: str = "keep") -> FeatureStages:
+    """Indexers, one encoder and one scaler; none of them reads ``df``.
 
     ``unseen="keep"`` sends a category not met in training to a slot that
     encodes as all zeros. ``unseen="error"`` rejects it and drops the least
     frequent known category instead.
     """
-    numeric, categorical = list(numeric), list(categorical)
-    check_categories(df, categorical, max_categories)
+    numeric = list(learned.ranges)
     stages: list[Transformer] = []
-    slots = [f"{c}_scaled" for c in numeric]
+    slots = [numeric_slot(c) for c in numeric]
+    vec_names: list[str] = []
+    if learned.categories:
+        stages += index_stages(learned.categories, unseen)
+        indexed = df
+        for stage in stages:
+            indexed = stage.transform(indexed)
+        vec_names = [f"{c}_vec" for c in learned.categories]
+        # sizes come from the indexers' column metadata, not from the rows
+        stages.append(OneHotEncoder(
+            inputCols=[f"{c}_index" for c in learned.categories],
+            outputCols=vec_names, handleInvalid="error").fit(indexed))
+        for c, labels in learned.categories.items():
+            kept = labels if unseen == "keep" else labels[:-1]
+            slots += [category_slot(c, label) for label in kept]
     assembled = VectorAssembler(
         inputCols=[numeric_name(c) for c in numeric], outputCol="numeric_vec")
-    scaler = MinMaxScaler(inputCol="numeric_vec", outputCol="scaled_vec").fit(
-        assembled.transform(df))
-    if categorical:
-        indexer = fit_indexer(df, categorical, unseen)
-        index_names = indexer.getOutputCols()
-        vec_names = [f"{c}_vec" for c in categorical]
-        # sizes come from the indexer's column metadata: no pass over the rows
-        encoder = OneHotEncoder(
-            inputCols=index_names, outputCols=vec_names,
-            handleInvalid="error").fit(indexer.transform(df))
-        stages += [indexer, encoder]
-        for c, labels in zip(categorical, indexer.labelsArray):
-            kept = labels if unseen == "keep" else labels[:-1]
-            slots += [f"{c}={label}" for label in kept]
-    else:
-        vec_names = []
     features = VectorAssembler(
         inputCols=["scaled_vec", *vec_names], outputCol="features")
-    binned = VectorAssembler(
-        inputCols=[*(f"{c}_bin" for c in numeric), *vec_names],
-        outputCol="binned")
     return FeatureStages(
-        stages=(*stages, assembled, scaler, features),
-        slots=tuple(slots),
-        numeric_slots=len(numeric),
-        binned=(binned,),
-    )
+        (*stages, assembled, scale_stage(df, learned.ranges), features),
+        tuple(slots))
 
 
 # --- selection --------------------------------------------------------------
 
-def decile_bins(df: DataFrame, numeric: Sequence[str],
-                relative_error: float = 0.001) -> Bucketizer:
-    """Bin every numeric column at its deciles: one quantile job for all."""
-    columns = [numeric_name(c) for c in numeric]
-    found = quantiles(df, columns, DECILES, relative_error)
-    splits = []
-    for c in columns:
-        inner = sorted(set(found[c] or [0.0]))
-        splits.append([float("-inf"), *inner, float("inf")])
-    return Bucketizer(
-        splitsArray=splits, inputCols=columns,
-        outputCols=[f"{c}_bin" for c in numeric])
+def select_slots(learned: Learned, slots: Sequence[str],
+                 top: int = TOP_SLOTS) -> list[int]:
+    """Slots with the smallest p-values; equal ones in slot order."""
+    order = sorted(range(len(slots)),
+                   key=lambda i: (learned.tests[slots[i]].log_p, i))
+    return sorted(order[:top])
 
 
 def chi_square_tests(df: DataFrame, features: str, label: str) -> DataFrame:
-    """One row per vector slot: pValue, degreesOfFreedom, statistic."""
+    """MLlib's test: one row per slot of a vector of discrete values."""
     return ChiSquareTest.test(df, features, label, True)
 
 
-def select_slots(df: DataFrame, features: str = "binned",
-                 label: str = "label", top: int = TOP_SLOTS,
-                 ties: str = "statistic") -> list[int]:
-    """Slots with the smallest p-values.
+def select_slots_by_value(df: DataFrame, features: str = "features",
+                          label: str = "label",
+                          top: int = TOP_SLOTS) -> list[int]:
+    """Rank slots with every distinct value as a category of its own.
 
-    On a large table many p-values reach zero. ``ties="statistic"`` then keeps
-    the slots with the larger statistic per degree of freedom;
-    ``ties="slot"`` keeps the earlier ones.
+    MLlib refuses above 10,000 values per slot, so this suits small tables.
     """
-    tests = chi_square_tests(df, features, label)
-    strength = F.col("statistic") / F.greatest(
-        F.col("degreesOfFreedom"), F.lit(1))
-    order = [F.asc("pValue")]
-    if ties == "statistic":
-        order.append(F.desc(strength))
-    chosen = tests.orderBy(*order, "featureIndex").limit(top)
+    chosen = chi_square_tests(df, features, label).orderBy(
+        "pValue", "featureIndex").limit(top)
     return sorted(r["featureIndex"] for r in chosen.collect())
 
 
@@ -239,8 +336,9 @@ def chi_square_table(df: DataFrame, features: Sequence[str],
                      label: str) -> DataFrame:
     """Statistic and degrees of freedom of each discrete column, as a table.
 
-    The contingency counts are the only shuffle; a table of (column, value,
-    label) cells is small however many rows stand behind each cell.
+    ``label`` is 0/1 or boolean. Rows shrink to a pair of class counts per
+    (feature, value); those are compared with the class totals per feature,
+    a table of one row per column that is small enough to broadcast.
     """
     pairs = F.array(*(
         F.struct(F.lit(c).alias("feature"),
@@ -248,24 +346,30 @@ def chi_square_table(df: DataFrame, features: Sequence[str],
         for c in features
     ))
     cells = (
-        df.select(F.col(label).alias("label"), F.explode(pairs).alias("s"))
-        .select("label", "s.*")
-        .filter(F.col("value").isNotNull() & F.col("label").isNotNull())
-        .groupBy("feature", "value", "label")
-        .agg(F.count("*").cast("double").alias("o"))
-    )
-    by_row = Window.partitionBy("feature", "value")
-    by_col = Window.partitionBy("feature", "label")
-    total = Window.partitionBy("feature")
-    margins = cells.select(
-        "feature", "value", "label", "o",
-        F.sum("o").over(by_row).alias("r"),
-        F.sum("o").over(by_col).alias("c"),
-        F.sum("o").over(total).alias("t"),
+        df.filter(F.col(label).isNotNull())
+        .select(F.col(label).cast("boolean").alias("one"),
+                F.explode(pairs).alias("s"))
+        .select("one", "s.*")
+        .filter(F.col("value").isNotNull())
+        .groupBy("feature", "value")
+        .agg(F.count_if(~F.col("one")).cast("double").alias("n0"),
+             F.count_if("one").cast("double").alias("n1"))
     )
-    share = F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c")))
-    return margins.groupBy("feature").agg(
-        (F.max("t") * (share - 1)).alias("statistic"),
-        ((F.count_distinct("value") - 1)
-         * (F.count_distinct("label") - 1)).alias("dof"),
+    totals = cells.groupBy("feature").agg(
+        F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    row = F.col("n0") + F.col("n1")
+    whole = F.col("t0") + F.col("t1")
+
+    def part(seen: str, total: str) -> Column:
+        expected = row * F.col(total) / whole
+        return F.coalesce(
+            F.pow(F.col(seen) - expected, 2) / F.nullif(expected, F.lit(0.0)),
+            F.lit(0.0))
+
+    two_classes = F.when((F.max("t0") > 0) & (F.max("t1") > 0), 1).otherwise(0)
+    return (
+        cells.join(F.broadcast(totals), "feature")
+        .groupBy("feature")
+        .agg(F.sum(part("n0", "t0") + part("n1", "t1")).alias("statistic"),
+             ((F.count(F.lit(1)) - 1) * two_classes).alias("dof"))
     )

@@ -40,10 +40,15 @@ def measure_balance(df: DataFrame, label: str = "label") -> Balance:
         df.filter(F.col(label).isNotNull()).groupBy(label).count()
         .limit(3).collect()
     )
-    if len(counted) != 2:
-        raise ValueError(f"balancing needs two classes, found {len(counted)}")
-    low, high = sorted(counted, key=lambda r: (r["count"], r[label]))
-    return Balance(high[label], high["count"], low[label], low["count"])
+    return balance_of({r[label]: r["count"] for r in counted})
+
+
+def balance_of(counts: dict[float, int]) -> Balance:
+    held = [(n, value) for value, n in counts.items() if n]
+    if len(held) != 2:
+        raise ValueError(f"balancing needs two classes, found {len(held)}")
+    (few, minority), (many, majority) = sorted(held)
+    return Balance(majority, many, minority, few)
 
 
 def _kept(balance: Balance, key: Sequence[str], label: str, seed: int) -> Column:

@@ -116,8 +116,10 @@ def feature_vector(spark, sf_dir):
     numeric = s.LINES.numeric
     typed = features.clean_stage(
         clean.Fills({c: 0.0 for c in numeric}), clean.Fences(())
-    ).transform(rows)
-    fitted = features.fit_features(typed, numeric, s.LINES.categorical)
+    ).transform(rows.withColumn("label", F.lit(0.0)))
+    learned = features.learn(
+        typed, {c: [] for c in numeric}, s.LINES.categorical, "label")
+    fitted = features.feature_stages(typed, learned)
     slots = F.array(*(F.lit(n) for n in fitted.slots))
     return (
         fitted.transform(typed)

@@ -116,18 +116,16 @@ def lr_score_fixed(spark, sf_dir):
 
 # --- trained ----------------------------------------------------------------
 
-def _spread(spark: SparkSession) -> int:
+def _cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
 def _training_set(spark, sf_dir, **options) -> training.TrainingSet:
-    return training.build_training_set(
-        s.lines(spark, sf_dir), s.LINES, spread=_spread(spark), **options)
+    return training.build_training_set(s.lines(spark, sf_dir), s.LINES, **options)
 
 
 def _trained(spark, sf_dir) -> PipelineModel:
-    return training.train_model(
-        s.lines(spark, sf_dir), s.LINES, spread=_spread(spark))
+    return training.train_model(s.lines(spark, sf_dir), s.LINES)
 
 
 @register("model_compare")
@@ -153,7 +151,7 @@ def cv_grid(spark, sf_dir):
         estimator = models.logistic_regression()
         return models.cross_validate(
             data.train, estimator, models.logistic_grid(estimator),
-            parallelism=_spread(spark)).table(spark)
+            parallelism=_cores(spark)).table(spark)
     finally:
         data.release()
 
@@ -166,7 +164,7 @@ def cv_best_model(spark, sf_dir):
         estimator = models.logistic_regression()
         tuned = models.cross_validate(
             data.train, estimator, models.logistic_grid(estimator),
-            parallelism=_spread(spark))
+            parallelism=_cores(spark))
         name = models.describe_params(tuned.best_params)
         return evaluate.evaluate_model(tuned.best_model, data.test, name)
     finally:

@@ -16,7 +16,10 @@ from classweave.operators import clean, features, sampling
 from classweave.operators.models import logistic_regression
 from classweave.spec import FeatureSpec
 
-QUARTILES_AND_MEDIAN = (0.25, 0.5, 0.75)
+DECILES = tuple(i / 10 for i in range(1, 10))
+SKETCHED = tuple(sorted({0.25, 0.5, 0.75, *DECILES}))
+SMALL_TASK_ROWS = 25_000
+LARGE_TASK_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -26,6 +29,7 @@ class Prep:
     spec: FeatureSpec
     fences: clean.Fences
     fills: clean.Fills
+    learned: features.Learned = field(repr=False)
     slots: tuple[str, ...]
     selected: tuple[int, ...]
     stages: tuple[Transformer, ...] = field(repr=False)
@@ -42,49 +46,49 @@ class Prep:
 
 
 def fit_prep(train: DataFrame, spec: FeatureSpec, *,
-             relative_error: float = 0.05, skip_flat: bool = False,
+             relative_error: float = 0.01, skip_flat: bool = False,
              unseen: str = "keep", top: int = features.TOP_SLOTS,
-             ties: str = "statistic", binned: bool = True) -> Prep:
+             max_categories: int = features.MAX_CATEGORIES,
+             binned: bool = True) -> Prep:
     """Learn fences, fills, encoders, scaler and slots from training rows.
 
-    Four narrow scans of the inputs: quartiles and medians; category and value
-    ranges of the rows inside the fences; their deciles; the contingency
-    counts. Each reads the feature columns only.
+    Two narrow scans. The first sketches quartiles, medians and deciles of the
+    raw columns. The second groups the rows inside the fences by bin or
+    category; its counts give category order, value ranges, class totals and
+    the chi-square tests, so no stage is fitted on the rows again.
 
     ``binned=False`` tests the scaled values themselves, each value a category
-    of its own, which MLlib refuses above 10,000 values per slot.
+    of its own, as a third scan that only a small table can take.
     """
     rows = spec.with_label(train).select(*spec.inputs, "label")
-    found = quantiles(rows, spec.numeric, QUARTILES_AND_MEDIAN, relative_error)
-    fences = clean.fences_from(found, spec.numeric, skip_flat, low=0, high=2)
+    found = quantiles(rows, spec.numeric, SKETCHED, relative_error)
+    at = {p: i for i, p in enumerate(SKETCHED)}
+    fences = clean.fences_from(
+        found, spec.numeric, skip_flat, low=at[0.25], high=at[0.75])
     fills = clean.fills_from({
-        c: found[c][1] if found[c] else None for c in spec.numeric})
+        c: found[c][at[0.5]] if found[c] else None for c in spec.numeric})
+    cuts = {
+        c: sorted({found[c][at[p]] for p in DECILES}) if found[c] else []
+        for c in spec.numeric
+    }
     first = features.clean_stage(fills, fences)
     inside = (
         first.transform(rows)
         .filter(~F.col("is_outlier") & F.col("label").isNotNull())
     )
-    fitted = features.fit_features(
-        inside, spec.numeric, spec.categorical, unseen)
+    learned = features.learn(
+        inside, cuts, spec.categorical, "label", max_categories)
+    fitted = features.feature_stages(inside, learned, unseen)
     if binned:
-        ready = inside
-        for stage in (features.decile_bins(inside, spec.numeric),
-                      *fitted.stages[:_encoders(spec)], *fitted.binned):
-            ready = stage.transform(ready)
-        tested = "binned"
+        selected = features.select_slots(learned, fitted.slots, top)
     else:
-        ready, tested = fitted.transform(inside), "features"
-    selected = features.select_slots(ready, tested, "label", top, ties)
+        selected = features.select_slots_by_value(
+            fitted.transform(inside), top=top)
     slicer = features.slot_slicer(selected)
-    return Prep(spec, fences, fills, fitted.slots, tuple(selected),
+    return Prep(spec, fences, fills, learned, fitted.slots, tuple(selected),
                 (first, *fitted.stages, slicer))
 
 
-def _encoders(spec: FeatureSpec) -> int:
-    """Indexer and one-hot encoder lead the fitted stages when present."""
-    return 2 if spec.categorical else 0
-
-
 def prepare(df: DataFrame, prep: Prep, drop_outliers: bool = True,
             extra: Sequence[str] = ()) -> DataFrame:
     """Key, label and both vectors, ready to fit or evaluate."""
@@ -103,41 +107,68 @@ class TrainingSet:
     train: DataFrame
     test: DataFrame
     balance: sampling.Balance
+    source: DataFrame = field(repr=False)
 
     def release(self) -> None:
-        self.train.unpersist()
-        self.test.unpersist()
+        for held in (self.train, self.test, self.source):
+            held.unpersist()
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal out and hold an input that has fewer splits than there are cores.
+
+    Such an input is small, at most one split per core, and would otherwise
+    be read by a few tasks in every pass. A larger one is returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def partitions_for(rows: int, cores: int) -> int:
+    """Enough tasks to use the cores, none of them tiny or huge.
+
+    Iterative training starts a task per partition in every step, so a small
+    set gets few; a large one gets partitions that fit in memory.
+    """
+    most = -(-rows // SMALL_TASK_ROWS)
+    least = -(-rows // LARGE_TASK_ROWS)
+    return max(1, min(most, max(cores, least)))
 
 
 def build_training_set(df: DataFrame, spec: FeatureSpec, *,
-                       folds: int | None = None, spread: int | None = None,
-                       **options) -> TrainingSet:
+                       folds: int | None = None, **options) -> TrainingSet:
     """Split first, learn preparation on the training part, balance only it.
 
+    ``df`` should come from storage, so that counting its splits runs nothing.
+
     The two prepared sets hold a ten-slot vector and a label per row, and
     iterative training reads them many times, so they are persisted. They are
     pure functions of the input: a lost block is computed again the same.
-    ``spread`` repartitions them when the input has too few splits to occupy
-    the cores; a large input has enough.
+    Balancing leaves the input's partitions uneven, so the narrow training
+    rows are dealt out once before the many passes over them.
     """
-    raw_train, raw_test = sampling.split(df, spec.key)
+    source = spread_small(df.select(*spec.columns))
+    raw_train, raw_test = sampling.split(source, spec.key)
     prep = fit_prep(raw_train, spec, **options)
     ready = prepare(raw_train, prep)
-    balance = sampling.measure_balance(
-        prep.fences.filter(spec.with_label(raw_train)))
+    balance = sampling.balance_of({
+        0.0: prep.learned.class_counts[0], 1.0: prep.learned.class_counts[1]})
     train = sampling.balance_classes(ready, spec.key, balance=balance)
     if folds:
         train = sampling.with_fold(train, spec.key, folds)
     kept = ["selectedFeatures", "label", *(["fold"] if folds else [])]
     train = train.select(*kept)
     test = prepare(raw_test, prep).select("selectedFeatures", "label")
-    if spread:
-        train, test = train.repartition(spread), test.repartition(spread)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    train = train.repartition(partitions_for(2 * balance.minority_count, cores))
     return TrainingSet(
         prep,
         train.persist(StorageLevel.MEMORY_AND_DISK),
         test.persist(StorageLevel.MEMORY_AND_DISK),
         balance,
+        source,
     )
 
 

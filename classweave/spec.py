@@ -30,6 +30,11 @@ class FeatureSpec:
     def inputs(self) -> tuple[str, ...]:
         return self.numeric + self.categorical
 
+    @property
+    def columns(self) -> list[str]:
+        """Every column training reads, each once."""
+        return list(dict.fromkeys((*self.key, *self.inputs, self.label)))
+
     def label_column(self) -> Column:
         """0.0 / 1.0 with the mapping pinned, whatever the class frequencies."""
         text = F.col(self.label)
