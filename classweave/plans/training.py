@@ -18,7 +18,7 @@ from classweave.spec import FeatureSpec
 
 DECILES = tuple(i / 10 for i in range(1, 10))
 SKETCHED = tuple(sorted({0.25, 0.5, 0.75, *DECILES}))
-SMALL_TASK_ROWS = 25_000
+SMALL_TASK_ROWS = 100_000
 LARGE_TASK_ROWS = 2_000_000
 
 

@@ -47,8 +47,16 @@ class FeatureSpec:
         return df.withColumn(name, self.label_column())
 
 
+_TYPES = {
+    "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(), "TIMESTAMP": T.TimestampType(),
+}
+
+
 def parse_schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """``name TYPE, ...`` as nullable fields; needs no running session."""
+    pairs = (item.split() for item in ddl.split(","))
+    return T.StructType([T.StructField(n, _TYPES[kind]) for n, kind in pairs])
 
 
 # The employee record, its order, types and column roles.
