@@ -1,15 +1,20 @@
-"""Running totals over a whole table without one task sorting all of it."""
+"""Ranks and running totals of a whole table, with no task sorting all of it."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from classweave.session import materialise
+
 SINGLE_WINDOW_ROWS = 2_000_000
 
+# ``monotonically_increasing_id``: partition in the upper bits, row in these
+ROW_BITS = 33
+
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str],
                    window_rows: int = SINGLE_WINDOW_ROWS,
@@ -60,3 +65,23 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
               .alias(f"{c}_upto") for c in sums),
         )
     )
+
+
+def global_rank(df: DataFrame, order: Sequence[Column | str],
+                name: str = "rank") -> DataFrame:
+    """Add the row's position, from zero, in the order of unique sort keys.
+
+    Spark sorts by range, so every partition holds one stretch of the order.
+    The sorted rows are written with their place in their partition; adding
+    the sizes of the partitions before it makes the place global.
+    """
+    placed = materialise(
+        df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", ROW_BITS))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per sorted partition, so the window and the broadcast are small
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("n")).select(
+        "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    row = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return placed.join(F.broadcast(offsets), "_part").select(
+        *df.columns, (F.col("_before") + row).alias(name))

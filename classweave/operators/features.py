@@ -18,11 +18,12 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from classweave.functions.chi import chi_square, log_p_value
 from classweave.functions.quantiles import finite
+from classweave.functions.running import global_rank
 from classweave.operators.clean import Fences, Fills, sql_name
 from classweave.session import materialise
 
@@ -37,7 +38,8 @@ MAX_CATEGORIES = 10_000
 def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, category, n, idx): most frequent first, ties by name.
 
-    Rows shrink to one per category before the ranking window sees them.
+    Rows shrink to one per category, and a distributed sort ranks those, so a
+    column of mostly distinct values is indexed as well as a short list.
     """
     pairs = F.array(*(
         F.struct(F.lit(c).alias("column"),
@@ -49,9 +51,12 @@ def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .filter(F.col("category").isNotNull())
         .groupBy("column", "category").agg(F.count("*").alias("n"))
     )
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "category")
-    return counts.withColumn(
-        "idx", (F.row_number().over(order) - 1).cast("double"))
+    ranked = global_rank(counts, ["column", F.desc("n"), "category"])
+    starts = ranked.groupBy("column").agg(F.min("rank").alias("start"))
+    # one row per indexed column
+    return ranked.join(F.broadcast(starts), "column").select(
+        "column", "category", "n",
+        (F.col("rank") - F.col("start")).cast("double").alias("idx"))
 
 
 def fit_indexer(df: DataFrame, columns: Sequence[str],

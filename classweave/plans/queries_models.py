@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,6 +173,25 @@ def cv_best_model(spark, sf_dir):
         data.release()
 
 
+@register("tune_models")
+def tune_models(spark, sf_dir):
+    """A grid search for each family, on fewer trees and rounds than training."""
+    data = _training_set(spark, sf_dir, folds=2)
+    try:
+        tuned = models.tune_all(
+            data.train, folds=2, parallelism=_cores(spark),
+            **{"Random Forest": {"numTrees": 10},
+               "Gradient Boosting": {"maxIter": 2},
+               "Logistic Regression": {"maxIter": 10}})
+        tables = [
+            found.table(spark).withColumn("model", F.lit(name))
+            for name, found in tuned.items()
+        ]
+        return reduce(DataFrame.unionByName, tables)
+    finally:
+        data.release()
+
+
 # --- scoring ----------------------------------------------------------------
 
 _COUNTS_SQL = """

@@ -61,6 +61,15 @@ def test_running_totals(spark, window_rows):
     assert len(rows) == 500
 
 
+def test_global_rank(spark):
+    df = spark.range(3000).select(
+        (F.col("id") % 3).alias("a"), (F.col("id") * 17 % 3000).alias("b"))
+    rows = running.global_rank(df.repartition(6), [F.desc("a"), "b"]).collect()
+    assert len(rows) == 3000
+    in_order = sorted(rows, key=lambda r: (-r["a"], r["b"]))
+    assert [r["rank"] for r in in_order] == list(range(3000))
+
+
 def test_hash_is_the_same_under_any_partitioning(spark):
     base = spark.range(4000).withColumnRenamed("id", "key")
     kept = [
