@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from classweave.functions.hashing import fold_number
-from classweave.operators import clean, features, sampling
+from classweave.operators import clean, features, oversample, sampling
 from classweave.plans import standins as s
 from classweave.plans.queries_profile import hash_sql
 from classweave.plans.registry import register
@@ -252,3 +252,41 @@ def fold_assign(spark, sf_dir):
     return s.table(spark, sf_dir, "orders").select(
         "o_orderkey",
         fold_number(["o_orderkey"], sampling.FOLD_SEED, 5).alias("fold"))
+
+
+def _synthetic_orders(spark, sf_dir):
+    rows = s.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        array_to_vector(F.array(
+            F.col("o_totalprice") / 500000, F.col("o_custkey") / F.lit(1e5),
+            F.month("o_orderdate") / F.lit(12.0))).alias("features"),
+        (F.col("o_totalprice") > 400000).cast("double").alias("label"))
+    balance = sampling.measure_balance(rows)
+    return rows, oversample.synthetic_minority(
+        rows, balance, "o_orderkey", size=3)
+
+
+@register("smote_counts", f"""
+    WITH c AS (SELECT *, j / m - 1 - floor(j / m - 1) AS part, floor(j / m - 1) AS whole
+               FROM (SELECT count(*) FILTER (o_totalprice > 400000) AS m,
+                            count(*) FILTER (o_totalprice <= 400000) AS j FROM orders))
+    SELECT label, sum(n)::BIGINT AS n FROM (
+        SELECT (o_totalprice > 400000)::INTEGER::DOUBLE AS label,
+               CASE WHEN o_totalprice <= 400000 THEN 1
+                    WHEN {hash_sql('o_orderkey::VARCHAR', 42)} < part * 4294967296
+                    THEN 2 + whole ELSE 1 + whole END AS n
+        FROM orders, c)
+    GROUP BY label
+""")
+def smote_counts(spark, sf_dir):
+    """Class sizes once the synthetic rows have joined the real ones."""
+    rows, synthetic = _synthetic_orders(spark, sf_dir)
+    return rows.select("label").unionByName(synthetic.select("label")).groupBy(
+        "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("smote_rows")
+def smote_rows(spark, sf_dir):
+    _, synthetic = _synthetic_orders(spark, sf_dir)
+    return synthetic.select(
+        "parent", "copy", vector_to_array("features").alias("x"), "label")
