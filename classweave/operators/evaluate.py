@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
@@ -108,44 +109,67 @@ def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
     )
 
 
-def evaluate_model(model: Model, test: DataFrame, name: str = "model",
-                   score: str = "rawPrediction",
-                   label: str = "label") -> DataFrame:
-    """One row (model, precision, recall, f1, auc) from one pass over ``test``.
+def model_counts(models: Sequence[Model], test: DataFrame,
+                 score: str = "rawPrediction",
+                 label: str = "label") -> DataFrame:
+    """Class counts per (model, distinct score), from one pass over ``test``.
 
-    The pass counts rows per (score, prediction, label); every metric follows
-    from those counts. ``rawPrediction`` is the score the usual evaluator
-    ranks by; ``probability`` ranks by calibrated share.
+    The rows carry every model's score side by side, so they are prepared and
+    read once however many models are judged.
     """
-    positive = F.col(label) == 1
-    scored = model.transform(test).filter(F.col(label).isNotNull()).select(
-        vector_to_array(F.col(score))[1].alias("score"), "prediction",
-        positive.alias("positive"))
-    counts = materialise(
-        scored.groupBy("score").agg(
-            F.count_if("positive").alias("pos"),
-            F.count_if(~F.col("positive")).alias("neg"),
-            F.count_if(F.col("positive") & (F.col("prediction") == 1)).alias("tp"),
-            F.count_if(~F.col("positive") & (F.col("prediction") == 1)).alias("fp"),
+    scored = test.filter(F.col(label).isNotNull())
+    for i, model in enumerate(models):
+        unused = (model.probabilityCol if score == "rawPrediction"
+                  else model.rawPredictionCol)
+        scored = model.copy({
+            unused: "", getattr(model, f"{score}Col"): f"_s{i}",
+            model.predictionCol: f"_y{i}",
+        }).transform(scored)
+    judged = F.array(*(
+        F.struct(
+            F.lit(i).alias("model"),
+            vector_to_array(F.col(f"_s{i}"))[1].alias("score"),
+            (F.col(f"_y{i}") == 1).alias("said"),
         )
+        for i in range(len(models))
+    ))
+    one, said = F.col("one"), F.col("s.said")
+    return (
+        scored.select((F.col(label) == 1).alias("one"),
+                      F.explode(judged).alias("s"))
+        .groupBy("s.model", "s.score")
+        .agg(F.count_if(one).alias("pos"), F.count_if(~one).alias("neg"),
+             F.count_if(one & said).alias("tp"),
+             F.count_if(~one & said).alias("fp"))
     )
-    totals = running_totals(counts, "score", ["neg"]).agg(
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
-        (F.sum("pos") - F.sum("tp")).alias("fn"), rank_area().alias("auc"))
-    return rates(totals, ["auc"]).select(
-        F.lit(name).alias("model"), "precision", "recall", "f1", "auc")
 
 
 def compare_models(models: dict[str, Model], test: DataFrame,
-                   **options: str) -> DataFrame:
-    rows = [
-        evaluate_model(model, test, name, **options)
-        for name, model in models.items()
-    ]
-    table = rows[0]
-    for row in rows[1:]:
-        table = table.unionByName(row)
-    return table
+                   score: str = "rawPrediction",
+                   label: str = "label") -> DataFrame:
+    """(model, precision, recall, f1, auc), one row per model.
+
+    ``rawPrediction`` is the score the usual evaluator ranks by;
+    ``probability`` ranks by calibrated share.
+    """
+    counts = materialise(
+        model_counts(list(models.values()), test, score, label))
+    rows = []
+    for i, name in enumerate(models):
+        own = counts.filter(F.col("model") == i).drop("model")
+        totals = running_totals(own, "score", ["neg"]).agg(
+            F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
+            (F.sum("pos") - F.sum("tp")).alias("fn"),
+            rank_area().alias("auc"))
+        rows.append(rates(totals, ["auc"]).select(
+            F.lit(name).alias("model"), "precision", "recall", "f1", "auc"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def evaluate_model(model: Model, test: DataFrame, name: str = "model",
+                   score: str = "rawPrediction",
+                   label: str = "label") -> DataFrame:
+    return compare_models({name: model}, test, score, label)
 
 
 def best_model(comparison: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ class TrainingSet:
     source: DataFrame = field(repr=False)
 
     def release(self) -> None:
-        for held in (self.train, self.test, self.source):
+        for held in (self.train, self.source):
             held.unpersist()
 
 
@@ -143,11 +143,11 @@ def build_training_set(df: DataFrame, spec: FeatureSpec, *,
 
     ``df`` should come from storage, so that counting its splits runs nothing.
 
-    The two prepared sets hold a ten-slot vector and a label per row, and
-    iterative training reads them many times, so they are persisted. They are
-    pure functions of the input: a lost block is computed again the same.
-    Balancing leaves the input's partitions uneven, so the narrow training
-    rows are dealt out once before the many passes over them.
+    Iterative training reads its rows many times, so they are persisted: a
+    ten-slot vector and a label each. They are a pure function of the input,
+    and a lost block is computed again the same. Balancing leaves partitions
+    uneven, so these narrow rows are dealt out once before the many passes.
+    The test rows are read once, when the models are compared.
     """
     source = spread_small(df.select(*spec.columns))
     raw_train, raw_test = sampling.split(source, spec.key)
@@ -166,7 +166,7 @@ def build_training_set(df: DataFrame, spec: FeatureSpec, *,
     return TrainingSet(
         prep,
         train.persist(StorageLevel.MEMORY_AND_DISK),
-        test.persist(StorageLevel.MEMORY_AND_DISK),
+        test,
         balance,
         source,
     )
