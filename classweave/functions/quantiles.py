@@ -132,32 +132,61 @@ def _rank(probability: float, rows: int) -> int:
 
 def _narrow_all(values: DataFrame, targets: Sequence[_Target],
                 accuracy: int) -> None:
+    """Targets in the same interval share a sketch; all edges share a count."""
     margin = 2.0 / accuracy
+    intervals: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        intervals.setdefault((t.column, t.low, t.high), []).append(t)
     sketches = []
-    for i, t in enumerate(targets):
-        share = (t.rank - t.below) / t.rows
-        wanted = [max(0.0, share - margin), share, min(1.0, share + margin)]
-        sketches.append(
-            F.percentile_approx(t.inside(), wanted, accuracy).alias(f"t{i}")
-        )
+    for i, own in enumerate(intervals.values()):
+        shares = [(t.rank - t.below) / t.rows for t in own]
+        wanted = sorted({
+            min(1.0, max(0.0, share + step))
+            for share in shares for step in (-margin, 0.0, margin)})
+        sketches.append(F.percentile_approx(
+            own[0].inside(), wanted, accuracy).alias(f"i{i}"))
     sketched = values.agg(*sketches).first()
-    edges = [sorted(set(sketched[f"t{i}"])) for i in range(len(targets))]
+    edges: dict[str, set[float]] = {}
+    for i, (column, _, _) in enumerate(intervals):
+        edges.setdefault(column, set()).update(sketched[f"i{i}"])
+    counted = _count_around(values, {c: sorted(e) for c, e in edges.items()})
+    for t in targets:
+        t.narrow(sorted(edges[t.column]), counted[t.column])
+
+
+def _count_around(values: DataFrame, edges: dict[str, list[float]]
+                  ) -> dict[str, dict[float, tuple[int, int]]]:
+    """How many values lie under, and up to, each edge of each column.
 
-    wanted_counts = {
-        (t.column, edge) for t, own in zip(targets, edges) for edge in own
+    A value's code is how many edges it reaches plus how many it exceeds, so
+    equal codes mean the same place among the edges and rows shrink to one
+    count per place.
+    """
+    places = []
+    for column, own in edges.items():
+        code = F.lit(0)
+        for edge in own:
+            code = (code + (F.col(column) >= F.lit(edge)).cast("int")
+                    + (F.col(column) > F.lit(edge)).cast("int"))
+        places.append(F.struct(F.lit(column).alias("column"), code.alias("code")))
+    rows = (
+        values.select(F.explode(F.array(*places)).alias("s")).select("s.*")
+        .filter(F.col("code").isNotNull())
+        .groupBy("column", "code").agg(F.count("*").alias("n")).collect()
+    )  # at most two rows per edge and one more
+    counts: dict[str, dict[int, int]] = {}
+    for row in rows:
+        counts.setdefault(row["column"], {})[row["code"]] = row["n"]
+    return {
+        column: {
+            edge: (
+                sum(n for code, n in counts[column].items() if code <= 2 * i),
+                sum(n for code, n in counts[column].items() if code <= 2 * i + 1),
+            )
+            for i, edge in enumerate(own)
+        }
+        for column, own in edges.items()
     }
-    order = sorted(wanted_counts)
-    counters = []
-    for i, (column, edge) in enumerate(order):
-        value = F.col(column)
-        counters.append(F.count_if(value < edge).alias(f"u{i}"))
-        counters.append(F.count_if(value <= edge).alias(f"e{i}"))
-    row = values.agg(*counters).first()
-    counted: dict[str, dict[float, tuple[int, int]]] = {}
-    for i, (column, edge) in enumerate(order):
-        counted.setdefault(column, {})[edge] = (row[f"u{i}"], row[f"e{i}"])
-    for t, own in zip(targets, edges):
-        t.narrow(own, counted[t.column])
 
 
 def _finish(values: DataFrame, targets: Sequence[_Target]) -> None:
