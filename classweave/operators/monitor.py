@@ -14,11 +14,21 @@ def total_requests(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("requests"))
 
 
+def mean_score(p1: str = "p1") -> Column:
+    """Mean probability through an exact sum.
+
+    A sum of doubles depends on the order of the rows; a decimal one does not,
+    so a figure stays the same however often and wherever it is computed.
+    """
+    total = F.sum(F.col(p1).cast("decimal(18,12)")).cast("double")
+    return total / F.nullif(F.count(p1), F.lit(0))
+
+
 def requests_by_client(events: DataFrame) -> DataFrame:
     return events.groupBy("client_type").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("prediction") == 1).alias("positive"),
-        F.avg("p1").alias("mean_p1"),
+        mean_score().alias("mean_p1"),
     )
 
 
@@ -31,7 +41,7 @@ def requests_over_time(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return events.groupBy(day_of().alias("day"), *by).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("prediction") == 1).alias("positive"),
-        F.avg("p1").alias("mean_p1"),
+        mean_score().alias("mean_p1"),
     )
 
 

@@ -19,18 +19,17 @@ def monitor_total(spark, sf_dir):
 @register("monitor_by_client", f"""
     SELECT client_type, count(*) AS requests,
            count(*) FILTER (prediction = 1) AS positive,
-           round(avg(p1), 6) AS mean_p1
+           sum(p1::DECIMAL(18,12))::DOUBLE / count(p1) AS mean_p1
     FROM ({s.FEED_SQL}) GROUP BY client_type
 """)
 def monitor_by_client(spark, sf_dir):
-    found = monitor.requests_by_client(s.monitoring_feed(spark, sf_dir))
-    return found.withColumn("mean_p1", F.round("mean_p1", 6))
+    return monitor.requests_by_client(s.monitoring_feed(spark, sf_dir))
 
 
 _DAILY_SQL = f"""
     SELECT ts::DATE AS day, client_type, count(*) AS requests,
            count(*) FILTER (prediction = 1) AS positive,
-           round(avg(p1), 6) AS mean_p1
+           sum(p1::DECIMAL(18,12))::DOUBLE / count(p1) AS mean_p1
     FROM ({s.FEED_SQL}) GROUP BY ALL
 """
 
@@ -38,8 +37,7 @@ _DAILY_SQL = f"""
 @register("monitor_daily", _DAILY_SQL)
 def monitor_daily(spark, sf_dir):
     feed = _utc(spark, s.monitoring_feed)(sf_dir)
-    found = monitor.requests_over_time(feed, ["client_type"])
-    return found.withColumn("mean_p1", F.round("mean_p1", 6))
+    return monitor.requests_over_time(feed, ["client_type"])
 
 
 def _utc(spark, feed):
@@ -95,4 +93,4 @@ def monitor_daily_stream(spark, sf_dir):
     days = monitoring.newest_batch(spark.read.parquet(target))
     return days.select(
         F.to_date("window_start").alias("day"), "client_type", "requests",
-        "positive", F.round("mean_p1", 6).alias("mean_p1"))
+        "positive", "mean_p1")

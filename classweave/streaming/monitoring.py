@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from classweave.operators.monitor import mean_score
+
 
 def daily_metrics(events: DataFrame, by: Sequence[str] = (),
                   lateness: str = "1 day") -> DataFrame:
@@ -20,9 +22,9 @@ def daily_metrics(events: DataFrame, by: Sequence[str] = (),
         .groupBy(F.window("ts", "1 day").alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("requests"),
              F.count_if(F.col("prediction") == 1).alias("positive"),
-             F.sum("p1").alias("sum_p1"))
+             mean_score().alias("mean_p1"))
         .select(F.col("w.start").alias("window_start"), *by, "requests",
-                "positive", (F.col("sum_p1") / F.col("requests")).alias("mean_p1"))
+                "positive", "mean_p1")
     )
 
 
