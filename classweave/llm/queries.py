@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classweave.llm import bpe
+from classweave.llm import bpe, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,3 +40,9 @@ def op1_byte_bpe(spark, sf_dir):
     done = bpe.round_trip_column(ranks, public_tokenizers.PATTERN, F.col("text"))
     return table(spark, sf_dir, "documents").select(
         "doc_id", done.alias("_done")).select("doc_id", "_done.*")
+
+
+@register("op8_simhash")
+def op8_simhash(spark, sf_dir):
+    """The near-duplicate group of every document."""
+    return simhash.classes(table(spark, sf_dir, "documents"))
