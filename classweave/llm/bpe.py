@@ -23,6 +23,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from classweave.llm.ragged import (
+    KeyTable,
     Numbering,
     distinct,
     gather,
@@ -35,8 +36,6 @@ from classweave.llm.ragged import (
 
 # characters whose new words are merged together; bounds a task's memory
 BLOCK_CHARS = 8_000_000
-# distinct pieces of text a worker remembers between batches
-KNOWN_PIECES = 400_000
 
 IDS_TYPE = "array<int>"
 DIGEST_TYPE = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
@@ -201,18 +200,10 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocab = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
-        self.forget()
-
-    def forget(self) -> None:
-        self.pieces = Numbering()
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def learn(self) -> None:
-        """Merge the words of the pieces met since the last call."""
-        known = len(self.starts) - 1
-        fresh = list(self.pieces)[known:]
-        if not fresh:
-            return
+        self.table = KeyTable(self._learn, np.int64)
+
+    def _learn(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """Cut new pieces into words and merge the distinct words together."""
         words = Numbering()
         split = self.pattern.findall
 
@@ -221,28 +212,15 @@ class Encoder:
                 return [words[" " + key]]
             return [words[w] for w in split(piece_text(key))]
 
-        piece_starts, piece_words = ragged(map(words_of, fresh), np.int64)
+        piece_starts, piece_words = ragged(map(words_of, pieces), np.int64)
         word_starts, word_ids = merge_words(
             [w.encode() for w in words], self.vocab)
         ids, ends = gather(word_starts, word_ids, piece_words)
-        self.starts = np.concatenate(
-            [self.starts, self.starts[-1] + ends[piece_starts[1:]]])
-        self.ids = np.concatenate([self.ids, ids.astype(np.int64)])
+        return ends[piece_starts], ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts and their ids, one text after another."""
-        if len(self.pieces) > KNOWN_PIECES:
-            self.forget()
-        number = self.pieces.__getitem__
-        runs = []
-        for text in texts:
-            pieces = space_pieces(text)
-            runs.append(np.fromiter(map(number, pieces), np.int32, len(pieces)))
-        self.learn()
-        text_starts = offsets_of(np.fromiter(map(len, runs), np.int64, len(runs)))
-        every = np.concatenate(runs) if runs else np.zeros(0, np.int32)
-        ids, ends = gather(self.starts, self.ids, every)
-        return ends[text_starts], ids
+        return self.table.read(map(space_pieces, texts))
 
 
 @lru_cache(maxsize=2)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classweave.llm import bpe, simhash
+from classweave.llm import bpe, langid, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(number: int, of: str = "doc_id") -> Column:
+    """The remainder that decides which rows are held out of training."""
+    return F.crc32(F.col(of).cast("string")) % number
+
+
 @register("op1_byte_bpe")
 def op1_byte_bpe(spark, sf_dir):
     """Encode every document, decode the ids again, and digest both."""
@@ -46,3 +51,15 @@ def op1_byte_bpe(spark, sf_dir):
 def op8_simhash(spark, sf_dir):
     """The near-duplicate group of every document."""
     return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+@register("op9_language")
+def op9_language(spark, sf_dir):
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(3) != 1))
+    guess = langid.predict_column(model, F.col("text"))
+    return docs.select(
+        "doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"),
+        guess.alias("_guess")).select(
+        "doc_id", "held_out", F.col("_guess.lang").alias("lang_pred"), "_guess.score")

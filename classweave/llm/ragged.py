@@ -7,7 +7,8 @@ work once on each, and gather the results back with numpy.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -95,3 +96,40 @@ def text_blocks(texts: pa.Array, max_chars: int) -> Iterator[list[str]]:
         held += n
     if start < len(texts):
         yield [t or "" for t in texts.slice(start).to_pylist()]
+
+
+# distinct keys a worker remembers between batches
+KNOWN_KEYS = 400_000
+
+
+class KeyTable:
+    """A ragged value per key, worked out once for each key met.
+
+    ``learn`` takes new keys and gives their offsets and values. The table is
+    only for speed: past ``KNOWN_KEYS`` keys it starts again.
+    """
+
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype):
+        self.learn, self.dtype = learn, dtype
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = Numbering()
+        self.starts = np.zeros(1, np.int64)
+        self.values = np.zeros(0, self.dtype)
+
+    def read(self, texts: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text is a list of keys: its values in order, with offsets."""
+        if len(self.keys) > KNOWN_KEYS:
+            self.forget()
+        number = self.keys.__getitem__
+        runs = [np.fromiter(map(number, keys), np.int32, len(keys)) for keys in texts]
+        fresh = list(islice(self.keys, len(self.starts) - 1, None))
+        if fresh:
+            starts, values = self.learn(fresh)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + starts[1:]])
+            self.values = np.concatenate([self.values, values.astype(self.dtype)])
+        text_starts = offsets_of(np.fromiter(map(len, runs), np.int64, len(runs)))
+        every = np.concatenate(runs) if runs else np.zeros(0, np.int32)
+        values, ends = gather(self.starts, self.values, every)
+        return ends[text_starts], values

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from classweave.llm import bpe, queries
+from classweave.llm import bpe, queries, ragged
 from classweave.llm.ragged import piece_text, space_pieces
 
 PATTERN = public_tokenizers.PATTERN
@@ -53,7 +53,7 @@ def test_equals_tiktoken(ranks, tik):
 
 
 def test_forgets_pieces_without_changing_ids(ranks, tik, monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_PIECES", 3)
+    monkeypatch.setattr(ragged, "KNOWN_KEYS", 3)
     coder = bpe.Encoder(ranks, PATTERN)
     for text in random_texts(40, 3):
         assert coder.encode([text])[1].tolist() == tik.encode_ordinary(text)
