@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classweave.llm import bpe, langid, simhash
+from classweave.llm import bpe, langid, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,3 +63,16 @@ def op9_language(spark, sf_dir):
         "doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"),
         guess.alias("_guess")).select(
         "doc_id", "held_out", F.col("_guess.lang").alias("lang_pred"), "_guess.score")
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    """The toxicity score of every document, learned from four fifths of labels."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0)
+    model = toxicity.fit(docs, labels)
+    score = toxicity.probability_column(model, F.col("text"))
+    return docs.select(
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"),
+        score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))

@@ -1,0 +1,114 @@
+"""Nearest examples against all cosines, calibration, and held-out accuracy."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from classweave.llm import queries, toxicity
+
+
+def random_bags(n, terms, seed):
+    draw = random.Random(seed)
+    found = {}
+    for _ in range(n):
+        bag = Counter(min(int(draw.expovariate(0.08)), terms - 1)
+                      for _ in range(draw.randint(1, 6)))
+        found[tuple(sorted(bag.items()))] = None
+    return list(found)
+
+
+@pytest.mark.parametrize("n,terms", [(1, 3), (40, 5), (900, 60)])
+def test_nearest_equals_all_cosines(n, terms):
+    idf = np.linspace(0.1, 5, terms)
+    bags = random_bags(n, terms, n)
+    index = toxicity.Index(idf, bags, np.ones((len(bags), 2)), list(range(len(bags))))
+    for query in random_bags(60, terms, 9) + [((0, 50),), bags[0]]:
+        mine = index.vector(query)
+        every = sorted(
+            (round(sum(w * index.vector(bag).get(t, 0) for t, w in mine.items()), 9)
+             for bag in bags), reverse=True)
+        expected = [c for c in every if c > 0][:toxicity.NEIGHBOURS]
+        found = index.nearest(query)
+        assert [round(c, 9) for c, _ in found] == pytest.approx(expected, abs=2e-9)
+        for cosine, at in found:  # the evidence is the example it names
+            bag = bags[index.owners[at]]
+            assert math.isclose(cosine, sum(
+                w * index.vector(bag).get(t, 0) for t, w in mine.items()), abs_tol=1e-9)
+
+
+def test_no_terms_no_neighbours():
+    index = toxicity.Index(np.zeros(0), [], np.zeros((0, 2)), [])
+    assert index.nearest(()) == [] and index.vote([]) is None
+
+
+def test_rising():
+    steps = [[10, 0], [4, 1], [6, 0], [0, 0], [1, 9]]
+    found = toxicity.rising(steps, 0.1)
+    assert found == sorted(found) and 0 <= found[0] and found[-1] <= 1
+    assert found[2] < found[3] < found[4]
+
+
+def made(spark, n=300):
+    draw = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows, marks = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        text = draw.choices(words, k=30) + (draw.choices(["vile", "nasty"], k=2) if toxic else [])
+        draw.shuffle(text)
+        rows.append((i, " ".join(text).capitalize() + ".", i * 1.0))
+        marks.append((i, int(toxic)))
+    return (spark.createDataFrame(rows, "doc_id long, text string, score double"),
+            spark.createDataFrame(marks, "doc_id long, toxic int"))
+
+
+def test_learns_and_filters(spark):
+    docs, labels = made(spark)
+    model = toxicity.fit(docs, labels)
+    assert set(model.value.terms) == {"vile", "nasty"}
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(300) if i % 4]
+
+
+def test_odd_rows(spark):
+    docs, labels = made(spark)
+    labels = labels.union(spark.createDataFrame(
+        [(0, 0), (1, None), (None, 1), (5000, 1), (1, 0)], "doc_id long, toxic int"))
+    model = toxicity.fit(docs, labels)
+    odd = spark.createDataFrame(
+        [(1, None, "a"), (2, "", "b"), (None, "Nasty, VILE nasty", None),
+         (4, "nasty " * 100_000, "c"), (4, "nasty " * 100_000, "c"), (5, "vilest", "d")],
+        "doc_id long, text string, neighbours string")
+    found = odd.select("*", toxicity.score_column(model, F.col("text")).alias("s")).collect()
+    scores = [r.s.score for r in found]
+    assert scores[0] == scores[1] == scores[5] < 0.1
+    assert min(scores[2:5]) > 0.5 and scores[3] == scores[4]
+    assert all(n.toxic == 1 and 0 < n.cosine <= 1 for n in found[2].s.neighbours)
+
+
+def test_nothing_to_learn(spark):
+    docs, labels = made(spark, 8)
+    empty = toxicity.fit(docs, labels.where("doc_id < 0"))
+    assert set(r.s for r in docs.select(toxicity.probability_column(
+        empty, F.col("text")).alias("s")).collect()) == {0.0}
+    one = toxicity.fit(docs, labels.where("toxic = 1"))
+    assert set(r.s for r in docs.select(toxicity.probability_column(
+        one, F.col("text")).alias("s")).collect()) == {1.0}
+    assert toxicity.keep_clean(docs.where("doc_id < 0"), one).count() == 0
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.1"
+    found = queries.QUERIES["op10_toxicity"](spark, sf).collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert len(found) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    out = [r for r in found if r.held_out and r.doc_id in truth]
+    seen = Counter((truth[r.doc_id], r.predicted) for r in out)
+    assert seen[1, 1] >= 0.8 * (seen[1, 1] + seen[1, 0])
+    assert seen[0, 1] <= 0.01 * seen[0, 0]
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
