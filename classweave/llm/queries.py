@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classweave.llm import bpe, langid, simhash, toxicity
+from classweave.llm import bpe, decontaminate, langid, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,13 @@ def op1_byte_bpe(spark, sf_dir):
         "doc_id", done.alias("_done")).select("doc_id", "_done.*")
 
 
+@register("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    """Every document and benchmark item that overlap, with the best window."""
+    return decontaminate.overlaps(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op8_simhash")
 def op8_simhash(spark, sf_dir):
     """The near-duplicate group of every document."""
