@@ -270,18 +270,22 @@ def decode_column(shared: Broadcast, pattern: str, ids: Column) -> Column:
     return F.arrow_udf(decode, "binary")(ids)
 
 
-def round_trip_column(shared: Broadcast, pattern: str, text: Column) -> Column:
+def round_trip_column(shared: Broadcast, pattern: str, text: Column,
+                      with_ids: bool = False) -> Column:
     """Encode, decode the ids again, and give the digests of both.
 
     ``ids_sha256`` is over the ids as little-endian unsigned 32-bit integers.
-    The ids stay in the worker, so only digests travel. Null counts as empty.
+    The ids stay in the worker unless they are asked for. Null counts as empty.
     """
 
     def digest(texts: pa.Array) -> pa.Array:
-        coder, rows = _worker_encoder(shared, pattern), []
+        coder, rows, lists = _worker_encoder(shared, pattern), [], []
         for block in text_blocks(texts, BLOCK_CHARS):
             starts, ids = coder.encode(block)
             packed = ids.astype("<u4")
+            if with_ids:
+                lists.append(pa.ListArray.from_arrays(
+                    starts.astype(np.int32), ids.astype(np.int32)))
             for low, high in zip(starts.tolist(), starts[1:].tolist()):
                 decoded = coder.vocab.decode(ids[low:high])
                 rows.append((
@@ -289,9 +293,13 @@ def round_trip_column(shared: Broadcast, pattern: str, text: Column) -> Column:
                     hashlib.sha256(packed[low:high].tobytes()).hexdigest(),
                     hashlib.sha256(decoded.tobytes()).hexdigest()))
         count, ids_sha, decoded_sha = zip(*rows) if rows else ((), (), ())
-        return pa.StructArray.from_arrays(
-            [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()),
-             pa.array(decoded_sha, pa.string())],
-            names=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return F.arrow_udf(digest, DIGEST_TYPE)(text)
+        columns = {"n_tokens": pa.array(count, pa.int64()),
+                   "ids_sha256": pa.array(ids_sha, pa.string()),
+                   "decoded_sha256": pa.array(decoded_sha, pa.string())}
+        if with_ids:
+            columns["ids"] = (pa.concat_arrays(lists) if lists
+                              else pa.array([], pa.list_(pa.int32())))
+        return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+
+    kind = DIGEST_TYPE[:-1] + f",ids:{IDS_TYPE}>" if with_ids else DIGEST_TYPE
+    return F.arrow_udf(digest, kind)(text)
