@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classweave.llm import bpe, decontaminate, langid, simhash, toxicity
+from classweave.llm import bpe, decontaminate, langid, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,27 @@ def op2_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_WARC_SQL = """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+                      sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN
+                    max(page_id) OVER (PARTITION BY payload_digest) END AS largest
+          FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN largest IS DISTINCT FROM page_id AND largest IS NOT NULL
+                THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN largest IS DISTINCT FROM page_id THEN largest END AS refers_to
+    FROM r
+"""
+
+
+@register("op3_warc", _WARC_SQL)
+def op3_warc(spark, sf_dir):
+    """Every page, read back from normalised archives by their indexes."""
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op8_simhash")
 def op8_simhash(spark, sf_dir):
     """The near-duplicate group of every document."""
