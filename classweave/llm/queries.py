@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classweave.llm import bpe, decontaminate, langid, simhash, toxicity, warc
+from classweave.llm import (
+    bpe,
+    decontaminate,
+    langid,
+    simhash,
+    token_store,
+    toxicity,
+    warc,
+)
+from classweave.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+STORE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -75,6 +85,16 @@ def op3_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register("op6_token_store")
+def op6_token_store(spark, sf_dir):
+    """Every document's ids, read back from the token files."""
+    with open(public_tokenizers.path(STORE_TOKENIZER), encoding="utf-8") as source:
+        spec = source.read()
+    folder = new_folder(spark, "tokens")
+    files = token_store.write_store(table(spark, sf_dir, "documents"), spec, folder)
+    return token_store.read_store(files, folder, digest_only=True)
+
+
 @register("op8_simhash")
 def op8_simhash(spark, sf_dir):
     """The near-duplicate group of every document."""
