@@ -99,37 +99,49 @@ def text_blocks(texts: pa.Array, max_chars: int) -> Iterator[list[str]]:
 
 
 # distinct keys a worker remembers between batches
-KNOWN_KEYS = 400_000
+KNOWN_KEYS = 600_000
 
 
 class KeyTable:
     """A ragged value per key, worked out once for each key met.
 
     ``learn`` takes new keys and gives their offsets and values. The table is
-    only for speed: past ``KNOWN_KEYS`` keys it starts again.
+    only for speed: past ``KNOWN_KEYS`` keys it forgets those met once, and all
+    of them if too many are left.
     """
 
     def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype):
         self.learn, self.dtype = learn, dtype
-        self.forget()
+        self._start([], np.zeros(1, np.int64), np.zeros(0, dtype))
 
-    def forget(self) -> None:
-        self.keys = Numbering()
-        self.starts = np.zeros(1, np.int64)
-        self.values = np.zeros(0, self.dtype)
+    def _start(self, keys: list, starts: np.ndarray, values: np.ndarray) -> None:
+        self.keys = Numbering(zip(keys, range(len(keys))))
+        self.starts, self.values = starts, values
+        self.met = np.zeros(len(keys), np.int64)
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > KNOWN_KEYS // 2:
+            kept = kept[:0]
+        names = list(self.keys)
+        values, starts = gather(self.starts, self.values, kept)
+        self._start([names[i] for i in kept.tolist()], starts, values)
 
     def read(self, texts: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
         """Each text is a list of keys: its values in order, with offsets."""
         if len(self.keys) > KNOWN_KEYS:
-            self.forget()
+            self._forget()
         number = self.keys.__getitem__
         runs = [np.fromiter(map(number, keys), np.int32, len(keys)) for keys in texts]
-        fresh = list(islice(self.keys, len(self.starts) - 1, None))
+        fresh = list(islice(self.keys, len(self.met), None))
         if fresh:
             starts, values = self.learn(fresh)
             self.starts = np.concatenate([self.starts, self.starts[-1] + starts[1:]])
             self.values = np.concatenate([self.values, values.astype(self.dtype)])
         text_starts = offsets_of(np.fromiter(map(len, runs), np.int64, len(runs)))
         every = np.concatenate(runs) if runs else np.zeros(0, np.int32)
+        met = np.bincount(every, minlength=len(self.keys))
+        met[:len(self.met)] += self.met
+        self.met = met
         values, ends = gather(self.starts, self.values, every)
         return ends[text_starts], values
