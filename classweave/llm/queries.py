@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from classweave.llm import (
     bpe,
     decontaminate,
+    embedding_dedup,
     langid,
     simhash,
     token_store,
@@ -85,6 +86,36 @@ def op3_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+_EMBEDDING_SQL = """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS e,
+               label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+               AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+        FROM embeddings),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND a.usable AND b.usable
+           AND len(a.e) = len(b.e)
+           AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e))
+               / sqrt(list_inner_product(b.e, b.e)) >= 0.93),
+    reach(a, b) AS (
+        SELECT vec_id, vec_id FROM v
+        UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+    n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id,
+           vec_id = component_id AS kept
+    FROM v JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@register("op4_embedding_dedup", _EMBEDDING_SQL)
+def op4_embedding_dedup(spark, sf_dir):
+    """Links and components of all embeddings within their labels."""
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
 @register("op6_token_store")
 def op6_token_store(spark, sf_dir):
     """Every document's ids, read back from the token files."""
