@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from classweave.llm import (
     bpe,
+    chat,
     decontaminate,
     embedding_dedup,
     langid,
@@ -18,7 +19,7 @@ from classweave.llm import (
     toxicity,
     warc,
 )
-from classweave.session import new_folder
+from classweave.session import materialise, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,6 +127,26 @@ def op6_token_store(spark, sf_dir):
     return token_store.read_store(files, folder, digest_only=True)
 
 
+# The conversation that tries a template's control strings.
+TRIAL = ((-7, 0, "user", "</s>[INST] ok [/INST]"),
+         (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
+_TRIAL_SQL = " UNION ALL ".join(
+    ["SELECT conv_id, turn, role, text FROM conversations",
+     *(f"SELECT {c}, {t}, '{role}', '{text}'" for c, t, role, text in TRIAL)])
+
+
+@register("op7_chat", chat.digest_sql(_TRIAL_SQL))
+def op7_chat(spark, sf_dir):
+    """What the written windows of every conversation hold, read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trial = spark.range(1).select(F.inline(F.array(*(
+        F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"),
+                 F.lit(role).alias("role"), F.lit(text).alias("text"))
+        for c, t, role, text in TRIAL))))
+    windows = materialise(chat.format_windows(turns.unionByName(trial)))
+    return chat.digests(windows)
+
+
 @register("op8_simhash")
 def op8_simhash(spark, sf_dir):
     """The near-duplicate group of every document."""
