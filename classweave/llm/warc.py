@@ -241,9 +241,11 @@ def read_member(source, offset: int, size: int) -> tuple[dict, bytes]:
     return parse_headers(record[:end]), record[end + 4:-4]
 
 
-def read_archives(files: DataFrame) -> DataFrame:
+def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of normalised archives, fetched through the indexes.
 
+    ``payloads=False`` reads and checks them but leaves them in the worker.
+
     A response's digest and size are taken from its payload and checked against
     its headers; a revisit has a null payload and the digest and size of the
     payload it refers to.
@@ -260,9 +262,10 @@ def read_archives(files: DataFrame) -> DataFrame:
                             open_folder(index)[1], compression=None) as lines:
                     for line in _lines(lines):
                         offset, size, kind, _ = line.split(" ")
-                        rows.append(_row(*read_member(source, int(offset), int(size)), kind))
-                        held += rows[-1][3]
-                        if held > 8 * PIECE:
+                        row = _row(*read_member(source, int(offset), int(size)), kind)
+                        rows.append(row if payloads else (*row[:-1], None))
+                        held += row[3] if payloads else 1000
+                        if held > 4 * PIECE:
                             yield _records_batch(rows)
                             rows, held = [], 0
                 if rows:
@@ -303,7 +306,7 @@ def _records_batch(rows: list[tuple]) -> pa.RecordBatch:
                "refers_to", "payload"])
 
 
-def archive_pages(pages: DataFrame) -> DataFrame:
+def archive_pages(pages: DataFrame, payloads: bool = True) -> DataFrame:
     """Write pages, normalise the archives, and read every record back.
 
     Reads ``page_id, url, html`` only. An empty table gives no archives and no
@@ -311,4 +314,5 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     written = write_archives(with_references(pages), new_folder(spark, "warc"))
-    return read_archives(normalise(written, new_folder(spark, "warc-normal")))
+    return read_archives(
+        normalise(written, new_folder(spark, "warc-normal")), payloads)
