@@ -14,6 +14,7 @@ from classweave.llm import (
     decontaminate,
     embedding_dedup,
     langid,
+    licenses,
     simhash,
     token_store,
     toxicity,
@@ -83,7 +84,7 @@ _WARC_SQL = """
 @register("op3_warc", _WARC_SQL)
 def op3_warc(spark, sf_dir):
     """Every page, read back from normalised archives by their indexes."""
-    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
+    return warc.archive_pages(table(spark, sf_dir, "pages"), payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -117,6 +118,13 @@ def op4_embedding_dedup(spark, sf_dir):
     return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
 
 
+@register("op5_licenses")
+def op5_licenses(spark, sf_dir):
+    """Every line of every document that is a licence, and its family."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 @register("op6_token_store")
 def op6_token_store(spark, sf_dir):
     """Every document's ids, read back from the token files."""
