@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -27,15 +26,16 @@ from classweave.llm.ragged import (
     Numbering,
     distinct,
     gather,
+    held,
     offsets_of,
     piece_text,
     ragged,
-    space_pieces,
+    space_keys,
     text_blocks,
 )
 
 # characters whose new words are merged together; bounds a task's memory
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 IDS_TYPE = "array<int>"
 DIGEST_TYPE = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
@@ -207,8 +207,8 @@ class Encoder:
         words = Numbering()
         split = self.pattern.findall
 
-        def words_of(key) -> list[int]:
-            if isinstance(key, str) and key.isalpha():  # letters are one match
+        def words_of(key: str) -> list[int]:
+            if key.isalpha():  # letters are one match
                 return [words[" " + key]]
             return [words[w] for w in split(piece_text(key))]
 
@@ -218,23 +218,14 @@ class Encoder:
         ids, ends = gather(word_starts, word_ids, piece_words)
         return ends[piece_starts], ids
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts and their ids, one text after another."""
-        return self.table.read(map(space_pieces, texts))
-
-
-@lru_cache(maxsize=2)
-def _encoder(sha: str, pattern: str) -> Encoder:
-    return Encoder(_RANKS[sha], pattern)
-
-
-_RANKS: dict[str, dict[bytes, int]] = {}
+        return self.table.read(space_keys(texts))
 
 
 def _worker_encoder(shared: Broadcast, pattern: str) -> Encoder:
     sha, ranks = shared.value
-    _RANKS[sha] = ranks
-    return _encoder(sha, pattern)
+    return held(("bpe", sha, pattern), lambda: Encoder(ranks, pattern))
 
 
 def share_ranks(spark: SparkSession, path: str) -> Broadcast:

@@ -26,12 +26,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classweave.llm.ragged import KeyTable, ragged, text_blocks
+from classweave.llm.ragged import KeyTable, held, ragged, text_blocks
 from classweave.session import materialise
 
 WINDOW = 20
@@ -44,7 +45,7 @@ STRETCH_TOKENS = 4_096
 BLOCK_TOKENS = 2_000_000
 BLOCKS_PER_PASS = 4
 FILTER_BITS = 20
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 HIT_TYPE = ("array<struct<item_id:bigint,doc_start:bigint,item_start:bigint,"
             "n_window:int,n_agree:int>>")
@@ -181,15 +182,10 @@ def blocks(benchmark: DataFrame) -> list[Broadcast]:
     return found
 
 
-_TABLE: list[KeyTable] = []
-
-
 def _token_table() -> KeyTable:
     """One table of hashed words per worker."""
-    if not _TABLE:
-        _TABLE.append(KeyTable(lambda keys: ragged(
-            (token_hashes(_TOKENS(k)) for k in keys), np.uint64), np.uint64))
-    return _TABLE[0]
+    return held("token hashes", lambda: KeyTable(lambda keys: ragged(
+        (token_hashes(tokens(k)) for k in keys), np.uint64), np.uint64))
 
 
 def hits_column(shared: list[Broadcast], text: Column) -> Column:
@@ -198,7 +194,7 @@ def hits_column(shared: list[Broadcast], text: Column) -> Column:
     def find(texts: pa.Array) -> pa.Array:
         out = []
         for block in text_blocks(texts, BLOCK_CHARS):
-            starts, hashes = _token_table().read(t.lower().split() for t in block)
+            starts, hashes = _token_table().read(pc.utf8_split_whitespace(block))
             best: list[dict] = [{} for _ in block]
             for part in shared:
                 for doc, item, *rest in part.value.overlaps(hashes, starts):

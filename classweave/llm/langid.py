@@ -32,7 +32,7 @@ MAX_LANGUAGES = 512
 WORD_BITS = 63
 # a text with a smaller share of trigrams in its best language is rejected
 MIN_COVERAGE = 0.25
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 
 UNKNOWN = "und"
 RESULT_TYPE = "struct<lang:string,score:double,coverage:double>"
@@ -122,7 +122,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         langs = batch.column("lang").to_pylist()
         row, found = 0, {}
         for block in text_blocks(batch.column("text"), BLOCK_CHARS):
-            starts, codes = trigrams(block)
+            starts, codes = trigrams(block.to_pylist())
             for low, high in zip(starts.tolist(), starts[1:].tolist()):
                 if high > low:
                     found.setdefault(langs[row], []).append(
@@ -186,7 +186,7 @@ def predict_column(model: Broadcast, text: Column) -> Column:
 
     def predict(texts: pa.Array) -> pa.Array:
         rows = [row for block in text_blocks(texts, BLOCK_CHARS)
-                for row in model.value.predict(block)]
+                for row in model.value.predict(block.to_pylist())]
         lang, score, coverage = zip(*rows) if rows else ((), (), ())
         return pa.StructArray.from_arrays(
             [pa.array(lang, pa.string()), pa.array(score, pa.float64()),

@@ -7,13 +7,16 @@ work once on each, and gather the results back with numpy.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from itertools import islice
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+T = TypeVar("T")
+
 
 class Numbering(dict):
     """Give every new key the next number; looking a key up numbers it."""
@@ -23,28 +26,38 @@ class Numbering(dict):
         return number
 
 
-def space_pieces(text: str) -> list:
-    """Cut ``text`` where a byte-level pattern always starts a new match.
+def space_keys(texts: pa.Array) -> pa.Array:
+    """Cut texts where a byte-level pattern always starts a new match.
 
     That is before a single space or line break with no other white space
     beside it. Matching the pieces one by one then equals matching the text.
-    Pieces are short keys: ``piece_text`` gives the characters of each.
+    Returns a list of keys per text; ``piece_text`` gives the characters of each.
     """
-    if _SPACES_MEET(text):
-        return [(piece,) for piece in _CUT(text)]
-    keys = text.replace("\n", " \n").split(" ")
-    keys[0] = (keys[0],)
-    return keys
-
-
-_SPACES_MEET = re.compile(r"\s\s").search
+    odd = pc.match_substring_regex(texts, _ODD_SPACE)
+    marked = pc.binary_join_element_wise(LITERAL, texts, "")
+    keys = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+    if not pc.any(odd).as_py():
+        return keys
+    plain = pc.filter(keys, pc.invert(odd))
+    cut = pa.array(
+        [[LITERAL + piece for piece in _CUT(text)]
+         for text in pc.filter(texts, odd).to_pylist()], pa.list_(pa.string()))
+    is_odd = odd.to_numpy(zero_copy_only=False)
+    place = np.where(is_odd, len(plain) + np.cumsum(is_odd) - 1, np.cumsum(~is_odd) - 1)
+    return pa.concat_arrays([plain, cut]).take(pa.array(place))
+
+
+# a key that starts so holds its text as it is
+LITERAL = "\x00"
+# white space of any kind side by side, or the mark itself
+_ODD_SPACE = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]{2}|\x{00}"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)").split
 
 
-def piece_text(key) -> str:
-    """A tuple holds its text, a line break is kept, a space is implied."""
-    if isinstance(key, tuple):
-        return key[0]
+def piece_text(key: str) -> str:
+    """The characters of a key: a line break is kept, a space is implied."""
+    if key.startswith(LITERAL):
+        return key[1:]
     return key if key.startswith("\n") else " " + key
 
 
@@ -82,24 +95,38 @@ def ragged(runs: Iterable, dtype) -> tuple[np.ndarray, np.ndarray]:
     return out, values
 
 
-def text_blocks(texts: pa.Array, max_chars: int) -> Iterator[list[str]]:
-    """Consecutive texts, null as empty, in lists of about ``max_chars``.
+def text_blocks(texts: pa.Array, max_chars: int) -> Iterator[pa.Array]:
+    """Consecutive texts, null as empty, in arrays of about ``max_chars`` bytes.
 
-    A longer text makes a list of its own.
+    A longer text makes an array of its own.
     """
-    size = pc.fill_null(pc.binary_length(texts), 0)
-    start, held = 0, 0
-    for i, n in enumerate(size.to_pylist()):
-        if held and held + n > max_chars:
-            yield [t or "" for t in texts.slice(start, i - start).to_pylist()]
-            start, held = i, 0
-        held += n
+    texts = pc.fill_null(texts, "")
+    start, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > max_chars:
+            yield texts.slice(start, i - start)
+            start, size = i, 0
+        size += n
     if start < len(texts):
-        yield [t or "" for t in texts.slice(start).to_pylist()]
+        yield texts.slice(start)
+
+
+_HELD: dict = {}
+
+
+def held(key: Hashable, build: Callable[[], T]) -> T:
+    """What ``build`` makes, kept by this worker until it needs another.
+
+    Workers serve one operator after another, so that only one is kept.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
 
 
 # distinct keys a worker remembers between batches
-KNOWN_KEYS = 600_000
+KNOWN_KEYS = 300_000
 
 
 class KeyTable:
@@ -127,21 +154,22 @@ class KeyTable:
         values, starts = gather(self.starts, self.values, kept)
         self._start([names[i] for i in kept.tolist()], starts, values)
 
-    def read(self, texts: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Each text is a list of keys: its values in order, with offsets."""
         if len(self.keys) > KNOWN_KEYS:
             self._forget()
-        number = self.keys.__getitem__
-        runs = [np.fromiter(map(number, keys), np.int32, len(keys)) for keys in texts]
+        coded = texts.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.keys.__getitem__, names), np.int32, len(names))
         fresh = list(islice(self.keys, len(self.met), None))
         if fresh:
             starts, values = self.learn(fresh)
             self.starts = np.concatenate([self.starts, self.starts[-1] + starts[1:]])
             self.values = np.concatenate([self.values, values.astype(self.dtype)])
-        text_starts = offsets_of(np.fromiter(map(len, runs), np.int64, len(runs)))
-        every = np.concatenate(runs) if runs else np.zeros(0, np.int32)
+        every = number[coded.indices.to_numpy()]
         met = np.bincount(every, minlength=len(self.keys))
         met[:len(self.met)] += self.met
         self.met = met
         values, ends = gather(self.starts, self.values, every)
-        return ends[text_starts], values
+        sizes = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+        return ends[offsets_of(sizes)], values

@@ -27,13 +27,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from classweave.llm.ragged import KeyTable, piece_text, ragged, space_pieces, text_blocks
+from classweave.llm.ragged import (
+    KeyTable,
+    Numbering,
+    gather,
+    held,
+    offsets_of,
+    piece_text,
+    ragged,
+    space_keys,
+    text_blocks,
+)
 from classweave.llm.shared_files import make_folder, new_name, open_folder
 from classweave.session import materialise
 
@@ -43,7 +54,13 @@ LEVEL = 3
 SAMPLE_DOCUMENTS = 2_000
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
+
+# The byte-level pre-tokenizer's pattern, used for characters below
+# the end of the Latin blocks, whose classes no Unicode version changes.
+SPLIT = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+LATIN_END = "\u0250"
 
 # Fixed values of the file format.
 MARK = b"CWTOKEN1"
@@ -55,31 +72,74 @@ FOOTER = struct.Struct("<QQ")
 FILES_TYPE = "part int, file string, documents long, ids long"
 
 
+def byte_characters() -> dict[int, int]:
+    """The character that byte-level vocabularies write for each byte.
+
+    Printable bytes stand for themselves, the others for the characters from 256
+    on, in order.
+    """
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
     The byte-level pre-tokenizer never joins characters across the cuts of
-    ``space_pieces``, so the ids of a text are those of its pieces in turn. Other
-    kinds of tokenizer encode whole texts.
+    ``space_keys``, so the ids of a text are those of its pieces in turn. New
+    pieces of old letters are cut by the pre-tokenizer's pattern here and their
+    distinct words given to the tokenizer's model; pieces with other characters
+    or with special tokens go through the whole tokenizer. Other kinds of
+    tokenizer encode whole texts.
     """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.byte_level = cuts_are_safe(spec)
+        self.marks = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
+        self.characters = byte_characters()
         self.table = KeyTable(self._learn, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(
             texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        return ragged(self._encode([piece_text(k) for k in keys]), np.uint32)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _word_ids(self, word: str) -> list[int]:
+        shown = word.encode().decode("latin-1").translate(self.characters)
+        return [token.id for token in self.model.tokenize(shown)]
+
+    def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words, runs, whole = Numbering(), [], []
+        for i, key in enumerate(keys):
+            if key.isalpha() and max(key) < LATIN_END:
+                runs.append([words[" " + key]])
+                continue
+            piece = piece_text(key)
+            if max(piece, default="") < LATIN_END and not any(
+                    mark in piece for mark in self.marks):
+                runs.append([words[w] for w in SPLIT(piece)])
+            else:
+                runs.append(())
+                whole.append((i, piece))
+        word_starts, word_ids = ragged(map(self._word_ids, words), np.uint32)
+        starts, chosen = ragged(runs, np.int64)
+        ids, ends = gather(word_starts, word_ids, chosen)
+        starts = ends[starts]
+        if not whole:
+            return starts, ids
+        parts = np.split(ids, starts[1:-1])
+        for (i, _), own in zip(whole, self._encode([piece for _, piece in whole])):
+            parts[i] = np.array(own, np.uint32)
+        return (offsets_of(np.fromiter(map(len, parts), np.int64, len(parts))),
+                np.concatenate(parts))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.byte_level:
-            return self.table.read(map(space_pieces, texts))
-        return ragged(self._encode(texts), np.uint32)
+            return self.table.read(space_keys(texts))
+        return ragged(self._encode(texts.to_pylist()), np.uint32)
 
 
 def cuts_are_safe(spec: str) -> bool:
@@ -93,15 +153,9 @@ def cuts_are_safe(spec: str) -> bool:
                         or t.get("single_word") for t in parts.get("added_tokens", [])))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def worker_encoder(spec: str) -> Encoder:
     key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec)
-    return _ENCODERS[key]
+    return held(("token store", key), lambda: Encoder(spec))
 
 
 def id_width(spec: str) -> int:

@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classweave.llm.ragged import KeyTable, ragged, text_blocks
+from classweave.llm.ragged import KeyTable, held, ragged, text_blocks
 
 CLASS_ROWS = 5_000
 MAX_TERMS = 2_000
@@ -38,7 +40,9 @@ NEIGHBOURS = 15
 BLOCK = 64
 SCORE_STEPS = 20
 THRESHOLD = 0.5
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
+# distinct bags of terms whose scores a worker remembers
+KNOWN_BAGS = 20_000
 
 RESULT_TYPE = ("struct<score:double,neighbours:array<struct<"
                "doc_id:bigint,toxic:int,cosine:double>>>")
@@ -73,16 +77,24 @@ class TermCounter:
         numbers = {t: i for i, t in enumerate(terms)}
         self.table = KeyTable(
             lambda keys: ragged(
-                ([numbers[w] for w in _WORDS(k) if w in numbers] for k in keys),
+                ([numbers[w] for w in _WORDS(k.lower()) if w in numbers] for k in keys),
                 np.int32), np.int32)
+        # the scores of bags met, see term_counter
+        self.scored: dict[tuple, tuple] = {}
 
-    def count(self, texts: list[str]) -> Iterator[Counter]:
-        starts, found = self.table.read(t.lower().split() for t in texts)
+    def count(self, texts: pa.Array) -> Iterator[Counter]:
+        starts, found = self.table.read(pc.utf8_split_whitespace(texts))
         starts = starts.tolist()
         for low, high in zip(starts, starts[1:]):
             yield Counter(found[low:high].tolist())
 
 
+def term_counter(terms: list[str], model: str = "") -> TermCounter:
+    """One counter per worker, with the scores of one model."""
+    key = ("terms", xxhash.xxh64_hexdigest("\n".join(terms)), model)
+    return held(key, lambda: TermCounter(terms))
+
+
 class Index:
     """Block-max inverted index over the distinct example vectors."""
 
@@ -172,11 +184,9 @@ class Model:
                  no_vote: float):
         self.terms, self.index = terms, index
         self.rises, self.no_vote = rises, no_vote
-        self.counter: TermCounter | None = None
-        self.seen: dict[tuple, tuple] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "counter": None, "seen": {}}
+        self.key = xxhash.xxh64_hexdigest(repr((
+            terms, index.idf.tolist(), index.votes.tolist(), index.owners,
+            list(index.place), rises, no_vote)))
 
     def probability(self, vote: float | None) -> float:
         """Straight lines between the steps; no neighbour has its own value."""
@@ -185,21 +195,20 @@ class Model:
         return float(np.interp(
             vote, np.linspace(0, 1, len(self.rises)), self.rises))
 
-    def score(self, texts: list[str]) -> Iterator[tuple[float, list[tuple]]]:
+    def score(self, texts: pa.Array) -> Iterator[tuple[float, list[tuple]]]:
         """Score and evidence of each text."""
-        if self.counter is None:
-            self.counter = TermCounter(self.terms)
-        for counts in self.counter.count(texts):
+        counter = term_counter(self.terms, self.key)
+        for counts in counter.count(texts):
             bag = tuple(sorted(counts.items()))
-            if bag not in self.seen:
-                if len(self.seen) > 50_000:
-                    self.seen.clear()
+            if bag not in counter.scored:
+                if len(counter.scored) > KNOWN_BAGS:
+                    counter.scored.clear()
                 near = self.index.nearest(bag)
-                self.seen[bag] = (self.probability(self.index.vote(near)), [
+                counter.scored[bag] = (self.probability(self.index.vote(near)), [
                     (self.index.owners[at], int(self.index.votes[at][1]
                                                 >= self.index.votes[at][0]), cosine)
                     for cosine, at in near])
-            yield self.seen[bag]
+            yield counter.scored[bag]
 
 
 def choose_terms(used: DataFrame, rows: dict[int, int]) -> list[str]:
@@ -230,7 +239,7 @@ def _first_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
         for block in text_blocks(batch.column("text"), BLOCK_CHARS):
             words, about, toxic = [], [], []
-            for text in block:
+            for text in block.to_pylist():
                 run = ["", *_WORDS(text.lower()), ""]
                 first: dict[str, int] = {}
                 for i in range(1, len(run) - 1):
@@ -248,7 +257,7 @@ def _document_use(terms: Broadcast):
     """Per task: how many documents there are (-1) and how many use each term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, found = TermCounter(terms.value), Counter()
+        counter, found = term_counter(terms.value), Counter()
         for batch in batches:
             for block in text_blocks(batch.column("text"), BLOCK_CHARS):
                 for counts in counter.count(block):
@@ -262,7 +271,7 @@ def _document_use(terms: Broadcast):
 
 def _bags(terms: Broadcast):
     def count(texts: pa.Array) -> pa.Array:
-        counter = TermCounter(terms.value)
+        counter = term_counter(terms.value)
         return pa.array(
             [sorted(counts.items()) for block in text_blocks(texts, BLOCK_CHARS)
              for counts in counter.count(block)],

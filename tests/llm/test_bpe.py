@@ -5,12 +5,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from classweave.llm import bpe, queries, ragged
-from classweave.llm.ragged import piece_text, space_pieces
+from classweave.llm.ragged import piece_text, space_keys
 
 PATTERN = public_tokenizers.PATTERN
 RANKS_PATH = public_tokenizers.path(queries.BPE_RANKS)
@@ -19,7 +20,7 @@ ODD = [
     "", " ", "  ", "  a", "a  b", "a \n b", "\n\n x ", "a\n", "\na", " ab", "ab ",
     "aaaaaaa bbbbbbb", "=====   ====", "I'll don't  can't", "日本語 テキスト",
     "a\x1cb \x85c", "zzzz zzzz\r\n zz", "🙂🙂 🙂", "<|endoftext|> x", "x" * 5000,
-    " " * 999 + "z", "12345 67 8,9", "\ta b\t c",
+    " " * 999 + "z", "12345 67 8,9", "\ta b\t c", "a\0 b", "\0", "x\u2003\u2003y \u2003z", "a\u00a0 b",
 ]
 
 
@@ -41,13 +42,14 @@ def random_texts(n, seed):
 
 
 def test_pieces_join_to_the_text():
-    for text in ODD + random_texts(500, 1):
-        assert "".join(map(piece_text, space_pieces(text))) == text
+    texts = ODD + random_texts(500, 1) + ["\0", "a\0 b", "\0\n c"]
+    for text, keys in zip(texts, space_keys(pa.array(texts)).to_pylist()):
+        assert "".join(map(piece_text, keys)) == text
 
 
 def test_equals_tiktoken(ranks, tik):
     texts = ODD + random_texts(2000, 2)
-    starts, ids = bpe.Encoder(ranks, PATTERN).encode(texts)
+    starts, ids = bpe.Encoder(ranks, PATTERN).encode(pa.array(texts))
     for text, low, high in zip(texts, starts, starts[1:]):
         assert ids[low:high].tolist() == tik.encode_ordinary(text)
 
@@ -56,7 +58,7 @@ def test_forgets_pieces_without_changing_ids(ranks, tik, monkeypatch):
     monkeypatch.setattr(ragged, "KNOWN_KEYS", 3)
     coder = bpe.Encoder(ranks, PATTERN)
     for text in random_texts(40, 3):
-        assert coder.encode([text])[1].tolist() == tik.encode_ordinary(text)
+        assert coder.encode(pa.array([text]))[1].tolist() == tik.encode_ordinary(text)
 
 
 def test_merges_that_depart_from_rank_order():

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -23,9 +24,10 @@ def plain_ids(text):
 
 
 def test_ids_equal_the_library():
-    texts = ODD + random_texts(1500, 8) + ["a<|endoftext|>b <|endoftext|> c"]
+    low = "".join(map(chr, range(0x250)))
+    texts = ODD + random_texts(1500, 8) + ["a<|endoftext|>b <|endoftext|> c", low, " ".join(low)]
     assert token_store.cuts_are_safe(SPEC)
-    starts, ids = token_store.Encoder(SPEC).encode(texts)
+    starts, ids = token_store.Encoder(SPEC).encode(pa.array(texts))
     for text, low, high in zip(texts, starts, starts[1:]):
         assert ids[low:high].tolist() == plain_ids(text)[:-1]
 
@@ -34,7 +36,7 @@ def test_other_tokenizers_encode_whole_texts():
     spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
     assert not token_store.cuts_are_safe(spec)
     tokenizer = Tokenizer.from_str(spec)
-    starts, ids = token_store.Encoder(spec).encode(["Some words", "", "x\n y"])
+    starts, ids = token_store.Encoder(spec).encode(pa.array(["Some words", "", "x\n y"]))
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [
         tokenizer.encode(t, add_special_tokens=False).ids for t in ["Some words", "", "x\n y"]]
 
