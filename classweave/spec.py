@@ -75,23 +75,25 @@ EMPLOYEE_DDL = """
     YearsWithCurrManager INT
 """
 
+# The roles of the employee columns.
 EMPLOYEE_NUMERIC = (
-    "Age DailyRate DistanceFromHome Education EnvironmentSatisfaction "
-    "HourlyRate JobInvolvement JobLevel JobSatisfaction MonthlyIncome "
-    "MonthlyRate NumCompaniesWorked PercentSalaryHike PerformanceRating "
-    "RelationshipSatisfaction StockOptionLevel TotalWorkingYears "
-    "TrainingTimesLastYear WorkLifeBalance YearsAtCompany "
-    "YearsInCurrentRole YearsSinceLastPromotion YearsWithCurrManager"
+    "Age", "DailyRate", "DistanceFromHome", "Education",
+    "EnvironmentSatisfaction", "HourlyRate", "JobInvolvement", "JobLevel",
+    "JobSatisfaction", "MonthlyIncome", "MonthlyRate", "NumCompaniesWorked",
+    "PercentSalaryHike", "PerformanceRating", "RelationshipSatisfaction",
+    "StockOptionLevel", "TotalWorkingYears", "TrainingTimesLastYear",
+    "WorkLifeBalance", "YearsAtCompany", "YearsInCurrentRole",
+    "YearsSinceLastPromotion", "YearsWithCurrManager",
 )
 
 EMPLOYEE_CATEGORICAL = (
-    "BusinessTravel Department EducationField Gender JobRole MaritalStatus "
-    "OverTime"
+    "BusinessTravel", "Department", "EducationField", "Gender", "JobRole",
+    "MaritalStatus", "OverTime",
 )
 
 EMPLOYEE = FeatureSpec(
-    numeric=tuple(EMPLOYEE_NUMERIC.split()),
-    categorical=tuple(EMPLOYEE_CATEGORICAL.split()),
+    numeric=EMPLOYEE_NUMERIC,
+    categorical=EMPLOYEE_CATEGORICAL,
     label="Attrition",
     key=("EmployeeNumber",),
 )

@@ -184,9 +184,13 @@ def request_lines(spark, rows):
 
 
 def test_two_requests_get_two_answers(spark, model):
-    leave = "30,,Travel_Rarely,628,Sales,8,3,Medical,1,1,2,Male,82,3,2,Manager,3,Single,{},10228,2,Y,{},12,3,1,80,0,6,3,4,4,3,1,2"
-    bodies = [json.dumps({"data": leave.format(2100, "Yes")}),
-              json.dumps({"data": leave.format(18000, "No")}),
+    table = employees(spark, 1, salt=9).drop("OverTime", "MonthlyIncome").crossJoin(
+        spark.createDataFrame([(2100, "Yes"), (18000, "No")],
+                              "MonthlyIncome int, OverTime string"))
+    line = records.format_line(table, employee_schema())
+    leaving, staying = (r.line for r in table.orderBy("MonthlyIncome").select(
+        line.alias("line")).collect())
+    bodies = [json.dumps({"data": leaving}), json.dumps({"data": staying}),
               json.dumps({"data": "1,2"}), "oops"]
     df = spark.createDataFrame([(b,) for b in bodies], "value string")
     rows = scoring.score_requests(df, "value", employee_schema(), model).collect()
