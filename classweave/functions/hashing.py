@@ -13,11 +13,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HASH_SPACE = 2**32
+# holds a null's place, so that it does not hash like a shorter key
+NULL_KEY = "\x00"
 
 
 def _key_text(key: Sequence[str], seed: int) -> Column:
     return F.concat_ws(
-        ":", *(F.col(c).cast("string") for c in key), F.lit(str(seed))
+        ":", *(F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY)) for c in key),
+        F.lit(str(seed))
     )
 
 

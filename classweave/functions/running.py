@@ -40,7 +40,8 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     cuts = df.approxQuantile(order, shares, 1.0 / (4 * ranges))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     ranged = Bucketizer(
-        splits=splits, inputCol=order, outputCol="_range"
+        splits=splits, inputCol=order, outputCol="_range",
+        handleInvalid="keep",  # NaN goes last, where the window sorts it too
     ).transform(df)
 
     before = Window.orderBy("_range").rowsBetween(

@@ -47,11 +47,18 @@ def requests_over_time(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def latest_truth(truth: DataFrame, key: str = "request_id",
                  label: str = "label", ts: str | None = None) -> DataFrame:
-    """One label per request, the latest if it was corrected.
+    """One label per request, the latest by ``ts`` if it was corrected.
 
-    Reducing the truth first keeps the join from multiplying events.
+    Without ``ts`` a request with two different labels is an error, as nothing
+    tells which came last. Reducing the truth first keeps the join from
+    multiplying events.
     """
-    chosen = F.max_by(label, ts) if ts else F.max(label)
+    if ts:
+        chosen = F.max_by(label, ts)
+    else:
+        chosen = F.when(F.min(label) != F.max(label), F.raise_error(F.lit(
+            "a request has different labels: name their time column"))
+        ).otherwise(F.max(label))
     return truth.groupBy(key).agg(chosen.alias(label))
 
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
+from functools import reduce
+from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +14,8 @@ from pyspark.sql import types as T
 from classweave.functions.hashing import hash_below
 from classweave.functions.quantiles import finite, quantiles
 
-PAIRWISE_COLUMNS = 12
+# bounds the width of one aggregate; the answer is the same at any value
+PAIRS_AT_ONCE = 300
 
 
 def preview(df: DataFrame, order: Sequence[str], rows: int = 10) -> DataFrame:
@@ -220,38 +220,24 @@ def density(df: DataFrame, column: str, grid: int = 200,
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair, as (col_x, col_y, corr).
 
-    A few columns go through one aggregate of pairwise ``corr``. Wider sets go
-    through MLlib's matrix in one pass, on rows with no missing value.
+    A pair uses the rows where both hold a number, at any width; NaN counts as
+    missing. Pairs are worked out ``PAIRS_AT_ONCE`` to a pass over the rows.
     """
     columns = list(columns)
-    if len(columns) <= PAIRWISE_COLUMNS:
-        return _pairwise(df, columns)
-    vectors = VectorAssembler(
-        inputCols=columns, outputCol="v", handleInvalid="skip"
-    ).transform(df.select(*(finite(df, c).alias(c) for c in columns)))
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    rows = [
-        (x, y, float(matrix[i, j]))
-        for i, x in enumerate(columns) for j, y in enumerate(columns)
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "col_x STRING, col_y STRING, corr DOUBLE")
-
-
-def _pairwise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    pairs = list(combinations(range(len(columns)), 2))
-    row = df.agg(
-        *(F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs),
-        *(F.corr(c, c).alias(f"c{i}_{i}") for i, c in enumerate(columns)),
-    )
-    structs = [
-        F.struct(
-            F.lit(x).alias("col_x"), F.lit(y).alias("col_y"),
-            F.col(f"c{min(i, j)}_{max(i, j)}").alias("corr"),
-        )
-        for i, x in enumerate(columns) for j, y in enumerate(columns)
-    ]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    held = df.select(*(finite(df, c).alias(c) for c in columns))
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    passes = []
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        own = pairs[at:at + PAIRS_AT_ONCE]
+        row = held.agg(*(F.corr(columns[i], columns[j]).alias(f"c{i}_{j}")
+                         for i, j in own))
+        structs = [
+            F.struct(F.lit(columns[x]).alias("col_x"), F.lit(columns[y]).alias("col_y"),
+                     F.col(f"c{i}_{j}").alias("corr"))
+            for i, j in own for x, y in {(i, j), (j, i)}
+        ]
+        passes.append(row.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
+    return reduce(DataFrame.union, passes)
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:

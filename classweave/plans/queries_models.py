@@ -118,8 +118,8 @@ def lr_score_fixed(spark, sf_dir):
 
 # --- trained ----------------------------------------------------------------
 
-def _cores(spark: SparkSession) -> int:
-    return spark.sparkContext.defaultParallelism
+# fits in flight; each may hold its own copy of the training rows
+FITS_AT_ONCE = 4
 
 
 def _training_set(spark, sf_dir, **options) -> training.TrainingSet:
@@ -153,7 +153,7 @@ def cv_grid(spark, sf_dir):
         estimator = models.logistic_regression()
         return models.cross_validate(
             data.train, estimator, models.logistic_grid(estimator),
-            parallelism=_cores(spark)).table(spark)
+            parallelism=FITS_AT_ONCE).table(spark)
     finally:
         data.release()
 
@@ -166,7 +166,7 @@ def cv_best_model(spark, sf_dir):
         estimator = models.logistic_regression()
         tuned = models.cross_validate(
             data.train, estimator, models.logistic_grid(estimator),
-            parallelism=_cores(spark))
+            parallelism=FITS_AT_ONCE)
         name = models.describe_params(tuned.best_params)
         return evaluate.evaluate_model(tuned.best_model, data.test, name)
     finally:
@@ -175,14 +175,11 @@ def cv_best_model(spark, sf_dir):
 
 @register("tune_models")
 def tune_models(spark, sf_dir):
-    """A grid search for each family, on fewer trees and rounds than training."""
-    data = _training_set(spark, sf_dir, folds=2)
+    """A grid search for each family, as large as training itself."""
+    data = _training_set(spark, sf_dir, folds=models.FOLDS)
     try:
         tuned = models.tune_all(
-            data.train, folds=2, parallelism=_cores(spark),
-            **{"Random Forest": {"numTrees": 10},
-               "Gradient Boosting": {"maxIter": 2},
-               "Logistic Regression": {"maxIter": 10}})
+            data.train, folds=models.FOLDS, parallelism=FITS_AT_ONCE)
         tables = [
             found.table(spark).withColumn("model", F.lit(name))
             for name, found in tuned.items()

@@ -147,6 +147,30 @@ def corr_matrix(spark, sf_dir):
     return found.withColumn("corr", F.round("corr", 6))
 
 
+# 14 columns, each missing in other rows: null where the number is odd, else NaN
+_WIDE = {
+    f"w{i:02d}": (f"l_orderkey % 11 = {i % 11}",
+                  f"l_quantity * {1 + i % 3} + l_extendedprice / {100 * (i + 1)}"
+                  f" + l_linenumber * {i} + l_discount * {7 * i}")
+    for i in range(14)
+}
+_WIDE_SQL = "SELECT " + ", ".join(
+    f"CASE WHEN NOT ({gap}) THEN {value} END AS {name}"
+    for name, (gap, value) in _WIDE.items()) + " FROM lineitem"
+
+
+@register("corr_matrix_wide", f"WITH wide AS ({_WIDE_SQL}) " + _union(
+    f"SELECT '{x}' AS col_x, '{y}' AS col_y, round(corr({x}, {y}), 6) AS corr "
+    "FROM wide" for x in _WIDE for y in _WIDE))
+def corr_matrix_wide(spark, sf_dir):
+    wide = s.table(spark, sf_dir, "lineitem").select(*(
+        F.when(F.expr(gap), F.lit(None if int(name[1:]) % 2 else float("nan")))
+        .otherwise(F.expr(value)).cast("double").alias(name)
+        for name, (gap, value) in _WIDE.items()))
+    found = profile.correlation_matrix(wide, list(_WIDE))
+    return found.withColumn("corr", F.round("corr", 6))
+
+
 @register("scatter_bins", """
     WITH r AS (SELECT min(l_quantity) AS xl, max(l_quantity) AS xh,
                       min(l_extendedprice) AS yl, max(l_extendedprice) AS yh

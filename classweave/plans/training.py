@@ -101,7 +101,7 @@ def prepare(df: DataFrame, prep: Prep, drop_outliers: bool = True,
 
 @dataclass(frozen=True)
 class TrainingSet:
-    """Balanced training rows and untouched test rows, both prepared."""
+    """Balanced training rows, and all labelled test rows, both prepared."""
 
     prep: Prep
     train: DataFrame
@@ -160,7 +160,9 @@ def build_training_set(df: DataFrame, spec: FeatureSpec, *,
         train = sampling.with_fold(train, spec.key, folds)
     kept = ["selectedFeatures", "label", *(["fold"] if folds else [])]
     train = train.select(*kept)
-    test = prepare(raw_test, prep).select("selectedFeatures", "label")
+    # outliers and filled rows are judged too: every labelled test row stays
+    test = prepare(raw_test, prep, drop_outliers=False).select(
+        "selectedFeatures", "label")
     cores = df.sparkSession.sparkContext.defaultParallelism
     train = train.repartition(partitions_for(2 * balance.minority_count, cores))
     return TrainingSet(

@@ -62,16 +62,20 @@ def test_density_integrates_to_about_one(spark):
     assert worst < 1e-4
 
 
-def test_wide_correlation_equals_pairwise(spark):
+@pytest.mark.parametrize("at_once", [300, 7])
+def test_correlation_is_the_same_at_any_width(spark, monkeypatch, at_once):
+    monkeypatch.setattr(profile, "PAIRS_AT_ONCE", at_once)
     columns = [f"c{i}" for i in range(14)]
     df = spark.range(400).select(*(
-        (F.abs(F.xxhash64("id", F.lit(i))) % 1000).cast("double").alias(c)
+        F.when(F.col("id") % 9 == i, F.lit(None if i % 2 else float("nan"))).otherwise(
+            (F.abs(F.xxhash64("id", F.lit(i))) % 1000).cast("double")).alias(c)
         for i, c in enumerate(columns)))
     wide = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df, columns).collect()}
     few = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df, columns[:3]).collect()}
     assert len(wide) == 196
     for pair, value in few.items():
         assert wide[pair] == pytest.approx(value, abs=1e-9)
+    assert not any(v is None or v != v for v in wide.values())
 
 
 def test_equal_counts_name_two_classes(spark):
