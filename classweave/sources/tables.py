@@ -28,7 +28,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
     lines = spark.read.text(path).filter(F.trim("value") != "")
     if header:
         lines = lines.filter(F.col("value") != _header_line(lines, schema))
-    return lines.select(parse_line(F.col("value"), schema).alias("r")).select("r.*")
+    # a generator keeps filters on its columns above it, so a line is parsed once
+    return lines.select(F.inline(F.array(parse_line(F.col("value"), schema))))
 
 
 def _header_line(lines: DataFrame, schema: T.StructType) -> str:

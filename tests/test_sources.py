@@ -33,6 +33,13 @@ def test_line_round_trip(spark):
     assert back.select(*SCHEMA.names).collect() == df.collect()
 
 
+def test_csv_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("id,name,amount\n1,a,5\n")
+    good = tables.well_formed(tables.read_csv(spark, str(tmp_path), SCHEMA))
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_csv") == 1
+
+
 def test_csv_keeps_bad_rows(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / f"{n}.csv").write_text(
