@@ -17,6 +17,8 @@ both its members are crowded, and then both take that way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -129,14 +131,17 @@ def fingerprint_links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_copies(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def near_copies(prints: DataFrame, crowded: int = CROWDED,
+                links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``fp, least, component, group_id`` of documents given as ``doc_id, fp``.
 
     One row per distinct fingerprint. ``least`` is its smallest doc_id, and
     ``group_id`` the smallest of its component; both null where no row has one.
+    ``links`` gives the links of other prints than these, from their column ``fp``.
     """
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(fingerprint_links(distinct.select("fp"), crowded))
+    only = distinct.select("fp")
+    groups = components(links(only) if links else fingerprint_links(only, crowded))
     joined = distinct.join(
         groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
@@ -159,20 +164,21 @@ def classes(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         F.col("group_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, print_of: Callable[[Column], Column] = fingerprint_column,
+             links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The documents with one member of each group, all columns as they are.
 
     The member with the smallest doc_id stays. Repeated rows of one doc_id and
     fingerprint count as one. A row without a doc_id stays only when no member
-    of its group has one.
+    of its group has one. ``print_of`` and ``links`` as in ``near_copies``.
     """
     own = {name: _unused(docs, name) for name in ("_fp", "_id", "_no_id")}
     fp, at, no_id = own.values()
-    printed = docs.withColumn(fp, fingerprint_column(F.col("text"))).withColumns(
+    printed = docs.withColumn(fp, print_of(F.col("text"))).withColumns(
         {at: F.coalesce("doc_id", F.lit(0)), no_id: F.col("doc_id").isNull()})
     prints = materialise(printed.select("doc_id", F.col(fp).alias("fp")))
     # two fingerprints of one group may carry its smallest id: one of them stays
-    kept = near_copies(prints).where(
+    kept = near_copies(prints, links=links).where(
         F.col("least").eqNullSafe(F.col("group_id"))).groupBy("component").agg(
         F.min(F.struct("fp", F.col("group_id").alias("id"))).alias("k")).select(
         F.col("k.fp").alias(fp), F.coalesce("k.id", F.lit(0)).alias(at),

@@ -1,0 +1,64 @@
+"""Near copies by whole shingle sets against all pairs."""
+
+import random
+
+import corpus_pipeline
+from brute import reach
+from classweave.llm import edited_copies, queries
+
+
+def plain_set(text):
+    words = (text or "").encode().decode().lower().split()
+    width = min(5, len(words))
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+def similar(x, y):
+    return x == y or bool(x and y) and len(x & y) / len(x | y) >= 0.8
+
+
+def survivors(rows):
+    sets = {r.doc_id: plain_set(r.text) for r in rows}
+    return sorted(set(reach(sorted(sets), lambda a, b: similar(sets[a], sets[b])).values()))
+
+
+def test_groups_equal_all_pairs(spark):
+    """Chains of edits, a crowd around one text, short texts and blank ones."""
+    draw = random.Random(3)
+    rows = []
+    for _ in range(25):
+        words = [f"w{draw.randrange(400)}" for _ in range(draw.choice([3, 6, 60, 300]))]
+        for _ in range(draw.choice([1, 3, 12])):
+            rows.append(" ".join(words))
+            edited = list(words)
+            for _ in range(draw.randint(0, max(1, len(words) // 50))):
+                edited[draw.randrange(len(edited))] = f"e{draw.randrange(10**6)}"
+            words = edited if draw.random() < 0.5 else words
+    rows += ["", None, " \n"]
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    expected = survivors(docs.collect())
+    assert len(expected) < len({frozenset(plain_set(r)) for r in rows})
+    kept = edited_copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == expected
+    assert edited_copies.keep_one(docs.where("doc_id < 0")).count() == 0
+
+
+def test_members_that_miss_the_smallest_are_still_compared(spark):
+    """A chain is one group though its ends are unlike each other."""
+    words = [f"c{i}" for i in range(200)]
+    rows = []
+    for i in range(12):
+        rows.append((i, " ".join(words)))
+        words[i * 15] = f"new{i}"
+        words[i * 15 + 7] = f"other{i}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not similar(plain_set(rows[0][1]), plain_set(rows[-1][1]))
+    assert [r.doc_id for r in edited_copies.keep_one(docs).collect()] == [0]
+
+
+def test_stage_drops_edited_copies(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == survivors(docs.collect())
