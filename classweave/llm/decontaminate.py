@@ -50,12 +50,16 @@ BLOCK_CHARS = 2_000_000
 HIT_TYPE = ("array<struct<item_id:bigint,doc_start:bigint,item_start:bigint,"
             "n_window:int,n_agree:int>>")
 
-_TOKENS = re.compile(r"[^\W_]+").findall
+# Han, kana, Thai, Lao, Burmese and Khmer, which set no spaces between words
+UNSPACED = ("\u3005-\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+            "\u3041-\u309f\u30a1-\u30ff\u31f0-\u31ff\uff66-\uff9f"
+            "\u0e00-\u0eff\u1000-\u109f\ua9e0-\ua9ff\uaa60-\uaa7f\u1780-\u17ff")
+_TOKENS = re.compile(rf"(?=[^\W_])[{UNSPACED}]|(?:(?![{UNSPACED}])[^\W_])+").findall
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str) -> list[str]:
-    """Runs of letters and digits in lower case."""
+    """Runs of letters and digits in lower case; unspaced scripts by character."""
     return _TOKENS(text.lower())
 
 
