@@ -48,7 +48,7 @@ FILTER_BITS = 20
 BLOCK_CHARS = 2_000_000
 
 HIT_TYPE = ("array<struct<item_id:bigint,doc_start:bigint,item_start:bigint,"
-            "n_window:int,n_agree:int>>")
+            "n_window:int,n_agree:int,item_ids:array<bigint>>>")
 
 # Han, kana, Thai, Lao, Burmese and Khmer, which set no spaces between words
 UNSPACED = ("\u3005-\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
@@ -87,12 +87,14 @@ def needed(n_window: int) -> int:
 class Block:
     """Stretches of items with a sorted table of their seed hashes."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
-        """``rows``: item_id, place of the stretch in the item, token hashes."""
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, list[int]]]):
+        """``rows``: item_id, place of the stretch in the item, token hashes, and
+        the ids of all items with these tokens.
+        """
         self.rows = rows
         self.tables = []
         for mask in MASKS:
-            seeds = [seed_hashes(h, mask) for _, _, h in rows]
+            seeds = [seed_hashes(h, mask) for _, _, h, _ in rows]
             sizes = np.fromiter(map(len, seeds), np.int64, len(seeds))
             row = np.repeat(np.arange(len(rows)), sizes)
             place = np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, int)])
@@ -131,9 +133,9 @@ class Block:
         return np.unique(np.concatenate(found), axis=0)
 
     def overlaps(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
-        """(document, item_id, doc_start, item_start, window, agreeing) verified."""
+        """(document, item_id, doc_start, item_start, window, agreeing, ids) verified."""
         for doc, row, shift in self.alignments(hashes, starts).tolist():
-            item_id, offset, item = self.rows[row]
+            item_id, offset, item, ids = self.rows[row]
             text = hashes[starts[doc]:starts[doc + 1]]
             first = max(0, -shift)
             last = min(len(text), len(item) - shift)
@@ -146,14 +148,14 @@ class Block:
             best = int(counts.argmax())
             if counts[best] >= needed(window):
                 yield (doc, item_id, first + best, offset + first + best + shift,
-                       window, int(counts[best]))
+                       window, int(counts[best]), ids)
 
 
 def blocks(benchmark: DataFrame) -> list[Broadcast]:
     """The benchmark's stretches in blocks of bounded size.
 
     Null texts and items of fewer than ``MIN_TOKENS`` tokens overlap nothing.
-    Items with the same tokens are represented by the smallest item_id.
+    Items with the same tokens are compared once, under the smallest item_id.
     """
     spark = benchmark.sparkSession
 
@@ -164,13 +166,14 @@ def blocks(benchmark: DataFrame) -> list[Broadcast]:
     items = benchmark.select(
         "item_id", F.arrow_udf(split, "array<string>")(F.col("text")).alias("tokens")
     ).where(F.size("tokens") >= MIN_TOKENS).groupBy("tokens").agg(
-        F.min("item_id").alias("item_id"))
+        F.min("item_id").alias("item_id"),
+        F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     step = STRETCH_TOKENS - WINDOW
     stretches = items.select(
-        "item_id", "tokens", F.explode(F.sequence(
+        "item_id", "item_ids", "tokens", F.explode(F.sequence(
             F.lit(0), F.greatest(F.size("tokens") - WINDOW - 1, F.lit(0)),
             F.lit(step))).alias("offset")).select(
-        "item_id", "offset",
+        "item_id", "item_ids", "offset",
         F.slice("tokens", F.col("offset") + 1, STRETCH_TOKENS).alias("tokens"))
     total = stretches.agg(F.sum(F.size("tokens"))).first()[0] or 0
     n_blocks = max(1, -(-total // (BLOCK_TOKENS // 2)))
@@ -181,7 +184,7 @@ def blocks(benchmark: DataFrame) -> list[Broadcast]:
         rows = stretches.where(F.col("block") == number).orderBy(
             "item_id", "offset").collect()
         found.append(spark.sparkContext.broadcast(Block([
-            (r.item_id, r.offset, np.array(token_hashes(r.tokens), np.uint64))
+            (r.item_id, r.offset, np.array(token_hashes(r.tokens), np.uint64), r.item_ids)
             for r in rows])))
     return found
 
@@ -200,20 +203,24 @@ def hits_column(shared: list[Broadcast], text: Column) -> Column:
         for block in text_blocks(texts, BLOCK_CHARS):
             starts, hashes = _token_table().read(pc.utf8_split_whitespace(block))
             best: list[dict] = [{} for _ in block]
+            met: dict[tuple, set] = {}
             for part in shared:
-                for doc, item, *rest in part.value.overlaps(hashes, starts):
+                for doc, item, *rest, ids in part.value.overlaps(hashes, starts):
+                    met.setdefault((doc, item), set()).update(ids)
                     old = best[doc].get(item)
                     if old is None or (-rest[3], rest[0]) < (-old[3], old[0]):
                         best[doc][item] = rest
             out += [[dict(zip(("item_id", "doc_start", "item_start", "n_window",
-                               "n_agree"), (item, *rest)))
+                               "n_agree", "item_ids"),
+                              (item, *rest, sorted(met[doc, item]))))
                      for item, rest in sorted(
                          hits.items(), key=lambda x: (x[0] is None, x[0] or 0))]
-                    for hits in best]
+                    for doc, hits in enumerate(best)]
         return pa.array(out, pa.list_(pa.struct([
             ("item_id", pa.int64()), ("doc_start", pa.int64()),
             ("item_start", pa.int64()), ("n_window", pa.int32()),
-            ("n_agree", pa.int32())])))
+            ("n_agree", pa.int32()),
+            ("item_ids", pa.list_(pa.int64()))])))
 
     return F.arrow_udf(find, HIT_TYPE)(text)
 
@@ -221,7 +228,8 @@ def hits_column(shared: list[Broadcast], text: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per overlapping pair: ``doc_id``, ``item_id`` and its best window.
 
-    Places count tokens from zero. Repeated documents are all reported.
+    Places count tokens from zero. Repeated documents are all reported. Items with
+    the same tokens make one row; ``item_ids`` has all their ids.
     """
     shared = blocks(benchmark)
     passes = [docs.select("doc_id", F.explode(hits_column(
