@@ -18,6 +18,7 @@ from classweave.llm import (
     simhash,
     token_store,
     toxicity,
+    url_rules,
     warc,
 )
 from classweave.session import materialise, new_folder
@@ -184,3 +185,33 @@ def op10_toxicity(spark, sf_dir):
         "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"),
         score.alias("score")).withColumn(
         "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+# The rules of the contract.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+_URL_RULES_SQL = ", ".join(str(rule) for rule in URL_RULES)
+
+
+@register("op13_url_filter", f"""
+    WITH r(rule_host, rule_path, rule_verdict) AS (VALUES {_URL_RULES_SQL}),
+    u AS (SELECT page_id,
+                 coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+          FROM pages)
+    SELECT page_id, host, path,
+           (SELECT arg_max(rule_host || rule_path, length(rule_host || rule_path)) FROM r
+            WHERE (host = rule_host OR ends_with(host, '.' || rule_host))
+                  AND starts_with(path, rule_path)) AS rule,
+           coalesce((SELECT arg_max(rule_verdict, length(rule_host || rule_path)) FROM r
+                     WHERE (host = rule_host OR ends_with(host, '.' || rule_host))
+                           AND starts_with(path, rule_path)), 'allow') AS verdict
+    FROM u
+""")
+def op13_url_filter(spark, sf_dir):
+    """The verdict on every page's address."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(
+        table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
