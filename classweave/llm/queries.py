@@ -15,6 +15,7 @@ from classweave.llm import (
     embedding_dedup,
     langid,
     licenses,
+    merkle,
     simhash,
     token_store,
     toxicity,
@@ -215,3 +216,94 @@ def op13_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(
         table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+# levels the SQL spells out, enough for 16 million documents of a language
+_SQL_LEVELS = 8
+
+
+def _merkle_levels(name: str) -> str:
+    """Nodes of each level and the runs they lie in, as common tables."""
+    parts = []
+    for k in range(_SQL_LEVELS):
+        parts.append(f"""
+    {name}r{k} AS (SELECT tree, pos // 8 AS run, max(size) AS size,
+                          string_agg(digest, '' ORDER BY pos) AS t
+                   FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM {name}{k})
+                   GROUP BY tree, pos // 8),
+    {name}{k + 1} AS (SELECT tree, run AS pos,
+                             CASE WHEN size = 1 THEN t ELSE sha256(t) END AS digest
+                      FROM {name}r{k})""")
+    return ",".join(parts)
+
+
+def _merkle_paths(name: str, start: str, first: str, shown: str) -> str:
+    """Siblings and folded nodes of every row of ``start``, level by level."""
+    parts = [f"""
+    {name}f0 AS (SELECT *, {first} AS proof, {shown} AS folded, pos AS p FROM {start})"""]
+    for k in range(_SQL_LEVELS):
+        parts.append(f"""
+    {name}f{k + 1} AS (
+        SELECT f.* REPLACE (
+            CASE WHEN size = 1 THEN proof ELSE proof || t[1:64 * (p % 8)]
+                 || t[64 * (p % 8) + 65:] END AS proof,
+            CASE WHEN size = 1 THEN folded ELSE sha256(t[1:64 * (p % 8)] || folded
+                 || t[64 * (p % 8) + 65:]) END AS folded,
+            p // 8 AS p)
+        FROM {name}f{k} f JOIN {name}r{k} r ON f.tree = r.tree AND f.p // 8 = r.run)""")
+    return ",".join(parts)
+
+
+def _sql_leaf(text: str) -> str:
+    values = [f"{c}::VARCHAR" for c in MANIFEST_COLUMNS[:-1]] + [text]
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+# the checksum bit by bit: a byte is mixed in, then shifted out by eight steps
+_SQL_CRC = """
+    xor(list_reduce([4294967295]::BIGINT[] || flatten(list_transform(
+            range(1, length(doc_id::VARCHAR) + 1),
+            lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))]::BIGINT[]
+                      || [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])),
+        lambda c, b: CASE WHEN b >= 0 THEN xor(c, b)
+                          ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)
+"""
+
+_MERKLE_SQL = f"""
+    WITH d AS (
+        SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_sql_leaf('text')} AS leaf,
+               CASE WHEN {_SQL_CRC} % 3 = 0 THEN {_sql_leaf(
+                   "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+               )} END AS tampered
+        FROM documents),
+    placed AS (SELECT *, row_number() OVER (
+                   PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+    a0 AS (SELECT tree, pos, leaf AS digest FROM placed),{_merkle_levels('a')},
+    subroots AS (SELECT tree AS name, digest AS subroot, '' AS tree,
+                        row_number() OVER (ORDER BY tree) - 1 AS pos FROM a{_SQL_LEVELS}),
+    b0 AS (SELECT tree, pos, subroot AS digest FROM subroots),{_merkle_levels('b')},
+    {_merkle_paths('a', 'placed', "''", 'coalesce(tampered, leaf)')},
+    joined AS (SELECT doc_id, leaf, s.subroot, proof AS below, folded AS sub, '' AS tree, s.pos
+               FROM af{_SQL_LEVELS} f JOIN subroots s ON f.tree = s.name),
+    {_merkle_paths('b', 'joined', 'below', 'sub')}
+    SELECT doc_id, leaf, subroot, b.digest AS root, sha256(proof) AS proof_sha256,
+           folded AS folded_root, folded = b.digest AS verified
+    FROM bf{_SQL_LEVELS} JOIN b{_SQL_LEVELS} b ON true
+"""
+
+
+@register("op11_merkle", _MERKLE_SQL)
+def op11_merkle(spark, sf_dir):
+    """The manifest of all documents, and every proof tried, a third on changed texts."""
+    lowered = url_rules.lower_ascii(F.col("text"))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_column(
+        [lowered if c == "text" else F.col(c) for c in MANIFEST_COLUMNS]))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), MANIFEST_COLUMNS,
+                            "lang", "doc_id", tampered=tampered)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.col("path"), F.coalesce("tampered", "leaf")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
