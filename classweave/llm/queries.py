@@ -13,6 +13,7 @@ from classweave.llm import (
     chat,
     decontaminate,
     embedding_dedup,
+    hard_negatives,
     langid,
     licenses,
     merkle,
@@ -307,3 +308,31 @@ def op11_merkle(spark, sf_dir):
         merkle.proof_digest(F.col("path")).alias("proof_sha256"),
         merkle.fold(F.col("path"), F.coalesce("tampered", "leaf")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register("op12_hard_negatives", """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e,
+               CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(
+            list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+                 list_inner_product(a.e, b.e)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+                               AND len(a.e) = len(b.e)),
+    p AS (SELECT a, b, score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+    SELECT p.a AS anchor_id, p.b AS positive_id,
+           (row_number() OVER w)::INTEGER AS rank, s.b AS negative_id,
+           p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.a = s.a AND NOT s.same
+         AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+    WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)
+    QUALIFY row_number() OVER w <= 5
+""")
+def op12_hard_negatives(spark, sf_dir):
+    """The hard negatives of every hundredth vector, a seventh of the labels moved."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, lambda vec_id: vec_id % 100 == 0)
