@@ -21,10 +21,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from classweave.functions.running import global_rank
+from classweave.functions.running import ROW_BITS, global_rank
 from classweave.session import materialise
 
 DIGEST_CHARS = 64
@@ -158,10 +158,25 @@ def descend(rounds: Sequence[DataFrame], tops: DataFrame) -> DataFrame:
 # --- the manifest -----------------------------------------------------------
 
 def place(leaves: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """Add ``pos``, the place of a row in its ``tree`` in the order of unique keys."""
-    ranked = global_rank(leaves, ["tree", *order])
-    starts = ranked.groupBy("tree").agg(F.min("rank").alias("start"))
-    return ranked.join(starts, "tree").withColumn("pos", F.col("rank") - F.col("start"))
+    """Add ``pos``, the place of a row in its ``tree`` in the order of unique keys.
+
+    A sorted and written partition is a stretch of the order. The place in the
+    stretch, less where the tree starts in it, plus the tree's rows in earlier
+    stretches is the place in the tree. The offsets have a row for each stretch
+    and tree, so that joining them deals out a large tree by its stretches.
+    """
+    placed = materialise(leaves.orderBy("tree", *order).withColumn(
+        "at", F.monotonically_increasing_id())).withColumns({
+            "stretch": F.shiftright("at", ROW_BITS),
+            "row_number": F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))})
+    before = Window.partitionBy("tree").orderBy("stretch").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("tree", "stretch").agg(
+        F.count("*").alias("n"), F.min("row_number").alias("first")).select(
+        "tree", "stretch",
+        (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
+    return placed.join(offsets, ["tree", "stretch"]).withColumn(
+        "pos", F.col("row_number") + F.col("offset"))
 
 
 def manifest(docs: DataFrame, columns: Sequence[str], group: str, key: str,
