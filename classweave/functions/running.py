@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,48 +17,44 @@ ROW_BITS = 33
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str],
                    window_rows: int = SINGLE_WINDOW_ROWS,
-                   max_ranges: int = 10_000) -> DataFrame:
+                   by: Sequence[str] = ()) -> DataFrame:
     """Add ``<name>_upto`` for each column in ``sums``, by ascending ``order``.
 
-    ``df`` holds one row per distinct ``order`` value (a double) and is read
-    several times, so pass a written or persisted table. Above ``window_rows``
-    rows the values are cut into ranges of similar size; each range is totalled
-    on its own and shifted by the sum of the ranges before it. Ranges hold
-    distinct values only, so no repeated value can overload one.
+    Totals start anew in every segment, the rows that agree on ``by``. ``df``
+    holds one row per distinct ``order`` value of a segment, no nulls, and is
+    read several times, so pass a written or persisted table.
+
+    Above ``window_rows`` rows the whole table, all segments together, is cut by
+    range into stretches of about that many rows, and written. A stretch is
+    totalled on its own and shifted by the sum of the segment's earlier ones,
+    so neither one large segment nor a great many small ones fill a task. There
+    are about as many offsets as stretches and segments together.
     """
-    rows = df.count()
-    ranges = min(max_ranges, -(-rows // window_rows)) if rows else 1
     frame = (Window.unboundedPreceding, Window.currentRow)
-    if ranges == 1:
-        whole = Window.orderBy(order).rowsBetween(*frame)
+    stretches = -(-df.count() // window_rows)
+    if stretches <= 1:
+        whole = Window.partitionBy(*by).orderBy(order).rowsBetween(*frame)
         return df.select(
             "*", *(F.sum(c).over(whole).alias(f"{c}_upto") for c in sums)
         )
 
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.approxQuantile(order, shares, 1.0 / (4 * ranges))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    ranged = Bucketizer(
-        splits=splits, inputCol=order, outputCol="_range",
-        handleInvalid="keep",  # NaN goes last, where the window sorts it too
-    ).transform(df)
-
-    before = Window.orderBy("_range").rowsBetween(
+    ranged = materialise(df.repartitionByRange(stretches, *by, order).withColumn(
+        "_stretch", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        ranged.groupBy("_range")
+        ranged.groupBy(*by, "_stretch")
         .agg(*(F.sum(c).alias(c) for c in sums))
         .select(
-            "_range",
+            *by, "_stretch",
             *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before")
               for c in sums),
         )
     )
-    within = Window.partitionBy("_range").orderBy(order).rowsBetween(*frame)
-    # at most max_ranges rows, so the broadcast is bounded
+    within = Window.partitionBy(*by, "_stretch").orderBy(order).rowsBetween(*frame)
     return (
-        ranged.join(F.broadcast(offsets), "_range")
+        ranged.join(offsets, [*by, "_stretch"])
         .select(
             *df.columns,
             *((F.sum(c).over(within) + F.col(f"_{c}_before"))

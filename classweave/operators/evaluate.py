@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
@@ -54,13 +53,13 @@ def sensitivity_specificity(counts: DataFrame,
     )
 
 
-def score_counts(scored: DataFrame, score: str = "score",
-                 label: str = "label") -> DataFrame:
-    """Positives and negatives per distinct score, written once."""
+def score_counts(scored: DataFrame, score: str = "score", label: str = "label",
+                 by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per group and distinct score, written once."""
     positive = F.col(label) == 1
     return materialise(
         scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
+        .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(F.count_if(positive).alias("pos"),
              F.count_if(~positive).alias("neg"))
     )
@@ -69,19 +68,33 @@ def score_counts(scored: DataFrame, score: str = "score",
 def rank_area() -> Column:
     """Area under the ROC curve by ranks; tied scores earn half credit.
 
-    An aggregate over counts that carry the running ``neg_upto``. A table with
-    one class only has no area: the result is null.
+    An aggregate over counts that carry the running ``neg_upto``. Pairs are
+    counted in whole numbers, so the area does not depend on how the rows were
+    cut. A table with one class only has no area: the result is null.
     """
-    wins = F.col("pos") * (F.col("neg_upto").cast("double") - F.col("neg") / 2)
+    def whole(count: Column) -> Column:
+        return count.cast("decimal(19,0)")
+
+    half_wins = whole(F.col("pos")) * whole(2 * F.col("neg_upto") - F.col("neg"))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return F.sum(wins) / F.nullif(pairs, F.lit(0.0))
+    return F.sum(half_wins).cast("double") / F.nullif(2 * pairs, F.lit(0.0))
+
+
+def areas(counts: DataFrame, by: Sequence[str] = (),
+          window_rows: int = SINGLE_WINDOW_ROWS, *also: Column) -> DataFrame:
+    """``by``, ``auc`` and ``also``: one exact area for every group at once.
+
+    ``counts`` are ``score_counts``, or have ``score, pos, neg`` like them.
+    """
+    ranked = running_totals(counts, "score", ["neg"], window_rows, by)
+    return ranked.groupBy(*by).agg(rank_area().alias("auc"), *also)
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label",
-        window_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
-    counts = score_counts(scored, score, label)
-    ranked = running_totals(counts, "score", ["neg"], window_rows)
-    return ranked.agg(rank_area().alias("auc"))
+        window_rows: int = SINGLE_WINDOW_ROWS,
+        by: Sequence[str] = ()) -> DataFrame:
+    """The area of every group of ``by``, from one pass over the rows."""
+    return areas(score_counts(scored, score, label, by), by, window_rows)
 
 
 def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
@@ -154,16 +167,16 @@ def compare_models(models: dict[str, Model], test: DataFrame,
     """
     counts = materialise(
         model_counts(list(models.values()), test, score, label))
-    rows = []
-    for i, name in enumerate(models):
-        own = counts.filter(F.col("model") == i).drop("model")
-        totals = running_totals(own, "score", ["neg"]).agg(
-            F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
-            (F.sum("pos") - F.sum("tp")).alias("fn"),
-            rank_area().alias("auc"))
-        rows.append(rates(totals, ["auc"]).select(
-            F.lit(name).alias("model"), "precision", "recall", "f1", "auc"))
-    return reduce(DataFrame.unionByName, rows)
+    found = areas(
+        counts, ["model"], SINGLE_WINDOW_ROWS,
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
+        (F.sum("pos") - F.sum("tp")).alias("fn"))
+    # one row per model, also for those that judged nothing
+    names = counts.sparkSession.createDataFrame(
+        list(enumerate(models)), "model INT, name STRING")
+    judged = names.join(found, "model", "left").orderBy("model")
+    return rates(judged, ["name", "auc"]).select(
+        F.col("name").alias("model"), "precision", "recall", "f1", "auc")
 
 
 def evaluate_model(model: Model, test: DataFrame, name: str = "model",

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -14,14 +14,15 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classweave.operators.evaluate import rank_area
+from classweave.functions.running import SINGLE_WINDOW_ROWS
+from classweave.operators.evaluate import areas, model_counts
+from classweave.operators.ledger import Ledger
 from classweave.operators.sampling import SEED
-from classweave.session import shared_folder
+from classweave.session import materialise, new_folder, shared_folder
 
 COLUMNS = {"featuresCol": "selectedFeatures", "labelCol": "label"}
 
@@ -34,7 +35,7 @@ FIT_INTERCEPT = [True, False]
 ELASTIC_NET = [0.0, 0.5, 1.0]
 FOLDS = 5
 
-AREA_BINS = 100_000
+TREE_GRID = {"maxDepth": [3, 5], "minInstancesPerNode": [1, 10]}
 
 
 def random_forest(**params) -> RandomForestClassifier:
@@ -101,12 +102,10 @@ def logistic_grid(estimator: LogisticRegression) -> list[dict]:
 
 def tree_grid(estimator: Estimator) -> list[dict]:
     """A small grid that every tree family takes."""
-    return (
-        ParamGridBuilder()
-        .addGrid(estimator.maxDepth, [3, 5])
-        .addGrid(estimator.minInstancesPerNode, [1, 10])
-        .build()
-    )
+    builder = ParamGridBuilder()
+    for name, values in TREE_GRID.items():
+        builder.addGrid(estimator.getParam(name), values)
+    return builder.build()
 
 
 def grid_for(estimator: Estimator) -> list[dict]:
@@ -117,17 +116,23 @@ def grid_for(estimator: Estimator) -> list[dict]:
 
 @dataclass(frozen=True)
 class Tuned:
-    """Every (parameters, fold, metric) of a search, and the refitted winner."""
+    """Every fit of a search, and the refitted winner.
 
-    scores: list[tuple[str, int, float]]
+    ``scores`` holds (parameters, fold, area, positives, negatives); the counts
+    are of the held-out rows that were judged.
+    """
+
+    scores: list[tuple[str, int, float, int, int]]
     best_params: dict
     best_model: Model
 
+    def fits(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(
+            self.scores, "params STRING, fold INT, auc DOUBLE, pos BIGINT, neg BIGINT")
+
     def table(self, spark: SparkSession) -> DataFrame:
         return (
-            spark.createDataFrame(
-                self.scores, "params STRING, fold INT, auc DOUBLE")
-            .groupBy("params")
+            self.fits(spark).groupBy("params")
             .agg(F.avg("auc").alias("auc"), F.min("auc").alias("worst_auc"),
                  F.count("*").alias("folds"))
         )
@@ -142,89 +147,82 @@ def describe_params(params: dict) -> str:
 def cross_validate(prepared: DataFrame, estimator: Estimator,
                    grid: Sequence[dict], folds: int = FOLDS,
                    fold: str = "fold", parallelism: int = 4,
-                   bins: int = AREA_BINS) -> Tuned:
+                   ledger: str | None = None) -> Tuned:
     """Fit every grid point on every fold and refit the best on all rows.
 
-    ``prepared`` carries the fold column and is persisted by the caller. A
-    fold is a filter over it, so the rows are held once, not once per fold,
-    and the models of a fold are judged together in one pass over its rows.
+    ``prepared`` carries the fold column and is persisted by the caller. The
+    rows a fold trains on are held once for all grid points and then released.
+    Every fit that ends is entered in ``ledger``, a folder that all executors
+    share; a search that finds its entries there does only what is missing, the
+    last refit included. Without one, a new folder is taken.
+
+    Areas are exact and come from the entries, all points and folds in one
+    prefix sum. A fold that lacks a class has no area and scores 0.5.
     """
     spark = prepared.sparkSession
-    shared_folder(spark)
-
-    def fit(number: int, params: dict) -> Model:
-        return estimator.fit(prepared.filter(F.col(fold) != number), params)
-
-    def judge(number: int) -> list[float]:
-        start = number * len(grid)
-        return fold_areas(
-            fitted[start:start + len(grid)],
-            prepared.filter(F.col(fold) == number),
-            estimator.getLabelCol(), bins)
-
-    fitted = _in_parallel(
-        spark, [lambda n=n, p=p: fit(n, p) for n in range(folds) for p in grid],
-        parallelism)
-    areas = _in_parallel(
-        spark, [lambda n=n: judge(n) for n in range(folds)], parallelism)
+    shared_folder(spark)  # boosting checkpoints go there
+    book = Ledger.open(
+        ledger or new_folder(spark, "ledger"), prepared, estimator, folds, fold)
     names = [describe_params(p) for p in grid]
-    scores = [
-        (name, n, area)
-        for n, found in enumerate(areas) for name, area in zip(names, found)
-    ]
-    mean = [sum(found[i] for found in areas) / folds for i in range(len(grid))]
-    best = grid[max(range(len(grid)), key=lambda i: (mean[i], -i))]
-    return Tuned(scores, best, estimator.fit(prepared, best))
-
-
-def fold_areas(fitted: Sequence[Model], held_out: DataFrame, label: str,
-               bins: int = AREA_BINS) -> list[float]:
-    """Area under the ROC curve of several models, in one pass over the rows.
-
-    Rows are counted per model and probability bin on each task, so little is
-    shuffled, and the ranking window holds at most ``bins`` rows per model.
-    Pairs that share a bin earn half credit. A fold that lacks a class has no
-    area and scores 0.5.
-    """
-    scored = held_out
-    for i, model in enumerate(fitted):
-        scored = model.copy({
-            model.probabilityCol: f"_p{i}", model.rawPredictionCol: "",
-            model.predictionCol: "",
-        }).transform(scored)
-    pairs = F.array(*(
-        F.struct(
-            F.lit(i).alias("model"),
-            F.floor(vector_to_array(F.col(f"_p{i}"))[1] * F.lit(bins))
-            .alias("score"),
-        )
-        for i in range(len(fitted))
-    ))
-    counts = (
-        scored.select((F.col(label) == 1).alias("one"),
-                      F.explode(pairs).alias("s"))
-        .groupBy("s.model", "s.score")
-        .agg(F.count_if("one").alias("pos"), F.count_if(~F.col("one")).alias("neg"))
-    )
-    below = Window.partitionBy("model").orderBy("score").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        counts.withColumn("neg_upto", F.sum("neg").over(below))
-        .groupBy("model").agg(rank_area().alias("auc")).collect()
-    )
-    found = {r["model"]: r["auc"] for r in rows}  # one row per model
-    return [0.5 if found.get(i) is None else found[i]
-            for i in range(len(fitted))]
+    label = estimator.getLabelCol()
+    missing = [(n, i) for n in range(folds) for i, name in enumerate(names)
+               if not book.has(name, n)]
+    # a short grid leaves room for the fits of a few folds beside each other
+    together = max(1, parallelism // len(grid))
+    for first in range(0, folds, together):
+        jobs = [(n, i) for n, i in missing if first <= n < first + together]
+        train = {n: prepared.filter(F.col(fold) != n).persist(StorageLevel.MEMORY_AND_DISK)
+                 for n, _ in jobs}
+
+        def fit(n: int, i: int) -> None:
+            model = estimator.fit(train[n], grid[i])
+            held_out = prepared.filter(F.col(fold) == n)
+            book.write(names[i], n, model_counts([model], held_out, label=label))
+
+        try:
+            _in_parallel(spark, [lambda n=n, i=i: fit(n, i) for n, i in jobs], parallelism)
+        finally:
+            for rows in train.values():
+                rows.unpersist()
+
+    entries = [(name, n) for n in range(folds) for name in names]
+    judged = areas(book.read(entries), ["params", "fold"], SINGLE_WINDOW_ROWS,
+                   F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # one row per grid point and fold
+    found = {(r["params"], r["fold"]): (r["auc"], r["pos"], r["neg"])
+             for r in judged.collect()}
+    scores = []
+    for name, n in entries:
+        area, pos, neg = found.get((name, n), (None, 0, 0))
+        scores.append((name, n, 0.5 if area is None else area, pos, neg))
+    mean = dict.fromkeys(names, 0.0)
+    for name, _, area, _, _ in scores:
+        mean[name] += area / folds
+    best = max(range(len(grid)), key=lambda i: (mean[names[i]], -i))
+    model = book.winner(names[best])
+    if model is None:
+        model = estimator.fit(prepared, grid[best])
+        book.keep_winner(names[best], model)
+    return Tuned(scores, grid[best], model)
+
+
+def fold_areas(fitted: Sequence[Model], held_out: DataFrame,
+               label: str = "label") -> list[float]:
+    """The exact area of several models, in one pass over the rows."""
+    counts = materialise(model_counts(fitted, held_out, label=label))
+    # one row per model
+    found = {r["model"]: r["auc"] for r in areas(counts, ["model"]).collect()}
+    return [0.5 if found.get(i) is None else found[i] for i in range(len(fitted))]
 
 
 def tune_all(prepared: DataFrame, names: Sequence[str] | None = None,
              folds: int = FOLDS, parallelism: int = 4,
-             **params: dict) -> dict[str, Tuned]:
+             ledger: str | None = None, **params: dict) -> dict[str, Tuned]:
     """The same search for each classifier, each with a grid of its own."""
     tuned = {}
     for name in names or CLASSIFIERS:
         estimator = CLASSIFIERS[name](**params.get(name, {}))
         tuned[name] = cross_validate(
             prepared, estimator, grid_for(estimator), folds,
-            parallelism=parallelism)
+            parallelism=parallelism, ledger=ledger)
     return tuned

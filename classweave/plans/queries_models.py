@@ -5,14 +5,15 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classweave.operators import evaluate, models
+from classweave.operators import evaluate, models, sampling
 from classweave.plans import scoring, training
 from classweave.plans import standins as s
+from classweave.plans.queries_profile import hash_sql
 from classweave.plans.registry import register
-from classweave.session import new_folder
+from classweave.session import materialise, new_folder, shared_folder
 from classweave.sources import records, sinks
 from classweave.spec import parse_schema
 from classweave.streaming import requests
@@ -118,10 +119,16 @@ def lr_score_fixed(spark, sf_dir):
 
 # --- trained ----------------------------------------------------------------
 
-# fits in flight; each may hold its own copy of the training rows
+# fits in flight at least; each may hold its own copy of the training rows
 FITS_AT_ONCE = 4
 
 
+def _fits_at_once(spark, data) -> int:
+    """Enough fits to fill the cores, where the rows are few for so many."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(FITS_AT_ONCE, cores // training.partitions_of(data, cores))
+
+
 def _training_set(spark, sf_dir, **options) -> training.TrainingSet:
     return training.build_training_set(s.lines(spark, sf_dir), s.LINES, **options)
 
@@ -145,15 +152,24 @@ def best_model(spark, sf_dir):
     return evaluate.best_model(model_compare(spark, sf_dir))
 
 
+def _tuned(spark, data, name: str) -> models.Tuned:
+    """The search of one family on its whole grid.
+
+    Its ledger lies in the shared folder, so a query that was cut off goes on
+    where it stopped, and queries over one search fit its models once.
+    """
+    estimator = models.CLASSIFIERS[name]()
+    return models.cross_validate(
+        data.train, estimator, models.grid_for(estimator),
+        parallelism=_fits_at_once(spark, data), ledger=f"{shared_folder(spark)}/tuning")
+
+
 @register("cv_grid")
 def cv_grid(spark, sf_dir):
     """The whole grid on five folds, for logistic regression."""
     data = _training_set(spark, sf_dir, folds=models.FOLDS)
     try:
-        estimator = models.logistic_regression()
-        return models.cross_validate(
-            data.train, estimator, models.logistic_grid(estimator),
-            parallelism=FITS_AT_ONCE).table(spark)
+        return _tuned(spark, data, "Logistic Regression").table(spark)
     finally:
         data.release()
 
@@ -163,10 +179,7 @@ def cv_best_model(spark, sf_dir):
     """The refitted winner of the search, judged on the held-out rows."""
     data = _training_set(spark, sf_dir, folds=models.FOLDS)
     try:
-        estimator = models.logistic_regression()
-        tuned = models.cross_validate(
-            data.train, estimator, models.logistic_grid(estimator),
-            parallelism=FITS_AT_ONCE)
+        tuned = _tuned(spark, data, "Logistic Regression")
         name = models.describe_params(tuned.best_params)
         return evaluate.evaluate_model(tuned.best_model, data.test, name)
     finally:
@@ -178,17 +191,118 @@ def tune_models(spark, sf_dir):
     """A grid search for each family, as large as training itself."""
     data = _training_set(spark, sf_dir, folds=models.FOLDS)
     try:
-        tuned = models.tune_all(
-            data.train, folds=models.FOLDS, parallelism=FITS_AT_ONCE)
         tables = [
-            found.table(spark).withColumn("model", F.lit(name))
-            for name, found in tuned.items()
+            _tuned(spark, data, name).table(spark).withColumn("model", F.lit(name))
+            for name in models.CLASSIFIERS
         ]
         return reduce(DataFrame.unionByName, tables)
     finally:
         data.release()
 
 
+# what SQL can state of trained models: which rows judged them, and a floor that
+# the planted label lets any sound model pass
+GOOD_AREA = 0.9
+
+_KEY_SQL = "concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+_SPLIT_SQL = f"""
+    SELECT *, {hash_sql(_KEY_SQL, sampling.SPLIT_SEED)} < 0.8 * 4294967296 AS in_train
+    FROM ({s.LINES_SQL})
+"""
+_JUDGED_SQL = f"""
+    WITH rows AS ({_SPLIT_SQL}),
+    train AS (SELECT *, {hash_sql(_KEY_SQL, sampling.SEED)} AS h,
+                     {hash_sql(_KEY_SQL, sampling.FOLD_SEED)} % {models.FOLDS} AS fold
+              FROM rows WHERE in_train),
+    n AS (SELECT label, count(*) AS n FROM train GROUP BY label),
+    small AS (SELECT arg_min(label, (n, label)) AS label,
+                     ceil(min(n)::DOUBLE / max(n) * 4294967296) AS bound FROM n)
+    SELECT fold::INTEGER AS fold, sum(train.label)::BIGINT AS pos,
+           sum(1 - train.label)::BIGINT AS neg
+    FROM train, small WHERE train.label = small.label OR h < bound GROUP BY fold
+"""
+
+
+def _search_sql(**grid: list) -> str:
+    """A row per grid point and fold, with the rows that judged it."""
+    names = sorted(grid)
+    points = " CROSS JOIN ".join(
+        f"(VALUES {', '.join(f'({str(v)!r})' for v in grid[n])}) AS {n}_of({n})"
+        for n in names)
+    params = " || ', ' || ".join(f"'{n}=' || {n}" for n in names)
+    return f"""
+        SELECT {params} AS params, fold, pos, neg, true AS good
+        FROM ({_JUDGED_SQL}) CROSS JOIN {points}
+    """
+
+
+def _search(spark, sf_dir, name: str) -> DataFrame:
+    data = _training_set(spark, sf_dir, folds=models.FOLDS)
+    try:
+        return _tuned(spark, data, name).fits(spark).select(
+            "params", "fold", "pos", "neg",
+            F.col("auc").between(GOOD_AREA, 1).alias("good"))
+    finally:
+        data.release()
+
+
+@register("tune_logistic", _search_sql(
+    regParam=models.REG_PARAM, fitIntercept=models.FIT_INTERCEPT,
+    elasticNetParam=models.ELASTIC_NET))
+def tune_logistic(spark, sf_dir):
+    return _search(spark, sf_dir, "Logistic Regression")
+
+
+@register("tune_tree", _search_sql(**models.TREE_GRID))
+def tune_tree(spark, sf_dir):
+    return _search(spark, sf_dir, "Decision Tree")
+
+
+@register("tune_forest", _search_sql(**models.TREE_GRID))
+def tune_forest(spark, sf_dir):
+    return _search(spark, sf_dir, "Random Forest")
+
+
+@register("tune_boosting", _search_sql(**models.TREE_GRID))
+def tune_boosting(spark, sf_dir):
+    return _search(spark, sf_dir, "Gradient Boosting")
+
+
+@register("model_checks", f"""
+    SELECT model, (SELECT sum(label)::BIGINT FROM ({_SPLIT_SQL}) WHERE NOT in_train) AS pos,
+           (SELECT sum(1 - label)::BIGINT FROM ({_SPLIT_SQL}) WHERE NOT in_train) AS neg,
+           true AS good, true AS rates_hold, true AS best_is_first
+    FROM (VALUES {', '.join(f"('{name}')" for name in models.CLASSIFIERS)}) AS m(model)
+""")
+def model_checks(spark, sf_dir):
+    """Every family's judgement, held against counts taken another way.
+
+    ``pos`` and ``neg`` are the test rows judged. ``rates_hold`` says that the
+    precision, recall and F1 of the shared pass are those of the model's own
+    predictions, ``good`` that its area is high, ``best_is_first`` that the
+    chosen model has the highest area.
+    """
+    data = _training_set(spark, sf_dir)
+    try:
+        fitted = models.fit_models(data.train)
+        table = materialise(evaluate.compare_models(fitted, data.test))
+        own = reduce(DataFrame.unionByName, (
+            evaluate.confusion(model.transform(data.test)).withColumn("model", F.lit(name))
+            for name, model in fitted.items()))
+        best, highest = evaluate.best_model(table).first(), table.agg(F.max("auc")).first()
+        rates = evaluate.rates(own, ["model", "tp", "fp", "fn", "tn"]).withColumnsRenamed(
+            {n: f"own_{n}" for n in ("precision", "recall", "f1")})
+        hold = reduce(Column.__and__, (
+            F.abs(F.col(n) - F.col(f"own_{n}")) < 1e-12 for n in ("precision", "recall", "f1")))
+        return materialise(table.join(rates, "model").select(
+            "model", (F.col("tp") + F.col("fn")).alias("pos"),
+            (F.col("fp") + F.col("tn")).alias("neg"),
+            F.col("auc").between(GOOD_AREA, 1).alias("good"), hold.alias("rates_hold"),
+            F.lit(best["auc"] == highest[0]).alias("best_is_first")))
+    finally:
+        data.release()
+
+
 # --- scoring ----------------------------------------------------------------
 
 _COUNTS_SQL = """

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
@@ -164,14 +164,14 @@ def build_training_set(df: DataFrame, spec: FeatureSpec, *,
     test = prepare(raw_test, prep, drop_outliers=False).select(
         "selectedFeatures", "label")
     cores = df.sparkSession.sparkContext.defaultParallelism
-    train = train.repartition(partitions_for(2 * balance.minority_count, cores))
-    return TrainingSet(
-        prep,
-        train.persist(StorageLevel.MEMORY_AND_DISK),
-        test,
-        balance,
-        source,
-    )
+    made = TrainingSet(prep, train, test, balance, source)
+    train = train.repartition(partitions_of(made, cores)).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    return replace(made, train=train)
+
+
+def partitions_of(data: TrainingSet, cores: int) -> int:
+    return partitions_for(2 * data.balance.minority_count, cores)
 
 
 def train_model(df: DataFrame, spec: FeatureSpec,

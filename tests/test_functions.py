@@ -61,6 +61,25 @@ def test_running_totals(spark, window_rows):
     assert len(rows) == 500
 
 
+@pytest.mark.parametrize("window_rows", [7, 40, 10_000])
+def test_running_totals_by_segment(spark, window_rows):
+    """One segment of most rows, many of few, and not-a-number last."""
+    df = session.materialise(spark.range(600).select(
+        F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 60).cast("int").alias("model"),
+        F.lit(3).alias("fold"),
+        F.when(F.col("id") == 5, float("nan")).otherwise(
+            F.col("id") * 7 % 600).cast("double").alias("score"),
+        (F.col("id") % 5).alias("n"), (F.col("id") % 2).alias("m")))
+    rows = running.running_totals(
+        df, "score", ["n", "m"], window_rows, ["model", "fold"]).collect()
+    assert len(rows) == 600
+    totals = {}
+    for r in sorted(rows, key=lambda r: (r["model"], r["score"] != r["score"], r["score"])):
+        n, m = totals.get(r["model"], (0, 0))
+        totals[r["model"]] = n, m = n + r["n"], m + r["m"]
+        assert (r["n_upto"], r["m_upto"]) == (n, m)
+
+
 def test_global_rank(spark):
     df = spark.range(3000).select(
         (F.col("id") % 3).alias("a"), (F.col("id") * 17 % 3000).alias("b"))

@@ -1,4 +1,7 @@
 import json
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.ml import Pipeline
@@ -9,7 +12,7 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from classweave.operators import evaluate, models
@@ -129,7 +132,109 @@ def test_cross_validation(data, spark):
     fold = data.train.filter("fold = 0")
     one = estimator.fit(data.train.filter("fold <> 0"), grid[0])
     want = BinaryClassificationEvaluator(numBins=0).evaluate(one.transform(fold))
-    assert models.fold_areas([one], fold, "label")[0] == pytest.approx(want, abs=1e-3)
+    assert models.fold_areas([one], fold, "label")[0] == pytest.approx(want, abs=1e-12)
+    name = models.describe_params(grid[0])
+    assert {(p, f): a for p, f, a, *_ in tuned.scores}[name, 0] == pytest.approx(want, abs=1e-12)
+
+
+def test_areas_of_many_groups_are_those_of_each(spark):
+    df = spark.range(3000).select(
+        (F.col("id") % 7).alias("model"), (F.col("id") % 3).alias("fold"),
+        (F.xxhash64("id") % 200).alias("score"),
+        # group 6 has one class only
+        F.when(F.col("id") % 7 == 6, 0).otherwise(F.hash("id") % 2).alias("label"))
+    df = df.withColumn("label", F.abs("label"))
+    for window_rows in (50, 10**6):
+        found = evaluate.auc(df, window_rows=window_rows, by=["model", "fold"]).collect()
+        assert len(found) == 21
+        for r in found:
+            own = df.filter((F.col("model") == r["model"]) & (F.col("fold") == r["fold"]))
+            assert evaluate.auc(own).first()["auc"] == r["auc"]
+            assert (r["auc"] is None) == (r["model"] == 6)
+
+
+class Interrupted(Exception):
+    pass
+
+
+def test_a_search_goes_on_where_it_stopped(data, monkeypatch, tmp_path):
+    estimator = models.decision_tree()
+    grid = models.tree_grid(estimator)
+    whole = models.cross_validate(data.train, estimator, grid, folds=2, parallelism=1)
+    fitted, plain = [], type(estimator).fit
+
+    def fit(self, rows, params=None):
+        if len(fitted) == stop:
+            raise Interrupted
+        fitted.append(models.describe_params(params))
+        return plain(self, rows, params)
+
+    monkeypatch.setattr(type(estimator), "fit", fit)
+    place = dict(folds=2, parallelism=1, ledger=str(tmp_path / "ledger"))
+    stop = 5
+    with pytest.raises(Interrupted):
+        models.cross_validate(data.train, estimator, grid, **place)
+    # an entry that was cut off has no end marker
+    book = models.Ledger.open(place["ledger"], data.train, estimator, 2, "fold")
+    cut = book.entry(fitted[0], 0)
+    (tmp_path / "ledger").joinpath(*cut.split("/")[-3:], "_SUCCESS").unlink()
+    stop = None
+    resumed = models.cross_validate(data.train, estimator, grid, **place)
+    assert len(fitted) == 5 + (8 - 5 + 1) + 1 and fitted.count(fitted[0]) >= 2
+    assert resumed.scores == whole.scores
+    again = models.cross_validate(data.train, estimator, grid, **place)
+    assert len(fitted) == 10 and again.scores == whole.scores
+    rows = data.test.limit(50)
+    assert [r.probability for r in again.best_model.transform(rows).collect()] == [
+        r.probability for r in whole.best_model.transform(rows).collect()]
+    # other rows or settings are another search
+    other = models.Ledger.open(
+        place["ledger"], data.train.limit(100), estimator, 2, "fold")
+    assert other.folder != book.folder
+    assert models.Ledger.open(place["ledger"], data.train, models.decision_tree(maxBins=16),
+                              2, "fold").folder != book.folder
+
+
+KILLED = """
+import sys
+sys.path[:0] = {path!r}
+from pyspark.sql import SparkSession, functions as F
+from pyspark.ml.functions import array_to_vector
+from classweave.operators import models
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {shared!r}).getOrCreate())
+rows = spark.read.parquet({rows!r}).withColumn("selectedFeatures", array_to_vector("x"))
+estimator = models.decision_tree()
+models.cross_validate(rows.cache(), estimator, models.tree_grid(estimator), folds=5,
+                      parallelism=1, ledger={ledger!r})
+"""
+
+
+def test_a_killed_search_is_resumed(data, spark, tmp_path):
+    """The driver dies after some fits; another one does the rest."""
+    data.train.select(vector_to_array("selectedFeatures").alias("x"), "label", (
+        F.abs(F.hash("selectedFeatures")) % 5).alias("fold")).write.parquet(str(tmp_path / "rows"))
+    ledger, marks = str(tmp_path / "ledger"), []
+    script = KILLED.format(path=sys.path, shared=str(tmp_path / "shared"),
+                           rows=str(tmp_path / "rows"), ledger=ledger)
+    victim = subprocess.Popen([sys.executable, "-c", script],
+                              stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    end = time.monotonic() + 120
+    while len(marks) < 3 and victim.poll() is None and time.monotonic() < end:
+        time.sleep(0.05)
+        marks = list((tmp_path / "ledger").glob("*/fold-*/*/_SUCCESS"))
+    victim.kill()
+    victim.wait()
+    assert 3 <= len(marks) < 20
+    written = [mark.stat().st_mtime_ns for mark in marks]
+    rows = spark.read.parquet(str(tmp_path / "rows")).withColumn(
+        "selectedFeatures", array_to_vector("x"))
+    estimator = models.decision_tree()
+    tuned = models.cross_validate(
+        rows, estimator, models.tree_grid(estimator), folds=5, ledger=ledger)
+    assert len(tuned.scores) == 20
+    assert [mark.stat().st_mtime_ns for mark in marks] == written
+    assert sum(pos + neg for _, _, _, pos, neg in tuned.scores) == 4 * rows.count()
 
 
 def test_every_family_can_be_tuned(data):
