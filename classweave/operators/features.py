@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Transformer
 from pyspark.ml.feature import (
@@ -11,7 +11,6 @@ from pyspark.ml.feature import (
     MinMaxScalerModel,
     OneHotEncoder,
     SQLTransformer,
-    StringIndexer,
     StringIndexerModel,
     VectorAssembler,
     VectorSlicer,
@@ -24,12 +23,14 @@ from pyspark.sql import functions as F
 from classweave.functions.chi import chi_square, log_p_value
 from classweave.functions.quantiles import finite
 from classweave.functions.running import global_rank
+from classweave.operators.categories import CategoryTable, category_table
 from classweave.operators.clean import Fences, Fills, sql_name
 from classweave.session import materialise
 
 # How many vector slots the selector keeps.
 TOP_SLOTS = 10
 
+# a column with more categories is kept as a table, not in the model's stages
 MAX_CATEGORIES = 10_000
 
 
@@ -59,14 +60,6 @@ def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         (F.col("rank") - F.col("start")).cast("double").alias("idx"))
 
 
-def fit_indexer(df: DataFrame, columns: Sequence[str],
-                unseen: str = "keep") -> StringIndexerModel:
-    """The same order as a fitted stage, all columns in one pass."""
-    return StringIndexer(
-        inputCols=list(columns), outputCols=[f"{c}_index" for c in columns],
-        handleInvalid=unseen).fit(df)
-
-
 def one_hot_columns(df: DataFrame, column: str, categories: Sequence[str],
                     drop_last: bool = True) -> dict[str, Column]:
     """One 0/1 column per category, the last left out as the baseline."""
@@ -136,6 +129,9 @@ class Learned:
     categories: dict[str, list[str]]
     tests: dict[str, SlotTest]
     class_counts: tuple[int, int]
+    # all categories, and the best of the columns that have too many to list
+    table: CategoryTable | None = None
+    best: dict[str, list[str]] = field(default_factory=dict)
 
 
 def bin_by_cuts(value: Column, cuts: Sequence[float]) -> Column:
@@ -182,50 +178,63 @@ def feature_cells(df: DataFrame, cuts: dict[str, Sequence[float]],
 
 def learn(df: DataFrame, cuts: dict[str, Sequence[float]],
           categorical: Sequence[str], label: str,
-          max_categories: int = MAX_CATEGORIES) -> Learned:
+          max_categories: int = MAX_CATEGORIES, top: int = TOP_SLOTS) -> Learned:
     """Ranges, category order and slot tests from one grouped scan.
 
-    The cells are written first and counted; a column with more categories
-    than a model can hold is refused before anything reaches the driver.
+    The cells are written first and counted. Categories of a column that has
+    more than ``max_categories`` stay in a written table; the driver gets only
+    the ``top`` best of them, which are all a selection of ``top`` can need.
     """
     cells = materialise(feature_cells(df, cuts, categorical, label))
-    sizes = cells.groupBy("feature").count().collect()  # one row per feature
-    wide = {r["feature"]: r["count"] for r in sizes
-            if r["count"] > max_categories}
-    if wide:
-        raise ValueError(f"too many categories to one-hot encode: {wide}")
+    sizes = cells.groupBy("feature").agg(
+        F.count("*").alias("cells"), F.sum("n0").alias("n0"),
+        F.sum("n1").alias("n1")).collect()  # one row per feature
     if not sizes:
         raise ValueError("no labelled row lies inside the fences")
+    classes = sizes[0]["n0"], sizes[0]["n1"]
+    count = {r["feature"]: r["cells"] for r in sizes}
+    wide = [c for c in categorical if count[c] > max_categories]
     by_feature: dict[str, list] = {}
-    for row in cells.collect():
+    for row in cells.filter(~F.col("feature").isin(wide)).collect():
         by_feature.setdefault(row["feature"], []).append(row)
-    return _digest(by_feature, cuts, categorical)
+    narrow = [c for c in categorical if c not in wide]
+    learned = _digest(by_feature, cuts, narrow, classes)
+    if not wide:
+        return learned
+    table = category_table(cells, categorical, classes)
+    best: dict[str, list[str]] = {c: [] for c in wide}
+    for r in sorted(table.best(wide, top), key=lambda r: r["idx"]):
+        best[r["column"]].append(r["category"])
+        _add_test(learned.tests, category_slot(r["column"], r["category"]),
+                  _in_and_out(r, classes))
+    return replace(learned, table=table, best=best)
 
 
-def _digest(by_feature: dict[str, list], cuts: dict[str, Sequence[float]],
-            categorical: Sequence[str]) -> Learned:
-    first = next(iter(by_feature.values()))
-    totals = (sum(r["n0"] for r in first), sum(r["n1"] for r in first))
-    ranges, categories, tests = {}, {}, {}
+def _add_test(tests: dict[str, SlotTest], slot: str,
+              cells: list[tuple[int, int]]) -> None:
+    statistic, dof = chi_square(cells)
+    tests[slot] = SlotTest(slot, statistic, dof, log_p_value(statistic, dof))
+
 
-    def add_test(slot: str, table: list[tuple[int, int]]) -> None:
-        statistic, dof = chi_square(table)
-        tests[slot] = SlotTest(slot, statistic, dof,
-                               log_p_value(statistic, dof))
+def _in_and_out(row, classes: tuple[int, int]) -> list[tuple[int, int]]:
+    """Class counts with a category and without it."""
+    return [(row["n0"], row["n1"]), (classes[0] - row["n0"], classes[1] - row["n1"])]
 
+
+def _digest(by_feature: dict[str, list], cuts: dict[str, Sequence[float]],
+            categorical: Sequence[str], classes: tuple[int, int]) -> Learned:
+    ranges, categories, tests = {}, {}, {}
     for c in cuts:
         rows = by_feature[c]
         ranges[c] = (min(r["low"] for r in rows), max(r["high"] for r in rows))
-        add_test(numeric_slot(c), [(r["n0"], r["n1"]) for r in rows])
+        _add_test(tests, numeric_slot(c), [(r["n0"], r["n1"]) for r in rows])
     for c in categorical:
         known = [r for r in by_feature[c] if r["category"] is not None]
         known.sort(key=lambda r: (-(r["n0"] + r["n1"]), r["category"]))
         categories[c] = [r["category"] for r in known]
         for r in known:
-            inside = (r["n0"], r["n1"])
-            outside = (totals[0] - r["n0"], totals[1] - r["n1"])
-            add_test(category_slot(c, r["category"]), [inside, outside])
-    return Learned(ranges, categories, tests, totals)
+            _add_test(tests, category_slot(c, r["category"]), _in_and_out(r, classes))
+    return Learned(ranges, categories, tests, classes)
 
 
 def numeric_slot(column: str) -> str:
@@ -331,10 +340,56 @@ def select_slots_by_value(df: DataFrame, features: str = "features",
     return sorted(r["featureIndex"] for r in chosen.collect())
 
 
-def slot_slicer(indices: Sequence[int]) -> VectorSlicer:
-    return VectorSlicer(
-        inputCol="features", outputCol="selectedFeatures",
-        indices=list(indices))
+def slot_slicer(indices: Sequence[int], source: str = "features",
+                target: str = "selectedFeatures") -> VectorSlicer:
+    return VectorSlicer(inputCol=source, outputCol=target, indices=list(indices))
+
+
+def slot_layout(learned: Learned, slots: Sequence[str],
+                categorical: Sequence[str]) -> list[str]:
+    """``slots`` with the best categories of long columns at their places."""
+    if not learned.best:
+        return list(slots)
+    layout = [numeric_slot(c) for c in learned.ranges]
+    held = set(slots)
+    for c in categorical:
+        names = learned.best.get(c) or learned.categories.get(c, ())
+        layout += [s for s in (category_slot(c, n) for n in names)
+                   if c in learned.best or s in held]
+    return layout
+
+
+def _sql_text(value: str) -> str:
+    return f"CAST(X'{value.encode().hex()}' AS STRING)"
+
+
+def selection_stages(learned: Learned, slots: Sequence[str], layout: Sequence[str],
+                     selected: Sequence[int]) -> list[Transformer]:
+    """Stages from ``features`` to ``selectedFeatures``.
+
+    Categories of long columns are not in ``features``; each selected one is a
+    comparison with its name, so a scored row meets no table.
+    """
+    if not learned.best:
+        return [slot_slicer(selected)]
+    place = {slot: i for i, slot in enumerate(slots)}
+    chosen = [layout[i] for i in selected]
+    known = {category_slot(c, n): (c, n) for c, names in learned.best.items() for n in names}
+    inside = [s for s in chosen if s in place]
+    outside = [s for s in chosen if s not in place]
+    marks = {s: f"selected_{i}" for i, s in enumerate(outside)}
+    tests = "".join(
+        f", CAST(CAST({sql_name(known[s][0])} AS STRING) <=> {_sql_text(known[s][1])} "
+        f"AS DOUBLE) AS {name}" for s, name in marks.items())
+    stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *{tests} FROM __THIS__")]
+    parts = list(marks.values())
+    if inside:
+        stages.append(slot_slicer([place[s] for s in inside], target="selected_inside"))
+        parts = ["selected_inside", *parts]
+    stages.append(VectorAssembler(inputCols=parts, outputCol="selected_all"))
+    order = [*inside, *outside]
+    stages.append(slot_slicer([order.index(s) for s in chosen], "selected_all"))
+    return stages
 
 
 def chi_square_table(df: DataFrame, features: Sequence[str],

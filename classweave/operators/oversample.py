@@ -2,101 +2,43 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from classweave.functions.hashing import hash_below
-from classweave.functions.running import global_rank
+from classweave.functions.hashing import HASH_SPACE, hash_below, hash_number
+from classweave.operators.neighbours import nearest
 from classweave.operators.sampling import SEED, Balance, minority_rows
 
-STRETCH_ROWS = 50_000
-
-
-def _projection(x: Column, weights: Sequence[float]) -> Column:
-    terms = F.zip_with(x, F.array(*(F.lit(w) for w in weights)),
-                       lambda a, b: a * b)
-    return F.aggregate(terms, F.lit(0.0), lambda total, v: total + v)
-
-
-def _distance(a: Column, b: Column) -> Column:
-    """Squared, which orders neighbours the same."""
-    return F.aggregate(
-        F.zip_with(a, b, lambda p, q: (p - q) * (p - q)),
-        F.lit(0.0), lambda total, v: total + v)
-
-
-def _nearest(candidates: Column, neighbours: int) -> Column:
-    """Closest first; ``candidates`` are (distance, id, x) structs."""
-    return F.slice(F.array_sort(candidates), 1, neighbours)
-
-
-def neighbours_of(points: DataFrame, size: int, neighbours: int = 5,
-                  reach: int = 15, projections: int = 4,
-                  stretch_rows: int = STRETCH_ROWS,
-                  seed: int = SEED) -> DataFrame:
-    """(id, x, near): close points of each point, nearest first.
-
-    ``points`` holds unique (id, x) with ``x`` an array of ``size`` numbers.
-    Points are laid along a few random lines; on each line a point looks at
-    ``reach`` points to either side and keeps the closest. A point thus
-    compares with a fixed number of others, never with a whole group, however
-    many points coincide. The answer is approximate; it is exact once ``reach``
-    covers the stretch.
-    """
-    generator = random.Random(seed)
-    lines = []
-    for _ in range(projections):
-        weights = [generator.gauss(0.0, 1.0) for _ in range(size)]
-        ranked = global_rank(
-            points.withColumn("line", _projection(F.col("x"), weights)),
-            ["line", "id"])
-        around = (
-            Window.partitionBy(F.floor(F.col("rank") / stretch_rows))
-            .orderBy("rank").rowsBetween(-reach, reach))
-        seen = F.collect_list(F.struct("id", "x")).over(around)
-        found = F.transform(
-            F.filter("seen", lambda c: c["id"] != F.col("id")),
-            lambda c: F.struct(
-                _distance(c["x"], F.col("x")).alias("distance"),
-                c["id"].alias("id"), c["x"].alias("x")))
-        lines.append(
-            ranked.withColumn("seen", seen)
-            .select("id", "x", _nearest(found, neighbours).alias("near")))
-    # at most ``projections * neighbours`` candidates per point
-    together = reduce(DataFrame.unionByName, lines).groupBy("id").agg(
-        F.first("x").alias("x"),
-        F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    return together.withColumn("near", _nearest(F.col("near"), neighbours))
+NEIGHBOURS = 5
 
 
 def synthetic_minority(df: DataFrame, balance: Balance, key: str, size: int,
                        features: str = "features", label: str = "label",
-                       seed: int = SEED, **options: int) -> DataFrame:
+                       neighbours: int = NEIGHBOURS, seed: int = SEED,
+                       **options: int) -> DataFrame:
     """(parent, copy, features, label): as many as the minority lacks.
 
-    Each row lies on the line from a minority row to one of its neighbours.
-    Every minority row gives the same whole number of copies and a hash of its
-    key decides who gives one more. ``key`` is a unique column.
+    Each row lies on the line from a minority row to one of its nearest
+    neighbours among the minority, found exactly. Every minority row gives the
+    same whole number of copies and a hash of its key decides who gives one
+    more. Hashes also pick the neighbour and the place on the line. A minority
+    of one row has no neighbour: its copies are the row itself. ``key`` is a
+    unique column of whole numbers.
     """
     wanted = 1.0 / balance.ratio - 1.0
     whole = int(wanted)
     points = minority_rows(df, balance, label).select(
         F.col(key).alias("id"), vector_to_array(features).alias("x"))
     copies = F.lit(whole) + hash_below(["id"], seed, wanted - whole).cast("int")
-    pick = F.pmod(F.xxhash64("id", "copy", F.lit(seed)),
-                  F.size("near").cast("long")).cast("int")
-    way = F.pmod(F.xxhash64("copy", "id", F.lit(seed + 1)),
-                 F.lit(1 << 24)) / F.lit(float(1 << 24))
-    other = F.get(F.col("near"), pick)["x"]
+    # a row without neighbours stands in for them
+    pick = hash_number(["id", "copy"], seed) % F.greatest(F.size("near"), F.lit(1))
+    other = F.coalesce(F.get("near", pick.cast("int"))["x"], F.col("x"))
+    way = hash_number(["copy", "id"], seed + 1) / F.lit(float(HASH_SPACE))
     return (
-        neighbours_of(points, size, seed=seed, **options)
+        nearest(points, size, neighbours, **options)
         .withColumn("copies", copies)
-        .filter((F.col("copies") > 0) & (F.size("near") > 0))
+        .filter(F.col("copies") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .withColumns({"other": other, "way": way})
         .select(

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classweave.functions.hashing import fold_number
 from classweave.operators import clean, features, oversample, sampling
 from classweave.plans import standins as s
+from classweave.plans import training
 from classweave.plans.queries_profile import hash_sql
 from classweave.plans.registry import register
+from classweave.spec import FeatureSpec
 
 
 def _index_sql(column: str, table: str) -> str:
@@ -41,9 +44,12 @@ def string_index_wide(spark, sf_dir):
     f"""SELECT '{c}' AS "column", idx, n FROM ({_index_sql(c, f'({s.LINES_SQL})')})"""
     for c in s.LINES.categorical))
 def string_index_fitted(spark, sf_dir):
-    """Rows per index given by the fitted indexer the model path uses."""
-    rows = s.lines(spark, sf_dir).select(*s.LINES.categorical)
-    indexed = features.fit_indexer(rows, s.LINES.categorical).transform(rows)
+    """Rows per index given by the indexers of the model path."""
+    indexed = s.lines(spark, sf_dir).select(*s.LINES.categorical)
+    learned = features.learn(
+        indexed.withColumn("label", F.lit(0.0)), {}, s.LINES.categorical, "label")
+    for stage in features.index_stages(learned.categories, "keep"):
+        indexed = stage.transform(indexed)
     pairs = F.array(*(
         F.struct(F.lit(c).alias("column"), F.col(f"{c}_index").alias("idx"))
         for c in s.LINES.categorical))
@@ -96,6 +102,75 @@ def minmax_scale(spark, sf_dir):
         *(c.alias(n) for n, c in scaled.items()))
 
 
+# columns with a category per part, supplier and flag
+WIDE = FeatureSpec(
+    numeric=("l_quantity", "l_discount"),
+    categorical=("l_partkey", "l_returnflag", "l_suppkey"),
+    label="is_large", key=s.LINEITEM_KEY)
+
+
+def _wide_prep(spark, sf_dir) -> tuple[DataFrame, training.Prep]:
+    rows = s.lines(spark, sf_dir)
+    return rows, training.fit_prep(rows, WIDE, max_categories=20)
+
+
+def _ranked_sql(column: str, place: int) -> str:
+    return f"""
+        SELECT {place} AS place, '{column}' AS "column", {column}::VARCHAR AS category,
+               count(*) AS n, sum(label) AS n1,
+               row_number() OVER (ORDER BY count(*) DESC, {column}::VARCHAR) - 1 AS idx
+        FROM l GROUP BY {column}
+    """
+
+
+_WIDE_SQL = " UNION ALL ".join(
+    _ranked_sql(c, i) for i, c in enumerate(WIDE.categorical))
+
+
+@register("wide_slots", f"""
+    WITH l AS ({s.LINES_SQL}), c AS ({_WIDE_SQL}),
+    t AS (SELECT count(*)::DOUBLE AS t, sum(label)::DOUBLE AS t1 FROM l),
+    x AS (SELECT c.*, pow((n - n1) * t1 - n1 * (t - t1), 2) * t
+                      / (n * (t - n) * (t - t1) * t1) AS statistic
+          FROM c, t WHERE "column" <> 'l_returnflag')
+    SELECT "column" || '=' || category AS slot, n, round(statistic, 6) AS statistic
+    FROM x QUALIFY row_number() OVER (ORDER BY round(statistic, 9) DESC, place, idx) <= 10
+""")
+def wide_slots(spark, sf_dir):
+    """The parts and suppliers that the chi-square test picks."""
+    _, prep = _wide_prep(spark, sf_dir)
+    best = prep.learned.table.best(["l_partkey", "l_suppkey"], features.TOP_SLOTS)
+    return spark.createDataFrame(
+        [(features.category_slot(r["column"], r["category"]), r["n"], r["statistic"])
+         for r in best], "slot STRING, n BIGINT, statistic DOUBLE",
+    ).withColumn("statistic", F.round("statistic", 6))
+
+
+@register("wide_features", f"""
+    WITH l AS ({s.LINES_SQL}), c AS ({_WIDE_SQL}),
+    o AS (SELECT place, count(*) AS size FROM c GROUP BY place),
+    i AS (SELECT c.*, {len(WIDE.numeric)} + idx
+                 + coalesce((SELECT sum(size) FROM o WHERE o.place < c.place), 0) AS slot FROM c)
+    SELECT l_orderkey, l_linenumber,
+           ({len(WIDE.numeric)} + (SELECT sum(size) FROM o))::INTEGER AS size,
+           [0, 1, p.slot, f.slot, u.slot]::INTEGER[]::VARCHAR AS slots,
+           round((l_quantity - min(l_quantity) OVER ())
+                 / (max(l_quantity) OVER () - min(l_quantity) OVER ()), 6) AS quantity
+    FROM l JOIN i p ON p.place = 0 AND p.category = l_partkey::VARCHAR
+           JOIN i f ON f.place = 1 AND f.category = l_returnflag
+           JOIN i u ON u.place = 2 AND u.category = l_suppkey::VARCHAR
+""")
+def wide_features(spark, sf_dir):
+    """Every row's sparse vector, with a slot for every part and supplier."""
+    rows, prep = _wide_prep(spark, sf_dir)
+    made = training.all_features(rows, prep, ["l_orderkey", "l_linenumber"])
+    parts = F.unwrap_udt("features")
+    return made.select(
+        "l_orderkey", "l_linenumber", parts["size"].alias("size"),
+        F.concat(F.lit("["), F.array_join(parts["indices"], ", "), F.lit("]")).alias("slots"),
+        F.round(parts["values"][0], 6).alias("quantity"))
+
+
 def _slot_sql() -> str:
     scaled = [
         f"""SELECT '{c}_scaled' AS slot, round(sum(({c} - lo) / (hi - lo)), 4)
@@ -285,8 +360,40 @@ def smote_counts(spark, sf_dir):
         "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("smote_rows")
+_SMOTE_SQL = f"""
+    WITH o AS (SELECT o_orderkey AS id, o_totalprice > 400000 AS minority,
+                      o_totalprice / 500000 AS a, o_custkey / 1e5 AS b,
+                      month(o_orderdate) / 12.0::DOUBLE AS c FROM orders),
+    m AS (SELECT * FROM o WHERE minority),
+    t AS (SELECT count(*) FILTER (NOT minority)::DOUBLE / count(*) FILTER (minority) - 1 AS w
+          FROM o),
+    near AS (
+        SELECT p.id, q.a, q.b, q.c, row_number() OVER (PARTITION BY p.id ORDER BY
+                   (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)
+                   + (p.c - q.c) * (p.c - q.c), q.id) - 1 AS place
+        FROM m p JOIN m q ON p.id <> q.id QUALIFY place < 5),
+    copies AS (
+        SELECT m.*, unnest(generate_series(1, floor(w)::BIGINT + CASE WHEN
+                   {hash_sql('id::VARCHAR', 42)} < (w - floor(w)) * 4294967296
+                   THEN 1 ELSE 0 END)) AS copy
+        FROM m, t),
+    made AS (
+        SELECT *, {hash_sql("(id || ':' || copy)", 42)}
+                  % least(5, (SELECT count(*) - 1 FROM m)) AS pick,
+               {hash_sql("(copy || ':' || id)", 43)} / 4294967296::DOUBLE AS way
+        FROM copies)
+    SELECT d.id AS parent, copy::INTEGER AS copy, round(d.a + way * (n.a - d.a), 9) AS x0,
+           round(d.b + way * (n.b - d.b), 9) AS x1, round(d.c + way * (n.c - d.c), 9) AS x2,
+           1::DOUBLE AS label
+    FROM made d JOIN near n ON n.id = d.id AND n.place = d.pick
+"""
+
+
+@register("smote_rows", _SMOTE_SQL)
 def smote_rows(spark, sf_dir):
+    """Every synthetic row, between its parent and one of its true neighbours."""
     _, synthetic = _synthetic_orders(spark, sf_dir)
+    x = vector_to_array("features")
     return synthetic.select(
-        "parent", "copy", vector_to_array("features").alias("x"), "label")
+        "parent", "copy", *(F.round(x[i], 9).alias(f"x{i}") for i in range(3)), "label")
+

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classweave.functions.quantiles import quantiles
-from classweave.operators import clean, features, sampling
+from classweave.operators import categories, clean, features, sampling
 from classweave.operators.models import logistic_regression
 from classweave.spec import FeatureSpec
 
@@ -57,6 +57,10 @@ def fit_prep(train: DataFrame, spec: FeatureSpec, *,
     category; its counts give category order, value ranges, class totals and
     the chi-square tests, so no stage is fitted on the rows again.
 
+    A column with more than ``max_categories`` categories is not listed in any
+    stage: its categories are a written table (``learned.table``) and only the
+    selected ones reach the model. ``slots`` then names the best of them.
+
     ``binned=False`` tests the scaled values themselves, each value a category
     of its own, as a third scan that only a small table can take.
     """
@@ -77,16 +81,40 @@ def fit_prep(train: DataFrame, spec: FeatureSpec, *,
         .filter(~F.col("is_outlier") & F.col("label").isNotNull())
     )
     learned = features.learn(
-        inside, cuts, spec.categorical, "label", max_categories)
+        inside, cuts, spec.categorical, "label", max_categories, top)
+    if learned.best and (unseen == "error" or not binned):
+        raise ValueError(
+            f"{sorted(learned.best)} have more than {max_categories} categories: "
+            "their values are neither checked nor tested one by one")
     fitted = features.feature_stages(inside, learned, unseen)
+    layout = features.slot_layout(learned, fitted.slots, spec.categorical)
     if binned:
-        selected = features.select_slots(learned, fitted.slots, top)
+        selected = features.select_slots(learned, layout, top)
     else:
         selected = features.select_slots_by_value(
             fitted.transform(inside), top=top)
-    slicer = features.slot_slicer(selected)
-    return Prep(spec, fences, fills, learned, fitted.slots, tuple(selected),
-                (first, *fitted.stages, slicer))
+    chosen = features.selection_stages(learned, fitted.slots, layout, selected)
+    return Prep(spec, fences, fills, learned, tuple(layout), tuple(selected),
+                (first, *fitted.stages, *chosen))
+
+
+def all_features(df: DataFrame, prep: Prep, extra: Sequence[str] = ()) -> DataFrame:
+    """``extra`` and ``features`` with a slot for every category, as sparse vectors.
+
+    For columns with more categories than the model's stages list: numbers
+    scaled as in training, then the categories of every column in the order of
+    the category table, which is joined. The result is written.
+    """
+    table, categorical = prep.learned.table, prep.spec.categorical
+    if table is None:
+        return prep.transform(df).select(*extra, "features")
+    ranges = {features.numeric_name(c): r for c, r in prep.learned.ranges.items()}
+    typed = prep.stages[0].transform(df)
+    scaled = features.min_max_columns(typed, list(ranges), ranges)
+    slots = categories.sparse_slots(list(scaled.values()), table, categorical)
+    indexed = categories.with_indices(typed, table, categorical)
+    return categories.as_vectors(
+        indexed.select(*extra, slots.alias("features")), "features")
 
 
 def prepare(df: DataFrame, prep: Prep, drop_outliers: bool = True,

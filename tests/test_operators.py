@@ -176,13 +176,6 @@ def test_index_order_and_ties(spark):
     assert got == [("c", 0.0), ("a", 1.0), ("b", 2.0)]
 
 
-def test_too_many_categories_are_refused(spark):
-    df = spark.range(50).select(
-        F.col("id").cast("string").alias("s"), F.lit(1.0).alias("label"))
-    with pytest.raises(ValueError, match="too many"):
-        features.learn(df, {}, ["s"], "label", max_categories=10)
-
-
 def cells(spark):
     return spark.range(5000).select(
         (F.col("id") % 10).cast("double").alias("a"),

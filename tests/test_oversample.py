@@ -1,70 +1,113 @@
+"""Exact neighbours against all distances, and the rows made from them."""
+
 import numpy as np
+import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from classweave.operators import oversample, sampling
+from classweave.operators import neighbours, oversample, sampling
 
 
 def points(spark, values):
     return spark.createDataFrame(
         [(i, [float(v) for v in row]) for i, row in enumerate(values)],
-        "id long, x array<double>")
+        "id long, x array<double>").repartition(3)
 
 
-def true_neighbours(values, k):
-    gaps = ((values[:, None, :] - values[None, :, :]) ** 2).sum(axis=2)
+def plain(values, k):
+    """(distance, id) of the nearest others, ties by id."""
+    gaps = neighbours.squared(values, values)
     np.fill_diagonal(gaps, np.inf)
-    return np.sort(gaps, axis=1)[:, :k]
+    order = np.lexsort((np.broadcast_to(np.arange(len(values)), gaps.shape), gaps))
+    return [[(gaps[i, j], int(j)) for j in row[:k] if j != i] for i, row in enumerate(order)]
 
 
-def found_distances(df):
-    return {r["id"]: [n["distance"] for n in r["near"]] for r in df.collect()}
+def check(spark, values, k, **options):
+    found = neighbours.nearest(points(spark, values), values.shape[1], k, **options)
+    rows = {r["id"]: r for r in found.collect()}
+    want = plain(values, k)
+    assert len(rows) == len(values)
+    for i, row in rows.items():
+        assert [(n["distance"], n["id"]) for n in row["near"]] == want[i], i
+        assert row["x"] == values[i].tolist()
+        assert all(n["x"] == values[n["id"]].tolist() for n in row["near"])
 
 
-def test_neighbours_are_exact_when_the_reach_covers_all(spark):
-    values = np.random.default_rng(1).normal(size=(120, 3))
-    got = found_distances(oversample.neighbours_of(
-        points(spark, values), 3, neighbours=4, reach=120, projections=1))
-    want = true_neighbours(values, 4)
-    for i in range(120):
-        assert np.allclose(got[i], want[i])
+@pytest.mark.parametrize("cell_rows", [40, 10_000])
+def test_neighbours_are_exact(spark, cell_rows):
+    draw = np.random.default_rng(1)
+    check(spark, np.concatenate([draw.normal(size=(700, 3)), draw.normal(5, 0.1, (100, 3))]),
+          5, cell_rows=cell_rows)
 
 
-def test_neighbours_are_close_with_a_short_reach(spark):
-    values = np.random.default_rng(2).normal(size=(600, 2))
-    got = found_distances(oversample.neighbours_of(points(spark, values), 2))
-    want = true_neighbours(values, 5)
-    ours = np.mean([np.sqrt(got[i]).mean() for i in range(600)])
-    assert all(len(got[i]) == 5 for i in range(600))
-    assert ours < 2 * np.sqrt(want).mean()
+def test_ties_copies_and_crowds(spark, monkeypatch):
+    """A grid of equal distances, a third of all points in one place, groups in parts."""
+    draw = np.random.default_rng(2)
+    grid = draw.integers(0, 6, (300, 2)).astype(float)
+    values = np.concatenate([grid, np.full((200, 2), 2.0), [[-0.0, 0.0], [0.0, -0.0]]])
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 10)
+    check(spark, values, 4, cell_rows=5)
 
 
-def test_coinciding_points_stay_bounded(spark):
-    values = np.concatenate([np.zeros((300, 2)), np.ones((300, 2))])
-    got = found_distances(oversample.neighbours_of(
-        points(spark, values), 2, stretch_rows=50))
-    assert len(got) == 600
-    assert all(0 < len(v) <= 5 for v in got.values())
+def test_many_axes_and_small_cells(spark):
+    """Balls that reach many cells take several rounds."""
+    check(spark, np.random.default_rng(3).uniform(size=(400, 8)), 3, cell_rows=4)
 
 
-def test_synthetic_rows_fill_the_gap(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, [float(a), float(b)], 1.0 if i < 80 else 0.0)
-            for i, (a, b) in enumerate(rng.uniform(0, 1, (480, 2)))]
+@pytest.mark.parametrize("rows", [1, 2, 4])
+def test_fewer_points_than_neighbours(spark, rows):
+    check(spark, np.arange(rows * 2, dtype=float).reshape(rows, 2), 5, cell_rows=1)
+
+
+def test_no_points(spark):
+    empty = points(spark, np.zeros((1, 2))).filter("id < 0")
+    assert neighbours.nearest(empty, 2, 5).count() == 0
+
+
+def test_trees_lose_no_box():
+    draw = np.random.default_rng(4)
+    values = draw.normal(size=(500, 3))
+    tree = neighbours.grow(values[:200], 16)
+    cells = tree.cells(values)
+    assert tree.leaves == 16 and len(set(cells.tolist())) == 16
+    reach = np.full(50, 0.3)
+    met = {(i, c) for rows, c, far in tree.within(values[:50], reach) for i in rows.tolist()}
+    gaps = neighbours.squared(values[:50], values)
+    assert {(i, int(cells[j])) for i, j in zip(*np.nonzero(gaps <= 0.3))} <= met
+    for i in range(10):
+        order = tree.nearest(values[i], 16)
+        assert sorted(order) == list(range(16)) and order[0] == cells[i]
+
+
+def labelled(spark, values, minority):
+    rows = [(i, [float(v) for v in row], float(i < minority)) for i, row in enumerate(values)]
     df = spark.createDataFrame(rows, "key long, x array<double>, label double")
-    df = df.select("key", array_to_vector("x").alias("features"), "label")
+    return df.select("key", array_to_vector("x").alias("features"), "label")
+
+
+def test_synthetic_rows_fill_the_gap(spark):
+    values = np.random.default_rng(3).uniform(0, 1, (480, 2))
+    df = labelled(spark, values, 80)
     balance = sampling.measure_balance(df)
     made = oversample.synthetic_minority(df, balance, "key", size=2)
     found = made.select("parent", vector_to_array("features").alias("x"), "label").collect()
     assert len(found) == 320  # 400 - 80: a whole number of copies each
     assert {r["label"] for r in found} == {1.0}
     assert {r["parent"] for r in found} == set(range(80))
-    own = np.array([r[1] for r in rows[:80]])
-    for r in found[:40]:  # on a segment from the parent to a minority row
-        start, x = own[r["parent"]], np.array(r["x"])
-        arms, step = own - start, x - start
+    near = plain(values[:80], 5)
+    for r in found:  # on the line from the parent to one of its neighbours
+        start, x = values[r["parent"]], np.array(r["x"])
+        arms = np.array([values[j] for _, j in near[r["parent"]]]) - start
+        step = x - start
         cross = np.abs(arms[:, 0] * step[1] - arms[:, 1] * step[0])
         along = (arms @ step >= -1e-9) & ((arms ** 2).sum(1) >= (step ** 2).sum() - 1e-9)
         assert (cross[along] < 1e-9).any()
-    again = oversample.synthetic_minority(df.repartition(5), balance, "key", size=2)
-    assert made.select("parent", "copy").exceptAll(again.select("parent", "copy")).count() == 0
+    again = oversample.synthetic_minority(df.repartition(5), balance, "key", size=2, cell_rows=9)
+    assert made.exceptAll(again).count() == 0
+
+
+def test_a_lone_row_is_copied(spark):
+    df = labelled(spark, np.arange(100, dtype=float).reshape(50, 2), 1)
+    made = oversample.synthetic_minority(df, sampling.measure_balance(df), "key", size=2)
+    rows = made.select("parent", vector_to_array("features").alias("x")).collect()
+    assert len(rows) == 48 and all(r["x"] == [0.0, 1.0] and r["parent"] == 0 for r in rows)
