@@ -8,7 +8,8 @@ return the columns of ``documents`` as they are:
 - ``language`` drops documents without a letter or in none of the languages
   learned from the documents that name one;
 - ``near_copies`` keeps the member with the smallest doc_id of each group of texts
-  whose sets of five words in a row have a Jaccard similarity of 0.8 or more;
+  whose SimHash fingerprints over three words in a row are linked by two or fewer
+  differing bits;
 - ``benchmarks`` drops documents that overlap a benchmark item;
 - ``tokens`` returns ``doc_id, n_tokens, ids`` and the digests of the ids and of
   the bytes they decode to.
@@ -20,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classweave.llm import bpe, decontaminate, edited_copies, langid, toxicity
+from classweave.llm import bpe, decontaminate, langid, simhash, toxicity
 from classweave.llm.queries import BPE_RANKS, table
 from classweave.session import materialise
 
@@ -53,7 +54,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame,
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return edited_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
