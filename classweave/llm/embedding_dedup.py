@@ -11,9 +11,11 @@ is missed with a chance below ``MISS``; nearer pairs collide more often.
 Vectors are compared within a label and length. Equal vectors are taken once.
 A label's vectors are dealt by hash into tiles of about ``TILE_BYTES``, and each
 pair of tiles is one group for one task, so a hot label is many small groups. In
-a task the first projection is sorted, and the others are counted for the pairs
-that fall into its windows. A task returns counts per vector and a forest of its
-links, never the pairs.
+a task every projection is sorted, so that a vector's window is a run of ranks;
+whether a rank lies in the run is one comparison of small integers, which counts
+the collisions of all pairs of a strip at once. Only pairs whose first projections
+are within reach of each other are looked at. A task returns counts per vector and
+a forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -31,13 +33,12 @@ from classweave.session import materialise
 
 THRESHOLD = 0.93
 PROJECTIONS = 48
-FIRST_PROJECTIONS = 12
 WIDTH = 1.5
 MISS = 1e-6
 SEED = 20_240_229
 TILE_BYTES = 2_000_000
-# rows of a tile counted against the other tile at once
-STRIP = 256
+# pairs whose collisions are counted at once
+STRIP_PAIRS = 500_000
 
 COUNTS_TYPE = "class long, linked long, least long"
 
@@ -62,37 +63,45 @@ def wanted_count(trials: int, miss: float) -> int:
     return trials
 
 
+def rank_windows(left: np.ndarray, right: np.ndarray,
+                 half: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of ``right`` in one projection, and ``left``'s windows as first rank and width."""
+    order = np.argsort(right, kind="stable")
+    values = right[order]
+    kind = np.uint16 if len(right) < 1 << 16 else np.uint32
+    rank = np.empty(len(right), kind)
+    rank[order] = np.arange(len(right), dtype=kind)
+    first = np.searchsorted(values, left - half, "left")
+    last = np.searchsorted(values, left + half, "right")
+    return rank, first.astype(kind), (last - first).astype(kind)
+
+
 def candidate_pairs(left: np.ndarray, right: np.ndarray,
                     half: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that collide often enough; rows hold the projections.
 
-    ``right`` is sorted by its first projection. Of a strip of ``left``, also
-    sorted, only the stretch of ``right`` that its widest window reaches is
-    looked at; there the first projections are counted for all pairs, and the
-    rest for those that are still in.
+    Both sides are sorted by their first projection. Of a strip of ``left`` only
+    the stretch of ``right`` that its widest reach holds is looked at.
     """
-    first = wanted_count(FIRST_PROJECTIONS, MISS / 2)
     every = wanted_count(PROJECTIONS, MISS / 2)
     # one projection alone may miss; as a bound it is wide enough not to
     reach = half / WIDTH * 6.0
-    for low in range(0, len(left), STRIP):
-        strip = left[low:low + STRIP]
-        start = np.searchsorted(right[:, 0], strip[0, 0] - reach, "left")
-        stop = np.searchsorted(right[:, 0], strip[-1, 0] + reach, "right")
+    windows = [rank_windows(left[:, j], right[:, j], half) for j in range(PROJECTIONS)]
+    rows = max(1, STRIP_PAIRS // max(len(right), 1))
+    for low in range(0, len(left), rows):
+        own = slice(low, min(low + rows, len(left)))
+        start = np.searchsorted(right[:, 0], left[low, 0] - reach, "left")
+        stop = np.searchsorted(right[:, 0], left[own.stop - 1, 0] + reach, "right")
         if start == stop:
             continue
-        counts = np.zeros((len(strip), stop - start), np.uint8)
-        for j in range(FIRST_PROJECTIONS):
-            gap = strip[:, j, None] - right[None, start:stop, j]
-            counts += np.abs(gap, out=gap) <= half
-        a, b = np.nonzero(counts >= first)
-        if not len(a):
-            continue
-        total = counts[a, b].astype(np.int64)
-        for j in range(FIRST_PROJECTIONS, PROJECTIONS):
-            total += np.abs(strip[a, j] - right[start + b, j]) <= half
-        kept = total >= every
-        yield low + a[kept], start + b[kept]
+        counts = np.zeros((own.stop - low, stop - start), np.uint8)
+        for rank, first, width in windows:
+            # ranks before the window wrap round to large numbers
+            place = rank[None, start:stop] - first[own, None]
+            counts += (place < width[own, None]).view(np.uint8)
+        a, b = np.nonzero(counts >= every)
+        if len(a):
+            yield low + a, start + b
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
