@@ -31,15 +31,13 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     are about as many offsets as stretches and segments together.
     """
     frame = (Window.unboundedPreceding, Window.currentRow)
-    stretches = -(-df.count() // window_rows)
-    if stretches <= 1:
+    ranged = _in_stretches(df, order, window_rows, by)
+    if ranged is None:
         whole = Window.partitionBy(*by).orderBy(order).rowsBetween(*frame)
         return df.select(
             "*", *(F.sum(c).over(whole).alias(f"{c}_upto") for c in sums)
         )
 
-    ranged = materialise(df.repartitionByRange(stretches, *by, order).withColumn(
-        "_stretch", F.spark_partition_id()))
     before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -63,6 +61,40 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     )
 
 
+def _in_stretches(df: DataFrame, order: str, window_rows: int,
+                  by: Sequence[str]) -> DataFrame | None:
+    """``df`` cut by range into numbered stretches and written; None if one will do."""
+    stretches = -(-df.count() // window_rows)
+    if stretches <= 1:
+        return None
+    return materialise(df.repartitionByRange(stretches, *by, order).withColumn(
+        "_stretch", F.spark_partition_id()))
+
+
+def preceding(df: DataFrame, order: str, columns: Sequence[str],
+              window_rows: int = SINGLE_WINDOW_ROWS,
+              by: Sequence[str] = ()) -> DataFrame:
+    """Add ``<name>_before``: the value of the row before, by ascending ``order``.
+
+    Null for the first row of a segment. ``df`` as for :func:`running_totals`,
+    and cut like there; a stretch gets the last row of the one before it.
+    """
+    ranged = _in_stretches(df, order, window_rows, by)
+    if ranged is None:
+        whole = Window.partitionBy(*by).orderBy(order)
+        return df.select("*", *(F.lag(c).over(whole).alias(f"{c}_before") for c in columns))
+    # one row per stretch and segment
+    ends = ranged.groupBy(*by, "_stretch").agg(
+        F.max_by(F.struct(*columns), order).alias("end"))
+    earlier = Window.partitionBy(*by).orderBy("_stretch")
+    ends = ends.select(*by, "_stretch", F.lag("end").over(earlier).alias("_end"))
+    within = Window.partitionBy(*by, "_stretch").orderBy(order)
+    return ranged.join(ends, [*by, "_stretch"]).select(
+        *df.columns,
+        *(F.coalesce(F.lag(c).over(within), F.col("_end")[c]).alias(f"{c}_before")
+          for c in columns))
+
+
 def global_rank(df: DataFrame, order: Sequence[Column | str],
                 name: str = "rank") -> DataFrame:
     """Add the row's position, from zero, in the order of unique sort keys.

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classweave.functions.running import SINGLE_WINDOW_ROWS, running_totals
+from classweave.functions.running import SINGLE_WINDOW_ROWS, preceding, running_totals
 from classweave.session import materialise
 
 
@@ -97,10 +97,8 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label",
     return areas(score_counts(scored, score, label, by), by, window_rows)
 
 
-def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
-               window_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
-    """One point per distinct score used as the threshold ``score >= t``."""
-    counts = score_counts(scored, score, label)
+def _curve(counts: DataFrame, window_rows: int) -> DataFrame:
+    """One point per row of ``counts`` used as the threshold ``score >= t``."""
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     positives, negatives = totals["p"] or 0, totals["n"] or 0
     ranked = running_totals(counts, "score", ["pos", "neg"], window_rows)
@@ -113,13 +111,42 @@ def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
             return F.lit(0.0)
         return at_or_above(name, total) / F.lit(total)
 
-    return ranked.select(
-        F.col("score").alias("threshold"),
-        at_or_above("pos", positives).cast("long").alias("tp"),
-        at_or_above("neg", negatives).cast("long").alias("fp"),
-        rate("pos", positives).alias("tpr"),
-        rate("neg", negatives).alias("fpr"),
-    )
+    return ranked.withColumns({
+        "threshold": F.col("score"),
+        "tp": at_or_above("pos", positives).cast("long"),
+        "fp": at_or_above("neg", negatives).cast("long"),
+        "tpr": rate("pos", positives),
+        "fpr": rate("neg", negatives),
+    })
+
+
+ROC_COLUMNS = ["threshold", "tp", "fp", "tpr", "fpr"]
+
+
+def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
+               window_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
+    """One point per distinct score used as the threshold ``score >= t``."""
+    return _curve(score_counts(scored, score, label), window_rows).select(*ROC_COLUMNS)
+
+
+def roc_corners(scored: DataFrame, score: str = "score", label: str = "label",
+                window_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
+    """The points of :func:`roc_points` where the curve turns, and its end.
+
+    With the origin they draw the same curve and have the same area. A point
+    is left out if the steps to it and from it have one direction, which is
+    decided in whole numbers.
+    """
+    counts = materialise(preceding(
+        score_counts(scored, score, label), "score", ["pos", "neg"], window_rows))
+
+    def whole(name: str) -> Column:
+        return F.col(name).cast("decimal(19,0)")
+
+    # the curve goes from high scores to low ones, so its next step is the row before
+    straight = whole("pos") * whole("neg_before") == whole("neg") * whole("pos_before")
+    return _curve(counts, window_rows).filter(
+        F.coalesce(~straight, F.lit(True))).select(*ROC_COLUMNS)
 
 
 def model_counts(models: Sequence[Model], test: DataFrame,

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations_with_replacement
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from classweave.functions.hashing import hash_below
+from classweave.functions.hashing import hash_below, hash_hex
 from classweave.functions.quantiles import finite, quantiles
 
-# bounds the width of one aggregate; the answer is the same at any value
-PAIRS_AT_ONCE = 300
+# empty bins are listed up to this many bins; beyond, only filled ones are rows
+MAX_LISTED_BINS = 100_000
+# bin numbers must be longs
+MOST_BINS = 1 << 62
+# a kernel is left out where it is below this share of its peak
+KERNEL_ERROR = 1e-15
+# variances smaller than this share of their terms are rounding
+NO_SPREAD = 1e-12
 
 
 def preview(df: DataFrame, order: Sequence[str], rows: int = 10) -> DataFrame:
@@ -131,7 +139,7 @@ def automatic_bins(df: DataFrame, column: str,
         width = min(width, spread)
     if isinstance(finite_type(df, column), T.IntegralType):
         width = max(width, 1.0)
-    return math.ceil((high - low) / width)
+    return min(math.ceil((high - low) / width), MOST_BINS)
 
 
 def finite_type(df: DataFrame, column: str) -> T.DataType:
@@ -141,28 +149,35 @@ def finite_type(df: DataFrame, column: str) -> T.DataType:
 def bin_number(value: Column, low: float, high: float, bins: int) -> Column:
     """Equal-width bin of a value in [low, high]; the top edge joins the last."""
     if high <= low:
-        return F.when(value.isNotNull(), F.lit(0))
+        return F.when(value.isNotNull(), F.lit(0).cast("bigint"))
     width = (high - low) / bins
-    raw = F.floor((value - F.lit(low)) / F.lit(width)).cast("int")
-    return F.when(value.isNotNull(), F.least(raw, F.lit(bins - 1)))
+    raw = F.floor((value - F.lit(low)) / F.lit(width))
+    return F.when(value.isNotNull(), F.least(raw, F.lit(bins - 1).cast("bigint")))
 
 
 def histogram(df: DataFrame, column: str, bins: int | str = "auto") -> DataFrame:
-    """Rows per equal-width bin, empty bins included."""
+    """Rows per equal-width bin, empty bins included up to ``MAX_LISTED_BINS`` bins.
+
+    One far value can call for more bins than there are rows. Then only filled
+    bins are rows, so the result never has more rows than the larger of that
+    bound and the number of values.
+    """
     if bins == "auto":
         bins = automatic_bins(df, column)
     n, low, high = _range_of(df, [column])[column]
     if not n:
         return df.sparkSession.createDataFrame(
-            [], "bin INT, lo DOUBLE, hi DOUBLE, n BIGINT")
+            [], "bin BIGINT, lo DOUBLE, hi DOUBLE, n BIGINT")
     counts = (
         df.select(bin_number(finite(df, column), low, high, bins).alias("bin"))
         .filter(F.col("bin").isNotNull())
         .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     )
+    if bins <= MAX_LISTED_BINS:
+        grid = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+        counts = grid.join(counts, "bin", "left")
     width = (high - low) / bins
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(counts, "bin", "left").select(
+    return counts.select(
         "bin",
         (F.lit(low) + F.col("bin") * F.lit(width)).alias("lo"),
         (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
@@ -182,9 +197,11 @@ def density(df: DataFrame, column: str, grid: int = 200,
             bins: int | None = 1024) -> DataFrame:
     """Gaussian kernel density on an even grid, bandwidth by Scott's rule.
 
-    Rows first shrink to bin counts placed at each bin's mean, so the kernel
-    runs over ``bins * grid`` pairs whatever the table's size. ``bins=None``
-    uses every distinct value and is exact; that suits whole-number columns.
+    Rows first shrink to bin counts placed at each bin's mean. ``bins=None`` uses
+    every distinct value and is exact; that suits whole-number columns. A bin or
+    value meets only the grid points in reach of its kernel, where that is at
+    least ``KERNEL_ERROR`` of its peak; a density is short by no more than that
+    share of the highest one possible. The grid covers the data either way.
     """
     value = finite(df, column)
     stats = df.agg(
@@ -205,39 +222,85 @@ def density(df: DataFrame, column: str, grid: int = 200,
     scale = 1.0 / (n * bandwidth * math.sqrt(2.0 * math.pi))
     at = F.lit(low) + F.col("i") * F.lit(step)
     z = (at - F.col("centre")) / F.lit(bandwidth)
-    return (
-        points.select(
-            "n", "centre",
-            F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"),
-        )
+    reach = bandwidth * math.sqrt(-2.0 * math.log(KERNEL_ERROR))
+    first = F.ceil((F.col("centre") - F.lit(low + reach)) / F.lit(step))
+    last = F.floor((F.col("centre") - F.lit(low - reach)) / F.lit(step))
+    inside = F.sequence(
+        F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(grid - 1)).cast("int"))
+    met = (
+        points.select("n", "centre", first.alias("first"), last.alias("last"))
+        # a kernel narrower than a step may meet no point
+        .filter("first <= last")
+        .select("n", "centre", F.explode(inside).alias("i"))
         .groupBy("i")
         .agg((F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z))
               * F.lit(scale)).alias("density"))
-        .select("i", at.alias("x"), "density")
     )
+    every = df.sparkSession.range(grid).select(F.col("id").cast("int").alias("i"))
+    return every.join(met, "i", "left").select(
+        "i", at.alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair, as (col_x, col_y, corr).
 
     A pair uses the rows where both hold a number, at any width; NaN counts as
-    missing. Pairs are worked out ``PAIRS_AT_ONCE`` to a pass over the rows.
+    missing. It is null where either has no spread in those rows.
+
+    Two passes over the rows however many columns there are. The first takes
+    means and deviations; the second adds up the products of all pairs of
+    scaled values, with the marks of present values and the squares beside them
+    where a column has gaps. Every task adds up one such matrix, and the driver
+    gets one, so its size is bound by the number of columns.
     """
     columns = list(columns)
-    held = df.select(*(finite(df, c).alias(c) for c in columns))
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    passes = []
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        own = pairs[at:at + PAIRS_AT_ONCE]
-        row = held.agg(*(F.corr(columns[i], columns[j]).alias(f"c{i}_{j}")
-                         for i, j in own))
-        structs = [
-            F.struct(F.lit(columns[x]).alias("col_x"), F.lit(columns[y]).alias("col_y"),
-                     F.col(f"c{i}_{j}").alias("corr"))
-            for i, j in own for x, y in {(i, j), (j, i)}
-        ]
-        passes.append(row.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
-    return reduce(DataFrame.union, passes)
+    held = df.select(*(finite(df, c).alias(f"c{i}") for i, c in enumerate(columns)))
+    stats = held.agg(F.count(F.lit(1)).alias("rows"), *(
+        f(f"c{i}").alias(f"{name}{i}") for i in range(len(columns))
+        for name, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop)))).first()
+    gaps = [i for i in range(len(columns)) if stats[f"n{i}"] < stats["rows"]]
+    values, squares = [], []
+    for i in range(len(columns)):
+        spread = stats[f"sd{i}"] or 0.0
+        scaled = F.lit(0.0) if not spread else (
+            F.col(f"c{i}").cast("double") - F.lit(stats[f"mean{i}"])) / F.lit(spread)
+        values.append(F.coalesce(scaled, F.lit(0.0)))
+        squares.append(values[-1] * values[-1])
+    marks = [F.col(f"c{i}").isNotNull().cast("double") for i in gaps]
+    parts = [F.lit(1.0), *values, *marks, *(squares if gaps else [])]
+    gram = _products(held.select(array_to_vector(F.array(*parts)).alias("v")), len(parts))
+    found = _pair_correlations(gram, len(columns), gaps)
+    rows = [(x, y, None if np.isnan(found[i, j]) else float(found[i, j]))
+            for i, x in enumerate(columns) for j, y in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "col_x STRING, col_y STRING, corr DOUBLE")
+
+
+def _products(vectors: DataFrame, size: int) -> np.ndarray:
+    """Sums of the products of all pairs of a vector column's entries."""
+    old = MLUtils.convertVectorColumnsFromML(vectors, "v")
+    if old.isEmpty():
+        return np.zeros((size, size))
+    return RowMatrix(old, 0, size).computeGramianMatrix().toArray()
+
+
+def _pair_correlations(gram: np.ndarray, n: int, gaps: Sequence[int]) -> np.ndarray:
+    """Correlations from the sums over each pair's shared rows; NaN for none."""
+    value = slice(1, 1 + n)
+    # the column of products that stands for a value being there
+    present = np.zeros(n, int)
+    present[list(gaps)] = 1 + n + np.arange(len(gaps))
+    count = gram[np.ix_(present, present)]
+    total = gram[value][:, present]  # of x, where y is there
+    if gaps:
+        square = gram[1 + n + len(gaps):][:, present]
+    else:
+        square = np.repeat(np.diag(gram)[value, None], n, axis=1)
+    both = gram[value, value]
+    spread = count * square - total * total
+    spread[spread <= NO_SPREAD * count * square] = np.nan
+    with np.errstate(invalid="ignore", divide="ignore"):
+        found = (count * both - total * total.T) / np.sqrt(spread) / np.sqrt(spread.T)
+    return np.clip(found, -1.0, 1.0)
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
@@ -248,7 +311,7 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
         for c, name in ((x, "bx"), (y, "by"))
     ]
     return (
-        df.select(*cells)
+        df.select(*(c.cast("int").alias(n) for c, n in zip(cells, ("bx", "by"))))
         .filter(F.col("bx").isNotNull() & F.col("by").isNotNull())
         .groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -260,6 +323,17 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: Sequence[str],
     return df.filter(hash_below(key, seed, fraction)).select(x, y)
 
 
+def scatter_points(df: DataFrame, x: str, y: str, key: Sequence[str],
+                   points: int, seed: int = 7) -> DataFrame:
+    """Raw points for a plot: exactly ``points`` of them, or all if there are fewer.
+
+    Those with the smallest hash of their key, so the sample is the same under
+    any partitioning; each task keeps no more than ``points``.
+    """
+    return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(
+        hash_hex(key, seed), *key).limit(points).select(x, y)
+
+
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 

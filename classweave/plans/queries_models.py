@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from classweave.plans import standins as s
 from classweave.plans.queries_profile import hash_sql
 from classweave.plans.registry import register
 from classweave.session import materialise, new_folder, shared_folder
-from classweave.sources import records, sinks
+from classweave.sources import records, sinks, tables
 from classweave.spec import parse_schema
 from classweave.streaming import requests
 
@@ -102,6 +103,46 @@ def roc_points(spark, sf_dir):
     return _round_all(found, "tpr", "fpr")
 
 
+@register("roc_corners", f"""
+    WITH c AS (SELECT floor(l_extendedprice / 10) AS score, sum(label) AS pos,
+                      count(*) - sum(label) AS neg
+               FROM ({s.LINES_SQL}) GROUP BY 1),
+    t AS (SELECT sum(pos) AS p, sum(neg) AS n FROM c),
+    x AS (SELECT score::DOUBLE AS threshold, pos, neg, p, n, lead(pos) OVER w AS next_pos,
+                 lead(neg) OVER w AS next_neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp
+          FROM c, t WINDOW w AS (ORDER BY score DESC))
+    SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp,
+           round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr
+    FROM x WHERE coalesce(pos * next_neg <> neg * next_pos, true)
+""")
+def roc_corners(spark, sf_dir):
+    """Where the curve turns; most scores of one class leave no point."""
+    scored = s.scored_lines(spark, sf_dir).withColumn("score", F.floor(F.col("score") / 10))
+    found = evaluate.roc_corners(scored, window_rows=1_000)
+    return _round_all(found, "tpr", "fpr")
+
+
+@register("auc_by_group", f"""
+    WITH c AS (SELECT l_returnflag, l_linenumber, score, sum(label) AS pos,
+                      count(*) - sum(label) AS neg
+               FROM (SELECT l_extendedprice AS score, l_returnflag, l_linenumber, label
+                     FROM ({s.LINES_SQL})) GROUP BY ALL),
+    r AS (SELECT *, sum(neg) OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY score)
+                    - neg AS under FROM c)
+    SELECT l_returnflag, l_linenumber,
+           round((sum(pos * (under + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0))::DOUBLE, 6)
+               AS auc
+    FROM r GROUP BY ALL
+""")
+def auc_by_group(spark, sf_dir):
+    """Exact areas of many groups at once, cut into ranges over all of them."""
+    scored = s.table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linenumber", F.col("l_extendedprice").alias("score"),
+        s.planted().cast("double").alias("label"))
+    return _round_all(evaluate.auc(
+        scored, window_rows=5_000, by=["l_returnflag", "l_linenumber"]), "auc")
+
+
 @register("lr_score_fixed", """
     SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-z)), 6) AS p1,
            (z > 0)::INTEGER::DOUBLE AS prediction
@@ -306,25 +347,52 @@ def model_checks(spark, sf_dir):
 # --- scoring ----------------------------------------------------------------
 
 _COUNTS_SQL = """
-    SELECT l_returnflag, count(*) AS n_rows, count(*) AS n_scored
+    SELECT l_returnflag, count(*) AS n_rows, count(*) AS n_scored, count(*) AS n_agree,
+           true AS accurate
     FROM lineitem GROUP BY l_returnflag
 """
+# of the planted label; a constant score gets no more than the larger class, 0.83
+GOOD_SHARE = 0.9
 
 
-def _score_counts(scored: DataFrame, *by: str) -> DataFrame:
+def _row_name() -> Column:
+    return F.concat_ws(":", *s.LINEITEM_KEY)
+
+
+def _expected(spark, sf_dir, model: PipelineModel) -> DataFrame:
+    """``row, want, label``: every row's score by the model's coefficients alone."""
+    *prepared, logistic = model.stages
+    rows = PipelineModel(prepared).transform(s.LINES.with_label(s.lines(spark, sf_dir)))
+    x = vector_to_array("selectedFeatures")
+    z = F.lit(float(logistic.intercept))
+    for i, weight in enumerate(logistic.coefficients.toArray()):
+        z = z + x[i] * F.lit(float(weight))
+    return rows.select(_row_name().alias("row"), (1 / (1 + F.exp(-z))).alias("want"), "label")
+
+
+def _score_counts(scored: DataFrame, expected: DataFrame, *by: str) -> DataFrame:
+    """Rows, valid scores, those equal to the expected ones, and a floor of right ones.
+
+    ``scored`` names each row as ``row``.
+    """
     valid = F.col("p1").between(0, 1) & F.col("prediction").isin(0.0, 1.0)
-    return scored.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(valid).alias("n_scored"))
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    return scored.join(expected, "row", "left").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(valid).alias("n_scored"),
+        F.count_if(F.abs(F.col("p1") - F.col("want")) < 1e-9).alias("n_agree"),
+        (right >= GOOD_SHARE).alias("accurate"))
 
 
 @register("batch_score", _COUNTS_SQL)
 def batch_score(spark, sf_dir):
-    """Train, save, reload and score: every row gets one valid score."""
+    """Train, save, reload and score: every row gets the score it should."""
     path = new_folder(spark, "model")
-    scoring.save_model(_trained(spark, sf_dir), path)
+    model = _trained(spark, sf_dir)
+    scoring.save_model(model, path)
     scored = scoring.score(
-        s.lines(spark, sf_dir), scoring.load_model(path), ["l_returnflag"])
-    return _score_counts(scored, "l_returnflag")
+        s.lines(spark, sf_dir), scoring.load_model(path), [*s.LINEITEM_KEY, "l_returnflag"])
+    return _score_counts(scored.withColumn("row", _row_name()),
+                         _expected(spark, sf_dir, model), "l_returnflag")
 
 
 @register("batch_score_rows")
@@ -334,19 +402,51 @@ def batch_score_rows(spark, sf_dir):
         [*s.LINEITEM_KEY, "is_large"])
 
 
+_EXPORT_DDL = (
+    "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_returnflag STRING, {label} prediction DOUBLE, p1 DOUBLE")
+
+
+def _exported(spark, scored: DataFrame, label: str = "") -> DataFrame:
+    """Scored rows written as CSV and read back under their own schema."""
+    path = new_folder(spark, "predictions")
+    schema = parse_schema(_EXPORT_DDL.format(label=label))
+    sinks.export_predictions(scored, path, schema.names[:-2])
+    return spark.read.schema(schema).option("header", True).csv(path).withColumn(
+        "row", _row_name())
+
+
 @register("prediction_export", _COUNTS_SQL)
 def prediction_export(spark, sf_dir):
     """Ids, features and probabilities written as CSV and read back."""
-    path = new_folder(spark, "predictions")
-    scored = scoring.score(s.lines(spark, sf_dir), _trained(spark, sf_dir))
-    sinks.export_predictions(
-        scored, path, [*s.LINEITEM_KEY, "l_returnflag", "l_quantity"])
-    schema = parse_schema(
-        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, "
-        "l_linenumber INT, l_returnflag STRING, l_quantity DOUBLE, "
-        "prediction DOUBLE, p1 DOUBLE")
-    back = spark.read.schema(schema).option("header", True).csv(path)
-    return _score_counts(back, "l_returnflag")
+    model = _trained(spark, sf_dir)
+    scored = scoring.score(s.lines(spark, sf_dir), model)
+    back = _exported(spark, scored, "l_quantity DOUBLE,")
+    return _score_counts(back, _expected(spark, sf_dir, model), "l_returnflag")
+
+
+@register("tuned_csv_score", """
+    SELECT l_returnflag, is_large, count(*) AS n_rows, count(*) AS n_scored,
+           count(*) AS n_agree, true AS accurate
+    FROM (SELECT *, CASE WHEN l_extendedprice + 300 * l_quantity > 95000
+                         THEN 'Yes' ELSE 'No' END AS is_large FROM lineitem)
+    GROUP BY ALL
+""")
+def tuned_csv_score(spark, sf_dir):
+    """A new CSV through the saved winner of a search: label, prediction, probability."""
+    source, path = new_folder(spark, "new_csv"), new_folder(spark, "tuned")
+    schema = s.line_schema()
+    s.lines(spark, sf_dir).select(*schema.names).write.option("header", True).csv(source)
+    data = _training_set(spark, sf_dir, folds=models.FOLDS)
+    try:
+        tuned = _tuned(spark, data, "Logistic Regression")
+        model = data.prep.with_model(tuned.best_model)
+    finally:
+        data.release()
+    scoring.save_model(model, path)
+    scored = scoring.score(tables.read_csv(spark, source, schema), scoring.load_model(path))
+    back = _exported(spark, scored, "is_large STRING,")
+    return _score_counts(back, _expected(spark, sf_dir, model), "l_returnflag", "is_large")
 
 
 def _record_lines(spark, sf_dir) -> DataFrame:
@@ -355,33 +455,33 @@ def _record_lines(spark, sf_dir) -> DataFrame:
     line = records.format_line(rows, s.line_schema())
     cut = F.regexp_replace(line, ",[^,]*,[^,]*$", "")
     return rows.select(
-        "l_linenumber",
+        "l_linenumber", _row_name().alias("row"),
         F.when(F.col("l_linenumber") == 7, cut).otherwise(line).alias("line"))
 
 
 _LINE_COUNTS_SQL = """
     SELECT l_linenumber, count(*) AS n_rows,
            CASE WHEN l_linenumber = 7 THEN 0 ELSE count(*) END AS n_scored,
+           CASE WHEN l_linenumber = 7 THEN 0 ELSE count(*) END AS n_agree,
+           CASE WHEN l_linenumber <> 7 THEN true END AS accurate,
            CASE WHEN l_linenumber = 7 THEN count(*) ELSE 0 END AS n_malformed
     FROM lineitem GROUP BY l_linenumber
 """
 
 
-def _line_counts(scored: DataFrame) -> DataFrame:
-    valid = F.col("p1").between(0, 1)
-    return scored.groupBy("l_linenumber").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(valid).alias("n_scored"),
-        F.count_if("malformed").alias("n_malformed"))
+def _line_counts(scored: DataFrame, expected: DataFrame) -> DataFrame:
+    bad = scored.groupBy("l_linenumber").agg(F.count_if("malformed").alias("n_malformed"))
+    return _score_counts(scored, expected, "l_linenumber").join(bad, "l_linenumber")
 
 
 @register("record_score", _LINE_COUNTS_SQL)
 def record_score(spark, sf_dir):
     """Text records in, scores out; malformed ones kept without a score."""
-    scored = scoring.score_lines(
-        _record_lines(spark, sf_dir), "line", s.line_schema(),
-        _trained(spark, sf_dir))
-    return _line_counts(scored)
+    model = _trained(spark, sf_dir)
+    scored = materialise(scoring.score_lines(
+        _record_lines(spark, sf_dir), "line", s.line_schema(), model).select(
+        "l_linenumber", "row", "malformed", "prediction", "p1"))
+    return _line_counts(scored, _expected(spark, sf_dir, model))
 
 
 @register("stream_score", _LINE_COUNTS_SQL)
@@ -390,12 +490,14 @@ def stream_score(spark, sf_dir):
     source, target, marks = (
         new_folder(spark, p) for p in ("requests", "scored", "marks"))
     _record_lines(spark, sf_dir).select(records.encode_request(
-        F.col("line"), client_type=F.col("l_linenumber").cast("string"))
+        F.col("line"), request_id=F.col("row"),
+        client_type=F.col("l_linenumber").cast("string"))
     ).write.text(source)
+    model = _trained(spark, sf_dir)
     stream = requests.scored_stream(
-        requests.request_stream(spark, source), s.line_schema(),
-        _trained(spark, sf_dir), "v1")
+        requests.request_stream(spark, source), s.line_schema(), model, "v1")
     requests.start_scoring(stream, target, marks).awaitTermination()
     scored = spark.read.parquet(target)
-    return _line_counts(scored.withColumn(
-        "l_linenumber", F.col("client_type").cast("int")))
+    return _line_counts(
+        scored.withColumn("l_linenumber", F.col("client_type").cast("int"))
+        .withColumnRenamed("request_id", "row"), _expected(spark, sf_dir, model))

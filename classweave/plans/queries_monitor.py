@@ -89,8 +89,62 @@ def monitor_daily_stream(spark, sf_dir):
         .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     )
     metrics = monitoring.daily_metrics(s.as_feed(stream), ["client_type"])
-    monitoring.replace_all_days(metrics, target, marks).awaitTermination()
-    days = monitoring.newest_batch(spark.read.parquet(target))
-    return days.select(
-        F.to_date("window_start").alias("day"), "client_type", "requests",
-        "positive", "mean_p1")
+    monitoring.update_changed_days(
+        metrics, target, marks, ["client_type"]).awaitTermination()
+    return spark.read.parquet(target).select(
+        "day", "client_type", "requests", "positive", "mean_p1")
+
+
+# labels come up to nine days after their event, some never, some twice
+_TRUTH_SQL = f"""
+    SELECT request_id, label FROM (
+        SELECT event_id::VARCHAR AS request_id, event_id, (value > 40)::INTEGER AS label
+        FROM events)
+    WHERE event_id % 3 <> 0 AND event_id % 10 <= 7
+"""
+
+
+@register("monitor_success_stream", f"""
+    SELECT client_type, count(*) AS requests, count(label) AS labelled,
+           round(count(*) FILTER (prediction = label) / nullif(count(label), 0), 6)
+               AS success_rate
+    FROM ({s.FEED_SQL}) LEFT JOIN ({_TRUTH_SQL}) USING (request_id) GROUP BY client_type
+""")
+def monitor_success_stream(spark, sf_dir):
+    """Success where the truth is a stream of its own, as late as it comes."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    paths = {n: new_folder(spark, n) for n in ("events", "truth", "judged", "marks")}
+    feed = s.monitoring_feed(spark, sf_dir).select(
+        "request_id", "ts", "prediction", "client_type")
+    raw = s.table(spark, sf_dir, "events")
+    late = raw.filter("event_id % 3 <> 0").select(
+        F.col("event_id").cast("string").alias("request_id"),
+        (F.col("ts").cast("timestamp")
+         + F.make_dt_interval(F.col("event_id") % 10)).alias("truth_ts"),
+        (F.col("value") > 40).cast("double").alias("label"))
+    # a first label that is wrong, corrected by the one above
+    wrong = late.filter("cast(request_id AS bigint) % 10 = 5").select(
+        "request_id", (F.col("truth_ts") - F.make_dt_interval(F.lit(1))).alias("truth_ts"),
+        (1 - F.col("label")).alias("label"))
+    feed.write.parquet(paths["events"])
+    late.unionByName(wrong).write.parquet(paths["truth"])
+    streams = (spark.readStream.schema(rows.schema).parquet(paths[n])
+               for n, rows in (("events", feed), ("truth", late)))
+    judged = monitoring.judged_stream(*streams, by=["client_type"])
+    monitoring.append_judged(judged, paths["judged"], paths["marks"]).awaitTermination()
+    # a quiet feed holds its watermark back: a beat of a later time moves it, and the
+    # batch after that, with the next beat, ends the waits
+    last = feed.agg(F.max("ts")).first()[0]
+    for days in (60, 61):
+        beat = spark.range(1).select(
+            F.lit("beat").alias("request_id"),
+            F.timestamp_add("DAY", F.lit(days), F.lit(last)).alias("ts"))
+        beat.select("request_id", "ts", F.lit(0.0).alias("prediction"), F.lit("beat").alias(
+            "client_type")).write.mode("append").parquet(paths["events"])
+        beat.select("request_id", F.col("ts").alias("truth_ts"), F.lit(0.0).alias("label")
+                    ).write.mode("append").parquet(paths["truth"])
+        monitoring.append_judged(judged, paths["judged"], paths["marks"]).awaitTermination()
+    rows = monitoring.last_judgement(
+        spark.read.parquet(paths["judged"]).filter("request_id <> 'beat'"), ["client_type"])
+    return monitor.success_rate(rows, ["client_type"]).withColumn(
+        "success_rate", F.round("success_rate", 6))

@@ -63,7 +63,7 @@ def _histogram_sql(bins: str) -> str:
         w AS (SELECT *, (hi - lo) / bins AS width FROM b),
         c AS (SELECT least(floor((value - lo) / width)::INTEGER, bins - 1) AS bin,
                      count(*) AS n FROM events, w GROUP BY 1)
-        SELECT g.bin::INTEGER AS bin, round(w.lo + g.bin * w.width, 6) AS lo,
+        SELECT g.bin::BIGINT AS bin, round(w.lo + g.bin * w.width, 6) AS lo,
                round(w.lo + (g.bin + 1) * w.width, 6) AS hi,
                coalesce(c.n, 0) AS n
         FROM w, LATERAL (SELECT unnest(range(w.bins)) AS bin) g
@@ -189,6 +189,36 @@ def hash_sql(key: str, seed: int) -> str:
     return f"('0x' || substr(md5({key} || ':{seed}'), 1, 8))::BIGINT"
 
 
+@register("histogram_far", """
+    WITH v AS (SELECT CASE WHEN event_id = (SELECT min(event_id) FROM events)
+                           THEN 1e13 ELSE value END AS value FROM events),
+    w AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 1e9 AS width
+          FROM v),
+    c AS (SELECT least(floor((value - lo) / width)::BIGINT, 999999999) AS bin, count(*) AS n
+          FROM v, w GROUP BY 1)
+    SELECT bin, round(lo + bin * width, 3) AS lo, round(lo + (bin + 1) * width, 3) AS hi, n
+    FROM c, w
+""")
+def histogram_far(spark, sf_dir):
+    """One far value and narrow bins: only filled bins are rows."""
+    events = s.table(spark, sf_dir, "events")
+    first = events.agg(F.min("event_id")).first()[0]
+    far = events.withColumn("value", F.when(
+        F.col("event_id") == first, 1e13).otherwise(F.col("value")))
+    return profile.histogram(far, "value", 10**9).withColumns(
+        {n: F.round(n, 3) for n in ("lo", "hi")})
+
+
+@register("scatter_points", f"""
+    SELECT o_custkey, o_totalprice FROM orders
+    ORDER BY {hash_sql('o_orderkey::VARCHAR', 7)}, o_orderkey LIMIT 500
+""")
+def scatter_points(spark, sf_dir):
+    """A sample of so many points, however large the table."""
+    return profile.scatter_points(
+        s.table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], 500)
+
+
 @register("scatter_sample", f"""
     SELECT o_custkey, o_totalprice FROM orders
     WHERE {hash_sql('o_orderkey::VARCHAR', 7)} < 0.1 * 4294967296

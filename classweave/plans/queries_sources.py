@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from classweave.operators.profile import preview, schema_table
@@ -164,3 +166,27 @@ def monitoring_sink(spark, sf_dir):
         sinks.monitoring_events(feed, "v1", F.col("ts")), path)
     return spark.read.parquet(path).groupBy("day", "client_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("positive"))
+
+
+@register("fetch_rows", """
+    SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL
+""")
+def fetch_rows(spark, sf_dir):
+    """A small result brought to the driver under its bound."""
+    counted = s.table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame(tables.fetch_bounded(counted, 100), counted.schema)
+
+
+@register("monitoring_clock", """
+    SELECT event_type AS client_type, count(*) AS n, true AS in_time, 1::BIGINT AS clocks
+    FROM events GROUP BY event_type
+""")
+def monitoring_clock(spark, sf_dir):
+    """Monitoring events carry the time at which their query ran, in UTC."""
+    start = datetime.now(timezone.utc)
+    events = sinks.monitoring_events(s.monitoring_feed(spark, sf_dir).drop("ts"), "v1")
+    first, last = (F.lit(start + timedelta(minutes=m)) for m in (-1, 60))
+    return events.groupBy("client_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.col("ts").between(first, last)).alias("in_time"),
+        F.count_distinct("ts").alias("clocks"))

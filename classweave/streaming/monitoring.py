@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from classweave.operators.monitor import mean_score
+from classweave.session import exists, materialise
 
 
 def daily_metrics(events: DataFrame, by: Sequence[str] = (),
@@ -43,18 +45,41 @@ def append_closed_days(metrics: DataFrame, target: str, checkpoint: str,
     return writer.start()
 
 
-def replace_all_days(metrics: DataFrame, target: str, checkpoint: str,
-                     available_now: bool = True) -> StreamingQuery:
-    """Rewrite the whole table of days each batch, open days included.
+def update_changed_days(metrics: DataFrame, target: str, checkpoint: str,
+                        by: Sequence[str] = (),
+                        available_now: bool = True) -> StreamingQuery:
+    """Keep a table of days, a partition each; only days with new events are rewritten.
 
-    A batch writes a folder of its own number, so running it again after a
-    failure rewrites the same folder.
+    A batch brings the whole figures of every group it changed. They replace
+    those groups in their days, whose other groups are carried over; no other
+    day is read or written. A batch that runs again after a failure replaces the
+    same groups by the same figures. Open days are included, and a day is final
+    once the watermark has passed it.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number:09d}")
+        spark = batch.sparkSession
+        changed = materialise(batch.withColumn("day", F.to_date("window_start")))
+        # one value per day that changed
+        days = [r["day"] for r in changed.select("day").distinct().collect()]
+        if not days:
+            return
+        table = changed
+        if exists(spark, target):
+            keys = ["window_start", *by]
+            same = reduce(Column.__and__, (
+                F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys))
+            kept = (
+                spark.read.schema(changed.schema).parquet(target)
+                .filter(F.col("day").isin(days)).alias("old")
+                .join(changed.alias("new"), same, "left_anti")
+            )
+            # written first, as the days it reads are replaced
+            table = materialise(kept.unionByName(changed))
+        table.repartition("day").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
 
     writer = (
-        metrics.writeStream.outputMode("complete").foreachBatch(write)
+        metrics.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint)
     )
     if available_now:
@@ -62,7 +87,46 @@ def replace_all_days(metrics: DataFrame, target: str, checkpoint: str,
     return writer.start()
 
 
-def newest_batch(df: DataFrame) -> DataFrame:
-    """The last complete table written by :func:`replace_all_days`."""
-    newest = df.agg(F.max("batch")).first()[0]
-    return df.filter(F.col("batch") == newest).drop("batch")
+# --- truth that arrives late ------------------------------------------------
+
+def judged_stream(events: DataFrame, truth: DataFrame, by: Sequence[str] = (),
+                  wait: str = "7 days", lateness: str = "1 day") -> DataFrame:
+    """Each event with the labels that arrive for it within ``wait``.
+
+    ``events`` have ``request_id, ts, prediction`` and ``by``, ``truth`` has
+    ``request_id, truth_ts, label``. Both streams carry watermarks, so an event
+    is held until no label in time can follow, and a label until no event that it
+    could belong to can; state is bounded by ``wait`` and ``lateness``. An event
+    whose label does not come in time is given out with a null label when its
+    wait is over, in the batch after the one that moved both watermarks past it.
+    A corrected label gives a second row; see :func:`last_judgement`.
+    """
+    held = events.select("request_id", "ts", "prediction", *by).withWatermark(
+        "ts", lateness).alias("e")
+    labels = truth.select(
+        F.col("request_id").alias("truth_of"), "truth_ts", "label"
+    ).withWatermark("truth_ts", lateness).alias("t")
+    in_time = (
+        (F.col("request_id") == F.col("truth_of"))
+        & (F.col("truth_ts") >= F.col("ts"))
+        & (F.col("truth_ts") <= F.col("ts") + F.expr(f"INTERVAL {wait}"))
+    )
+    return held.join(labels, in_time, "left").select(
+        "request_id", "ts", "prediction", *by, "label", "truth_ts")
+
+
+def append_judged(judged: DataFrame, target: str, checkpoint: str,
+                  available_now: bool = True) -> StreamingQuery:
+    writer = (
+        judged.writeStream.format("parquet").outputMode("append")
+        .option("path", target).option("checkpointLocation", checkpoint)
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def last_judgement(judged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per request: the label that came last, null where none came."""
+    return judged.groupBy("request_id", "ts", "prediction", *by).agg(
+        F.max_by("label", "truth_ts").alias("label"))

@@ -62,9 +62,7 @@ def test_density_integrates_to_about_one(spark):
     assert worst < 1e-4
 
 
-@pytest.mark.parametrize("at_once", [300, 7])
-def test_correlation_is_the_same_at_any_width(spark, monkeypatch, at_once):
-    monkeypatch.setattr(profile, "PAIRS_AT_ONCE", at_once)
+def test_correlation_is_the_same_at_any_width(spark):
     columns = [f"c{i}" for i in range(14)]
     df = spark.range(400).select(*(
         F.when(F.col("id") % 9 == i, F.lit(None if i % 2 else float("nan"))).otherwise(
@@ -76,6 +74,104 @@ def test_correlation_is_the_same_at_any_width(spark, monkeypatch, at_once):
     for pair, value in few.items():
         assert wide[pair] == pytest.approx(value, abs=1e-9)
     assert not any(v is None or v != v for v in wide.values())
+    for (x, y), value in wide.items():
+        both = df.filter(f"{x} is not null and {y} is not null and not isnan({x}) "
+                         f"and not isnan({y})")
+        if x < y and columns.index(x) < 4:
+            assert value == pytest.approx(both.agg(F.corr(x, y)).first()[0], abs=1e-12)
+
+
+def test_correlation_without_spread_or_rows(spark):
+    """Constants, constants in the shared rows only, large offsets, one row, none."""
+    df = spark.range(200).select(
+        F.lit(7).alias("same"), (F.col("id") + 10**9).cast("double").alias("far"),
+        F.when(F.col("id") < 50, 0.1).alias("few"),
+        F.when(F.col("id") >= 150, F.col("id")).alias("late"),
+        (F.col("id") * -3).cast("int").alias("down"))
+    got = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df, df.columns).collect()}
+    assert len(got) == 25
+    assert got["far", "down"] == pytest.approx(-1, abs=1e-9)
+    assert got["late", "far"] == pytest.approx(1, abs=1e-9) == got["late", "late"]
+    for x in df.columns:
+        assert got["same", x] is None and got["few", x] is None
+    for few in (df.limit(1), df.limit(0)):
+        assert all(r["corr"] is None for r in profile.correlation_matrix(
+            few, df.columns).collect())
+
+
+def test_correlation_reads_the_rows_twice_at_any_width(spark, tmp_path):
+    """Forty columns are no more passes than two."""
+    path = str(tmp_path / "wide")
+    spark.range(300).select(*(
+        (F.abs(F.xxhash64("id", F.lit(i))) % 100).alias(f"c{i}") for i in range(40)
+    )).write.parquet(path)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for width in (2, 40):
+        spark.sparkContext.setJobGroup(f"corr{width}", "")
+        profile.correlation_matrix(spark.read.parquet(path), [f"c{i}" for i in range(width)])
+        jobs.append(len(tracker.getJobIdsForGroup(f"corr{width}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_one_far_value_makes_no_row_per_bin(spark):
+    df = spark.range(10_000).select(
+        F.when(F.col("id") == 0, 1e13).otherwise(F.col("id") % 100).alias("v"))
+    assert profile.automatic_bins(df, "v") > 10**9
+    found = profile.histogram(df, "v").collect()
+    assert sum(r["n"] for r in found) == 10_000 and len(found) <= 101
+    assert max(r["bin"] for r in found) > 2**31
+    beyond = df.withColumn("v", F.col("v") * 1e300)
+    assert sum(r["n"] for r in profile.histogram(beyond, "v", 10**12).collect()) == 10_000
+
+
+def test_density_equals_the_whole_sum(spark):
+    """Kernels cut at their reach, on a clump and a far value that leave a gap."""
+    values = np.concatenate([np.random.default_rng(6).normal(0, 1, 900), [400.0, 401.0]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    found = sorted(profile.density(df, "v", grid=60, bins=None).collect(), key=lambda r: r["i"])
+    assert [r["i"] for r in found] == list(range(60))
+    width = values.std(ddof=1) * len(values) ** -0.2
+    for r in found:
+        z = (r["x"] - values) / width
+        want = np.exp(-0.5 * z * z).sum() / (len(values) * width * math.sqrt(2 * math.pi))
+        assert r["density"] == pytest.approx(want, abs=1e-15)
+
+
+@pytest.mark.parametrize("points", [1, 37, 10**6])
+def test_scatter_points_are_bounded_and_stable(spark, points):
+    df = spark.range(500).select("id", (F.col("id") * 2).alias("x"), F.when(
+        F.col("id") % 5 != 0, F.col("id")).alias("y"))
+    got = {tuple(r) for r in profile.scatter_points(df, "x", "y", ["id"], points).collect()}
+    again = {tuple(r) for r in profile.scatter_points(
+        df.repartition(7), "x", "y", ["id"], points).collect()}
+    assert got == again and len(got) == min(points, 400)
+
+
+@pytest.mark.parametrize("window_rows", [13, 10_000])
+def test_roc_corners_draw_the_same_curve(spark, window_rows):
+    """Long runs of one class and equal steps in a row leave no points."""
+    df = spark.range(4000).select(
+        F.floor(F.col("id") / 3).alias("score"),
+        ((F.floor(F.col("id") / 100) % 3 == 0) | (F.col("id") % 2 == 0)
+         & (F.col("id") > 3000)).cast("int").alias("label"))
+    every = evaluate.roc_points(df, window_rows=window_rows).orderBy(F.desc("threshold")).collect()
+    turns = evaluate.roc_corners(df, window_rows=window_rows).orderBy(
+        F.desc("threshold")).collect()
+    assert set(turns) <= set(every) and 20 < len(turns) < len(every) / 2
+
+    def area(points):
+        x, y = ([0.0, *(p[n] for p in points)] for n in ("fpr", "tpr"))
+        return np.trapezoid(y, x)
+
+    assert area(turns) == pytest.approx(area(every), abs=1e-12)
+    steps = [(0, 0), *((p["fp"], p["tp"]) for p in turns)]
+    for (a, b), (c, d), (e, f) in zip(steps, steps[1:], steps[2:]):
+        assert (c - a) * (f - d) != (e - c) * (d - b)
+    one = df.filter("label = 1")
+    assert len(evaluate.roc_corners(one).collect()) == 1
+    assert evaluate.roc_corners(df.limit(0)).count() == 0
 
 
 def test_equal_counts_name_two_classes(spark):
