@@ -45,6 +45,8 @@ STRETCH_TOKENS = 4_096
 BLOCK_TOKENS = 2_000_000
 BLOCKS_PER_PASS = 4
 FILTER_BITS = 20
+# pairs of places with one seed, beyond which a text repeats itself
+CROWDED_PAIRS = 100_000
 BLOCK_CHARS = 2_000_000
 
 HIT_TYPE = ("array<struct<item_id:bigint,doc_start:bigint,item_start:bigint,"
@@ -107,10 +109,13 @@ class Block:
     def alignments(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Distinct (document, row, shift) met by a seed, all texts in one array.
 
-        A shift is the item's place minus the document's.
+        A shift is the item's place minus the document's. In a text that repeats
+        itself many places meet many others on few shifts; those are found per
+        shift, so that the work and memory follow the lengths, not the pairs.
         """
         found = []
-        for mask, (value, row, place, seen) in zip(MASKS, self.tables):
+        for mask, table in zip(MASKS, self.tables):
+            value, row, place, seen = table
             seeds = seed_hashes(hashes, mask)
             at = np.flatnonzero(
                 seen[(seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -121,10 +126,15 @@ class Block:
             doc = np.searchsorted(starts, at, "right") - 1
             # a seed that runs over the end of its text belongs to none
             count[at + len(mask) > starts[doc + 1]] = 0
+            met = np.bincount(doc, count, len(starts) - 1)
+            for crowded in np.flatnonzero(met > CROWDED_PAIRS):
+                own = (doc == crowded) & (count > 0)
+                shifts = _crowded_shifts(
+                    at[own] - starts[crowded], low[own], count[own], row, place)
+                found.append(np.insert(shifts, 0, crowded, axis=1))
+            count[met[doc] > CROWDED_PAIRS] = 0
             at, low, doc, count = (x[count > 0] for x in (at, low, doc, count))
-            ends = np.cumsum(count)
-            pick = np.arange(ends[-1] if len(ends) else 0) - np.repeat(
-                ends - count, count) + np.repeat(low, count)
+            pick = _spread(low, count)
             found.append(np.stack([
                 np.repeat(doc, count), row[pick],
                 place[pick] - np.repeat(at - starts[doc], count)], axis=1))
@@ -133,24 +143,77 @@ class Block:
         return np.unique(np.concatenate(found), axis=0)
 
     def overlaps(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
-        """(document, item_id, doc_start, item_start, window, agreeing, ids) verified."""
+        """(document, item_id, doc_start, item_start, window, agreeing, ids) verified.
+
+        Once a whole window agrees, only earlier ones are looked for.
+        """
+        whole, until = None, 0
         for doc, row, shift in self.alignments(hashes, starts).tolist():
             item_id, offset, item, ids = self.rows[row]
-            text = hashes[starts[doc]:starts[doc + 1]]
+            if whole != (doc, row):
+                whole, until = (doc, row), starts[doc + 1] - starts[doc]
             first = max(0, -shift)
-            last = min(len(text), len(item) - shift)
+            last = min(until, len(item) - shift)
             window = min(WINDOW, len(item))
             if last - first < window:
                 continue
-            agree = np.cumsum(np.append(
-                0, text[first:last] == item[first + shift:last + shift]))
+            text = hashes[starts[doc] + first:starts[doc] + last]
+            agree = np.cumsum(np.append(0, text == item[first + shift:last + shift]))
             counts = agree[window:] - agree[:-window]
             best = int(counts.argmax())
+            if counts[best] == window:
+                until = first + best + window - 1
             if counts[best] >= needed(window):
                 yield (doc, item_id, first + best, offset + first + best + shift,
                        window, int(counts[best]), ids)
 
 
+def _spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each ``low`` on, ``count`` of them."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(
+        ends - count, count) + np.repeat(low, count)
+
+
+def _crowded_shifts(at: np.ndarray, low: np.ndarray, count: np.ndarray,
+                    row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Distinct (row, shift) of one text whose seeds stand at ``at``.
+
+    A seed's entries in the table start at ``low``, which names the seed.
+    """
+    seed, which, times = np.unique(low, return_inverse=True, return_counts=True)
+    entries = np.zeros(len(seed), np.int64)
+    entries[which] = count
+    pick = _spread(seed, entries)
+    of = np.repeat(np.arange(len(seed)), entries)
+    rows, which_row = np.unique(row[pick], return_inverse=True)
+    pairs = np.bincount(which_row, times[of])
+    order = np.lexsort((of, which_row))
+    ends = np.searchsorted(which_row[order], np.arange(len(rows) + 1))
+    places = np.split(at[np.argsort(which, kind="stable")], np.cumsum(times)[:-1])
+    size, found = int(at.max()) + 1, []
+    for number, (low, high) in enumerate(zip(ends[:-1], ends[1:])):
+        own = order[low:high]
+        if pairs[number] <= 4 * size:
+            shifts = np.concatenate([place[pick[e]] - places[of[e]] for e in own])
+        else:
+            # one mark per shift: the text's places of a seed, turned round,
+            # laid on from each of the item's places of it
+            marks = np.zeros(size + int(place[pick[own]].max()) + 1, bool)
+            last = None
+            for e in own:
+                if of[e] != last:
+                    last = of[e]
+                    turned = np.zeros(size, bool)
+                    turned[size - 1 - places[last]] = True
+                start = place[pick[e]]
+                marks[start:start + size] |= turned
+            shifts = np.flatnonzero(marks) - (size - 1)
+        shifts = np.unique(shifts)
+        found.append(np.stack([np.full(len(shifts), rows[number]), shifts], axis=1))
+    return np.concatenate(found)
+
+
 def blocks(benchmark: DataFrame) -> list[Broadcast]:
     """The benchmark's stretches in blocks of bounded size.
 

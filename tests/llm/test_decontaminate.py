@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -107,3 +109,50 @@ def test_query(spark, small):
                if any(tuple(w[i:i + 8]) in runs for i in range(len(w) - 7))}
     found = queries.QUERIES["op2_decontamination"](spark, small).collect()
     assert {r.doc_id for r in found} == holding != set()
+
+
+def all_shifts(block, hashes, starts):
+    """Every place against every place."""
+    found = set()
+    for mask in d.MASKS:
+        for doc, (low, high) in enumerate(zip(starts, starts[1:])):
+            own = d.seed_hashes(hashes[low:high], mask).tolist()
+            for row, (_, _, item, _) in enumerate(block.rows):
+                for q, seed in enumerate(d.seed_hashes(item, mask).tolist()):
+                    found |= {(doc, row, q - p) for p, s in enumerate(own) if s == seed}
+    return sorted(found)
+
+
+def test_repeats_meet_the_same_places(monkeypatch):
+    """Runs, short cycles and two-letter noise, with every text counted as crowded."""
+    draw = np.random.default_rng(5)
+    texts = [np.full(90, 7), np.tile([1, 2], 40), np.tile([1, 2, 3, 4, 5], 12),
+             draw.integers(0, 2, 120), draw.integers(0, 40, 60), np.zeros(0, int)]
+    items = [(i, 0, t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), [i])
+             for i, t in enumerate([np.full(30, 7), np.tile([2, 1], 30), *texts[2:5]])]
+    block = d.Block(items)
+    hashes = np.concatenate(texts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for pairs in (0, 50, 10**9):
+        monkeypatch.setattr(d, "CROWDED_PAIRS", pairs)
+        assert sorted(map(tuple, block.alignments(hashes, starts).tolist())) == all_shifts(
+            block, hashes, starts)
+
+
+def test_long_repeats_take_little(spark):
+    """An item and a document of 10,000 equal words, in seconds and megabytes."""
+    word = np.full(10_000, 12345, np.uint64)
+    block = d.Block(
+        [(1, at, word[at:at + d.STRETCH_TOKENS], [1]) for at in (0, 4076, 8152)])
+    begin = time.process_time()
+    found = list(block.overlaps(word, np.array([0, len(word)])))
+    assert time.process_time() - begin < 2
+    tracemalloc.start()
+    block.alignments(word, np.array([0, len(word)]))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert found[0][2] == 9980 or min(f[2] for f in found) == 0
+    docs = spark.createDataFrame([(5, "zero " * 10_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "zero " * 10_000)], "item_id long, text string")
+    row = d.overlaps(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.doc_start, r.n_agree) for r in row] == [(5, 1, 0, 20)]
