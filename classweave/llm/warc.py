@@ -5,6 +5,10 @@ crawls are delivered. ``normalise`` inflates such a stream once, rewrites every
 record as a gzip member of its own and writes a sidecar index with the place of
 each member. ``read_archives`` fetches records through the index.
 
+Archives of other writers are read too: header names in any case, records of any
+type, gzip cut into members at any place. A stream that ends inside a member or a
+record is an error, also where its last record is whole.
+
 Archives live in the shared folder. Every attempt of a task writes files of its
 own name, and only the names in a written list count, so retries leave nothing
 behind that is read. Streams are read and written in pieces; a task holds one
@@ -105,7 +109,7 @@ class RecordReader:
             self.held += piece
         return True
 
-    def __iter__(self) -> Iterator[tuple[dict, bytes]]:
+    def __iter__(self) -> Iterator[tuple[Headers, bytes]]:
         """Headers and the record as it stands."""
         while True:
             if not self._fill(lambda: b"\r\n\r\n" in self.held):
@@ -114,6 +118,8 @@ class RecordReader:
                 return
             end = self.held.index(b"\r\n\r\n")
             headers = parse_headers(bytes(self.held[:end]))
+            if "Content-Length" not in headers:
+                raise ValueError("a record without its length")
             size = end + 4 + int(headers["Content-Length"]) + 4
             if not self._fill(lambda: len(self.held) >= size):
                 raise ValueError("the archive ends inside a record")
@@ -122,26 +128,60 @@ class RecordReader:
             yield headers, record
 
 
-def parse_headers(raw: bytes) -> dict[str, str]:
-    version, *lines = raw.decode().split("\r\n")
+class Headers(dict):
+    """Header values by name, in any case."""
+
+    def __setitem__(self, name: str, value: str) -> None:
+        super().__setitem__(name.lower(), value)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: str) -> bool:
+        return super().__contains__(name.lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
+def parse_headers(raw: bytes) -> Headers:
+    """The headers of a record; the last of a name counts.
+
+    A line that begins with white space goes on with the value before it. Bytes
+    that are not UTF-8 are replaced.
+    """
+    version, *lines = raw.decode("utf-8", "replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {version[:20]!r}")
-    return dict(line.split(": ", 1) for line in lines)
+    found, name = Headers(), ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+            continue
+        name, mark, value = line.partition(":")
+        if not mark:
+            raise ValueError(f"not a header line: {line[:20]!r}")
+        name = name.strip()
+        found[name] = value.strip()
+    return found
 
 
 def inflate(stream) -> Iterator[bytes]:
     """The bytes of a gzip file of one or more members, in pieces."""
-    engine = zlib.decompressobj(31)
+    engine, begun = zlib.decompressobj(31), False
     while data := stream.read(PIECE):
         while data:
+            begun = True
             yield engine.decompress(data, PIECE)
             while engine.unconsumed_tail:
                 yield engine.decompress(engine.unconsumed_tail, PIECE)
             data = engine.unused_data
             if engine.eof:
-                engine = zlib.decompressobj(31)
+                engine, begun = zlib.decompressobj(31), False
             else:
                 break
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -220,7 +260,8 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                         member = engine.compress(record) + engine.flush()
                         out.write(member)
                         index.write((" ".join([
-                            str(offset), str(len(member)), headers["WARC-Type"],
+                            str(offset), str(len(member)),
+                            "-".join(headers.get("WARC-Type", "-").split()),
                             headers.get("Page-Id", "-")]) + "\n").encode())
                         offset, count = offset + len(member), count + 1
                 yield files_batch([(
@@ -233,7 +274,7 @@ RECORD_TYPE = ("page_id long, url string, record_type string, payload_bytes long
                "payload_digest string, refers_to long, payload binary")
 
 
-def read_member(source, offset: int, size: int) -> tuple[dict, bytes]:
+def read_member(source, offset: int, size: int) -> tuple[Headers, bytes]:
     """One record, by its place alone: headers and payload."""
     source.seek(offset)
     record = zlib.decompress(source.read(size), 31)
@@ -248,7 +289,8 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
 
     A response's digest and size are taken from its payload and checked against
     its headers; a revisit has a null payload and the digest and size of the
-    payload it refers to.
+    payload it refers to. Records of other types, and of other writers, are
+    given too, without a page_id.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +306,7 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
                         offset, size, kind, _ = line.split(" ")
                         row = _row(*read_member(source, int(offset), int(size)), kind)
                         rows.append(row if payloads else (*row[:-1], None))
-                        held += row[3] if payloads else 1000
+                        held += len(row[-1] or b"") + 1000 if payloads else 1000
                         if held > 4 * PIECE:
                             yield _records_batch(rows)
                             rows, held = [], 0
@@ -281,20 +323,37 @@ def _lines(stream) -> Iterator[str]:
         yield from (line.decode() for line in whole)
 
 
-def _row(headers: dict, payload: bytes, kind: str) -> tuple:
-    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    size = int(headers["Payload-Length"])
-    if kind != headers["WARC-Type"]:
+def payload_of(headers: Headers, block: bytes) -> bytes:
+    """What a record's block delivers: of an HTTP message, its body."""
+    if headers.get("Content-Type", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def _row(headers: Headers, block: bytes, kind: str) -> tuple:
+    """``RECORD_TYPE`` of a record.
+
+    Records of this module carry their page and the payload's size and digest,
+    which are checked. Of others the payload is taken as it stands: its size and
+    digest are its own, and those of a revisit are null and as its header says.
+    """
+    if kind != "-".join(headers.get("WARC-Type", "-").split()):
         raise ValueError("the index does not fit the archive")
-    if kind == "response" and (
-            len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
-        raise ValueError(f"the payload of page {headers.get('Page-Id')} is damaged")
     page, refers = headers.get("Page-Id"), headers.get("WARC-Refers-To-Page")
-    url = headers.get("WARC-Target-URI")
+    url, payload = headers.get("WARC-Target-URI"), payload_of(headers, block)
+    size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    if "Payload-Length" in headers:
+        wanted = (int(headers["Payload-Length"]),
+                  headers["WARC-Payload-Digest"].removeprefix("sha1:"))
+        if kind == "response" and (size, digest) != wanted:
+            raise ValueError(f"the payload of page {page} is damaged")
+        size, digest = wanted
+    elif kind == "revisit":
+        size, digest = None, headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
     return (int(page) if page is not None else None,
             json.loads(url) if (url or "").startswith('"') else url, kind, size, digest,
             int(refers) if refers is not None else None,
-            payload if kind == "response" else None)
+            payload if kind != "revisit" else None)
 
 
 def _records_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -97,3 +97,51 @@ def test_query(spark, small):
 def test_folder_address(tmp_path):
     make_folder(f"file://{tmp_path}/a/b")
     assert (tmp_path / "a" / "b").is_dir()
+
+
+FOREIGN = (
+    b"WARC/1.0\r\nwarc-type:warcinfo\r\ncontent-length: 5\r\n\r\nhello\r\n\r\n"
+    b"WARC/1.1\r\nWARC-TYPE:  response\r\nWARC-Target-URI: http://x/\xff\r\n"
+    b"Content-Type: application/http; msgtype=response\r\nX-Long: a\r\n  b\r\n"
+    b"WARC-Payload-Digest: sha1:QWERTY\r\nContent-Length: 24\r\n\r\n"
+    b"HTTP/1.1 200 OK\r\n\r\nbody!\r\n\r\n"
+    b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Payload-Digest: sha1:ABC\r\n"
+    b"Content-Length:0\r\n\r\n\r\n\r\n"
+    b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+
+
+def stored(spark, folder, raw):
+    """An archive of someone else's, as a list of one file."""
+    make_folder(folder)
+    with open(f"{folder}/foreign.warc.gz", "wb") as out:
+        out.write(raw)
+    return spark.createDataFrame([(f"{folder}/foreign.warc.gz", None, 0, 0)], warc.FILES_TYPE)
+
+
+@pytest.mark.parametrize("cuts", [(), (7,), (60, 300)])
+def test_archives_of_others(spark, cuts):
+    """Any case, any type, no blank, folded lines, members cut anywhere."""
+    parts = [FOREIGN[a:b] for a, b in zip((0, *cuts), (*cuts, len(FOREIGN)))]
+    files = stored(spark, new_folder(spark, "foreign"), b"".join(map(gzip.compress, parts)))
+    found = warc.read_archives(warc.normalise(files, new_folder(spark, "normal"))).collect()
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    assert [tuple(r) for r in found] == [
+        (None, None, "warcinfo", 5, sha(b"hello"), None, b"hello"),
+        (None, "http://x/\ufffd", "response", 5, sha(b"body!"), None, b"body!"),
+        (None, None, "revisit", None, "ABC", None, None),
+        (None, None, "-", 0, sha(b""), None, b"")]
+
+
+def test_a_stream_cut_behind_a_record_is_an_error(spark):
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+    raw = engine.compress(FOREIGN) + engine.flush(zlib.Z_FULL_FLUSH)
+    files = stored(spark, new_folder(spark, "cut"), raw)
+    with pytest.raises(Exception, match="ends inside a gzip member"):
+        warc.normalise(files, new_folder(spark, "normal"))
+
+
+@pytest.mark.parametrize("raw", [b"WARC/1.1\r\nWARC-Type: x\r\n\r\n",
+                                 b"WARC/1.1\r\nno mark\r\n\r\n", b"HTTP/1.1\r\n\r\n"])
+def test_what_is_no_record_is_an_error(raw):
+    with pytest.raises(ValueError):
+        list(warc.RecordReader(iter([raw])))
