@@ -62,13 +62,13 @@ def _is_numeric(df: DataFrame, column: str) -> bool:
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, standard deviation and range of each column in one pass.
 
-    Numbers fill ``min``/``max``; text fills ``min_text``/``max_text`` and has
+    NaN counts as missing. Numbers fill ``min``/``max``; text fills ``min_text``/``max_text`` and has
     a null mean.
     """
     columns = list(columns or df.columns)
     aggs = []
     for i, c in enumerate(columns):
-        value = F.col(c)
+        value = finite(df, c) if _is_numeric(df, c) else F.col(c)
         aggs.append(F.count(value).alias(f"n{i}"))
         aggs.append(F.min(value).alias(f"lo{i}"))
         aggs.append(F.max(value).alias(f"hi{i}"))

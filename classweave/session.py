@@ -43,9 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
         CHECKPOINT_SETTING, None
     )
     if configured:
+        configured = _resolved(spark, configured).rstrip("/")
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
-        return configured.rstrip("/")
+        return configured
     if context.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError(
@@ -55,6 +56,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def _resolved(spark: SparkSession, path: str) -> str:
+    """The address with its store's name, unless that is the local file system.
+
+    An address without one means the cluster's default store to Spark; whoever
+    opens files beside Spark must find the same place.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = store.makeQualified(place).toString()
+    return path if full.startswith("file:") else full
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store the path names."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -136,3 +136,34 @@ def test_materialise_keeps_rows(spark):
     df = session.materialise(spark.range(100))
     assert df.agg(F.sum("id")).first()[0] == 4950
     assert "range" not in df._jdf.queryExecution().toString().lower()
+
+
+def test_the_shared_folder_names_its_store(spark, tmp_path):
+    """An address without a store is the default store's, not this machine's."""
+    plain = session.shared_folder(spark)
+    assert plain.startswith("/") and session.exists(spark, plain)
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    before = settings.get("fs.defaultFS")
+    (tmp_path / "ck").mkdir()
+    settings.set("fs.viewfs.mounttable.own.link./ck", f"file://{tmp_path}/ck")
+    settings.set("fs.defaultFS", "viewfs://own/")
+    try:
+        assert session._resolved(spark, "/ck/x") == "viewfs://own/ck/x"
+        assert session._resolved(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+    finally:
+        settings.set("fs.defaultFS", before)
+
+
+def test_lookup_joins_hot_keys_and_the_rest(spark):
+    """A third of the rows in one key, nulls, keys that are not there, clashing names."""
+    from classweave.functions.joins import lookup
+    df = spark.range(9000).select(
+        "id", F.lit("x").alias("n"), F.when(F.col("id") % 3 == 0, "hot").when(
+            F.col("id") % 7 == 0, F.lit(None)).otherwise((F.col("id") % 2000).cast("string")).alias("k"))
+    table = df.filter("k is not null and k not like '11%'").groupBy(
+        F.col("k").alias("key")).agg(F.count("*").alias("rows"), F.min("id").alias("least"))
+    found = lookup(df, F.col("k"), table, "rows", 9000)
+    assert found.columns == ["id", "n", "k", "least"] and found.count() == 9000
+    want = df.join(table, df.k == table.key, "left").select("id", "n", "k", "least")
+    assert found.exceptAll(want).count() == 0
+    assert lookup(df, F.col("k"), table.limit(0), "rows", 0).filter("least is null").count() == 9000

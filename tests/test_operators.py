@@ -29,6 +29,13 @@ def test_describe_mixed(spark):
     assert (found["s"]["min_text"], found["s"]["max_text"], found["s"]["mean"]) == ("a", "b", None)
 
 
+def test_describe_sets_nan_aside(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "v double")
+    row = profile.describe(df).first()
+    assert (row["count"], row["mean"], row["min"], row["max"]) == (2, 2.0, 1.0, 3.0)
+    assert row["stddev"] == pytest.approx(math.sqrt(2))
+
+
 def test_histogram_matches_numpy(spark):
     rng = np.random.default_rng(3)
     values = rng.lognormal(2, 1, 3000).round(2)
