@@ -314,12 +314,13 @@ def best_of_all(rows: DataFrame, anchors: DataFrame, same: bool, k: int,
 
 
 def mine(df: DataFrame, is_anchor: Callable[[Column], Column], vec_id: str = "vec_id",
-         label: str = "label", vector: str = "embedding", positives: int = POSITIVES, negatives: int = NEGATIVES,
-         least: int = LEAST, whole: int = WHOLE) -> DataFrame:
+         label: str = "label", vector: str = "embedding", positives: int = POSITIVES,
+         negatives: int = NEGATIVES, least: int = LEAST, whole: int = WHOLE) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``.
 
-    ``is_anchor`` tells anchors by their ids; null ids are no anchors. For each anchor and each of its first ``positives`` other rows of
-    its label, the first ``negatives`` rows of other labels with
+    ``is_anchor`` tells anchors by their ids; null ids are no anchors. For each
+    anchor and each of its first ``positives`` other rows of its label, the first
+    ``negatives`` rows of other labels with
     ``least * positive_score <= whole * negative_score <= whole * positive_score``.
 
     Rows with a null label or vector, or a null or not finite component, take no
