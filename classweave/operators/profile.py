@@ -62,8 +62,8 @@ def _is_numeric(df: DataFrame, column: str) -> bool:
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, standard deviation and range of each column in one pass.
 
-    NaN counts as missing. Numbers fill ``min``/``max``; text fills ``min_text``/``max_text`` and has
-    a null mean.
+    NaN counts as missing. Numbers fill ``min``/``max``; text fills
+    ``min_text``/``max_text`` and has a null mean.
     """
     columns = list(columns or df.columns)
     aggs = []

@@ -45,7 +45,8 @@ def test_sparse_vectors_equal_the_listed_ones(spark):
     df = rows(spark)
     listed, kept = (training.fit_prep(df, SPEC, max_categories=n) for n in (10_000, 50))
     new = df.unionByName(df.limit(1).withColumns({
-        "key": F.lit(-1).cast("long"), "shop": F.lit("unseen"), "kind": F.lit(None).cast("string")}))
+        "key": F.lit(-1).cast("long"), "shop": F.lit("unseen"),
+        "kind": F.lit(None).cast("string")}))
     made = training.all_features(new, kept, ["key"])
     plain = listed.transform(new).select(
         "key", vector_to_array("features").alias("want"))

@@ -159,7 +159,8 @@ def test_lookup_joins_hot_keys_and_the_rest(spark):
     from classweave.functions.joins import lookup
     df = spark.range(9000).select(
         "id", F.lit("x").alias("n"), F.when(F.col("id") % 3 == 0, "hot").when(
-            F.col("id") % 7 == 0, F.lit(None)).otherwise((F.col("id") % 2000).cast("string")).alias("k"))
+            F.col("id") % 7 == 0, F.lit(None)).otherwise(
+            (F.col("id") % 2000).cast("string")).alias("k"))
     table = df.filter("k is not null and k not like '11%'").groupBy(
         F.col("k").alias("key")).agg(F.count("*").alias("rows"), F.min("id").alias("least"))
     found = lookup(df, F.col("k"), table, "rows", 9000)

@@ -12,7 +12,8 @@ QUERIES = entry_points.queries()
 UNPAIRED = sorted(set(QUERIES) - set(ORACLES))
 # the corpus operators have tests of their own beside them
 OWN_TESTS = re.compile(r"op\d+_|pipeline$").match
-SLOW = {"best_model", "cv_grid", "cv_best_model", "model_compare", "tune_models"}
+SLOW = {"best_model", "cv_grid", "cv_best_model", "model_compare", "tune_models",
+        "tune_boosting", "tune_forest"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def con(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if not OWN_TESTS(n)])
+@pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if n not in SLOW and not OWN_TESTS(n)])
 def test_matches_sql(spark, small, con, name):
     assert compare(QUERIES[name](spark, small), con, ORACLES[name]) is None
 
