@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from classweave.llm.decontaminate import UNSPACED
 from classweave.session import materialise
 
 BUDGET = 512
@@ -39,7 +40,10 @@ CONTROLS = (
     ("<s>", "\\5"), ("</s>", "\\6"), ("<<SYS>>", "\\7"), ("<</SYS>>", "\\8"))
 LINE_BREAK = ("\n", "\\9")
 END = "<|end|>\n"
-WORD = "[^ \\t\\n\\r]+"
+# what counts as a token where none are counted: a character of a script without
+# spaces, or up to so many others without white space
+PIECE_CHARS = 8
+WORD = f"[{UNSPACED}]|[^ \\t\\n\\r{UNSPACED}]{{1,{PIECE_CHARS}}}"
 
 SPAN_TYPE = "array<struct<start:int,length:int>>"
 
@@ -56,9 +60,12 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def with_sums(turns: DataFrame) -> DataFrame:
+def with_sums(turns: DataFrame, tokens: str | None = None) -> DataFrame:
     """Rows with the tokens before (``a``) and up to (``e``) each, and the head.
 
+    ``tokens`` names a column that counts them; null there, or no such column,
+    counts pieces of the text. A turn's marks count as ``TURN_TOKENS``.
+
     Turns are ordered by ``turn``, ``role`` and ``text``, nulls first; null roles
     and texts are empty. ``c, no_id`` stand for conv_id, null included. ``head``
     is the conversation's first turn.
@@ -68,8 +75,11 @@ def with_sums(turns: DataFrame) -> DataFrame:
         F.col("conv_id").isNull().alias("no_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "cost", (F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS).cast("long")).withColumn(
+        F.coalesce("text", F.lit("")).alias("text"),
+        (F.when(F.col(tokens).isNotNull(), F.greatest(F.col(tokens).cast("long"), F.lit(0)))
+         if tokens else F.lit(None).cast("long")).alias("counted")).withColumn(
+        "cost", F.coalesce("counted", F.regexp_count("text", F.lit(WORD))).cast("long")
+        + TURN_TOKENS).drop("counted").withColumn(
         "run", F.floor(F.col("turn") / RUN))
     keys = ["c", "no_id"]
     in_order = ["turn", "role", "text"]
@@ -100,19 +110,20 @@ def segment(role: Column, text: Column) -> Column:
         F.length(mark).alias("start"), F.length(own).alias("length"))
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET,
-                   history: int = HISTORY) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
+                   tokens: str | None = None) -> DataFrame:
     """``conv_id, window, text, n_turns, n_repeated, loss_spans`` of all windows.
 
     ``text`` starts with ``n_repeated`` turns met before, then ``n_turns`` own
     ones. ``loss_spans`` are places in ``text``, in code points, of the own
     assistant texts. Windows are numbered in order, not without gaps. Reads
     ``conv_id, turn, role, text``; repeated rows are turns like any other; a null
-    conv_id is one conversation. An empty table gives no windows.
+    conv_id is one conversation. An empty table gives no windows. ``tokens`` names a
+    column with the tokens of each text, else pieces of the texts are counted.
     """
     if not 0 < history < budget:
         raise ValueError("history must be positive and below the budget")
-    rows = with_sums(turns)
+    rows = with_sums(turns, tokens)
     system = F.when(F.col("head.role") == "system", F.col("head.cost")).otherwise(0)
     stride = F.greatest(F.lit(budget - history) - system, F.lit(LEAST_STRIDE))
     # cells of a turn's ends: equal within a stride, and rising from turn to turn
@@ -223,7 +234,7 @@ def digest_sql(source: str, budget: int = BUDGET, history: int = HISTORY) -> str
     return f"""
     WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role,
                       coalesce(text, '') AS text FROM ({source})),
-    k AS (SELECT *, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) + {TURN_TOKENS} AS cost,
+    k AS (SELECT *, len(regexp_extract_all(text, '{WORD}')) + {TURN_TOKENS} AS cost,
                  length({shown}) + length({own}) + {marks} AS chars FROM t),
     p AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY {nulls}
                                     ROWS UNBOUNDED PRECEDING) AS e,

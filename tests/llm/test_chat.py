@@ -123,3 +123,20 @@ def test_sql_on_many_windows(spark, tmp_path):
         f"SELECT conv_id, turn, role, text FROM read_parquet('{tmp_path}/c/*.parquet')", 150, 40)
     frame = spark.read.parquet(str(tmp_path / "c"))
     assert compare(chat.digests(chat.format_windows(frame, 150, 40)), duckdb.connect(), sql) is None
+
+
+def test_tokens_follow_the_text_or_the_column(spark):
+    """Scripts without spaces and long runs cost what they are, counts what they say."""
+    rows = [(1, 1, "user", "\u6f22" * 100, None), (2, 1, "user", "x" * 80, 7),
+            (3, 1, "user", "ok \u0e01\u0e02 ok", -5), (4, 1, "user", None, 3),
+            (5, 1, "user", "word " * 9, None)]
+    turns = spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string, n int")
+    cost = lambda name: {r.c: r.e - chat.TURN_TOKENS
+                         for r in chat.with_sums(turns, name).collect()}
+    assert cost(None) == {1: 100, 2: 10, 3: 4, 4: 0, 5: 9}
+    assert cost("n") == {1: 100, 2: 7, 3: 0, 4: 3, 5: 9}
+    many = spark.createDataFrame(
+        [(1, t, "user", "\u6f22" * 300) for t in range(6)],
+        "conv_id long, turn long, role string, text string")
+    assert chat.format_windows(many).count() > 2
