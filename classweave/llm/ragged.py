@@ -133,12 +133,13 @@ class KeyTable:
     """A ragged value per key, worked out once for each key met.
 
     ``learn`` takes new keys and gives their offsets and values. The table is
-    only for speed: past ``KNOWN_KEYS`` keys it forgets those met once, and all
-    of them if too many are left.
+    only for speed: past ``known`` keys it forgets those met once, and all of
+    them if too many are left.
     """
 
-    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype):
-        self.learn, self.dtype = learn, dtype
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype,
+                 known: int | None = None):
+        self.learn, self.dtype, self.known = learn, dtype, known or KNOWN_KEYS
         self._start([], np.zeros(1, np.int64), np.zeros(0, dtype))
 
     def _start(self, keys: list, starts: np.ndarray, values: np.ndarray) -> None:
@@ -148,7 +149,7 @@ class KeyTable:
 
     def _forget(self) -> None:
         kept = np.flatnonzero(self.met > 1)
-        if len(kept) > KNOWN_KEYS // 2:
+        if len(kept) > self.known // 2:
             kept = kept[:0]
         names = list(self.keys)
         values, starts = gather(self.starts, self.values, kept)
@@ -156,7 +157,7 @@ class KeyTable:
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Each text is a list of keys: its values in order, with offsets."""
-        if len(self.keys) > KNOWN_KEYS:
+        if len(self.keys) > self.known:
             self._forget()
         coded = texts.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()

@@ -54,7 +54,11 @@ LEVEL = 3
 SAMPLE_DOCUMENTS = 2_000
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
+# new words encoded as one text
+TOGETHER = 2_000
+# pieces a worker remembers; learning one again costs as much as reading it often
+KNOWN_PIECES = 700_000
 
 # The byte-level pre-tokenizer's pattern, used for characters below
 # the end of the Latin blocks, whose classes no Unicode version changes.
@@ -88,8 +92,9 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins characters across the cuts of
     ``space_keys``, so the ids of a text are those of its pieces in turn. New
-    pieces of old letters are cut by the pre-tokenizer's pattern here and their
-    distinct words given to the tokenizer's model; pieces with other characters
+    words of old letters are encoded many at a time; other pieces of them are cut by
+    the pre-tokenizer's pattern here and their distinct words given to the
+    tokenizer's model; pieces with other characters
     or with special tokens go through the whole tokenizer. Other kinds of
     tokenizer encode whole texts.
     """
@@ -100,8 +105,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.byte_level = cuts_are_safe(spec)
         self.marks = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
+        self.firsts = {mark[0] for mark in self.marks if mark}
         self.characters = byte_characters()
-        self.table = KeyTable(self._learn, np.uint32)
+        self.table = KeyTable(self._learn, np.uint32, KNOWN_PIECES)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(
@@ -111,22 +117,44 @@ class Encoder:
         shown = word.encode().decode("latin-1").translate(self.characters)
         return [token.id for token in self.model.tokenize(shown)]
 
+    def _spaced_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, each with a space before it, and where each starts.
+
+        Spaces cut them apart again, so many are encoded as one text.
+        """
+        found, sizes = [], []
+        for low in range(0, len(words), TOGETHER):
+            own = words[low:low + TOGETHER]
+            done = self.tokenizer.encode(" " + " ".join(own), add_special_tokens=False)
+            size = np.bincount(np.array(done.word_ids, np.int64), minlength=len(own))
+            if len(size) != len(own) or not size.all():
+                raise ValueError("the tokenizer cuts words of letters")
+            found.append(np.array(done.ids, np.uint32))
+            sizes.append(size)
+        return (offsets_of(np.concatenate([*sizes, np.zeros(0, np.int64)])),
+                np.concatenate([*found, np.zeros(0, np.uint32)]))
+
     def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words, runs, whole = Numbering(), [], []
+        spaced, words, runs, whole = Numbering(), Numbering(), [], []
         for i, key in enumerate(keys):
-            if key.isalpha() and max(key) < LATIN_END:
-                runs.append([words[" " + key]])
+            if key.isalpha() and is_old(key):
+                # below zero, as the other words are numbered first
+                runs.append((~spaced[key],))
                 continue
             piece = piece_text(key)
-            if max(piece, default="") < LATIN_END and not any(
-                    mark in piece for mark in self.marks):
-                runs.append([words[w] for w in SPLIT(piece)])
+            if is_old(piece) and not (any(first in piece for first in self.firsts) and any(
+                    mark in piece for mark in self.marks)):
+                runs.append([~spaced[w[1:]] if w[0] == " " and w[1:].isalpha() else words[w]
+                             for w in SPLIT(piece)])
             else:
                 runs.append(())
                 whole.append((i, piece))
         word_starts, word_ids = ragged(map(self._word_ids, words), np.uint32)
+        more_starts, more_ids = self._spaced_ids(list(spaced))
+        word_starts = np.concatenate([word_starts, word_starts[-1] + more_starts[1:]])
         starts, chosen = ragged(runs, np.int64)
-        ids, ends = gather(word_starts, word_ids, chosen)
+        chosen = np.where(chosen < 0, len(words) + ~chosen, chosen)
+        ids, ends = gather(word_starts, np.concatenate([word_ids, more_ids]), chosen)
         starts = ends[starts]
         if not whole:
             return starts, ids
@@ -142,6 +170,11 @@ class Encoder:
         return ragged(self._encode(texts.to_pylist()), np.uint32)
 
 
+def is_old(text: str) -> bool:
+    """Whether all characters stand below the end of the Latin blocks."""
+    return text.isascii() or max(text) < LATIN_END
+
+
 def cuts_are_safe(spec: str) -> bool:
     """Whether the tokenizer is plain byte-level BPE without marks with spaces."""
     parts = json.loads(spec)
