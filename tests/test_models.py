@@ -2,6 +2,7 @@ import json
 import subprocess
 import sys
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.ml import Pipeline
@@ -237,6 +238,40 @@ def test_a_killed_search_is_resumed(data, spark, tmp_path):
     assert sum(pos + neg for _, _, _, pos, neg in tuned.scores) == 4 * rows.count()
 
 
+def test_a_search_fits_in_few_tasks(data, monkeypatch):
+    """Rows in many partitions are held in few, folds beside each other."""
+    estimator = models.logistic_regression()
+    grid = models.logistic_grid(estimator)[:2]
+    plain = models.cross_validate(data.train, estimator, grid, folds=3)
+    seen, fit = [], type(estimator).fit
+
+    def counted(self, rows, params=None):
+        seen.append((rows.rdd.getNumPartitions(), rows.count()))
+        return fit(self, rows, params)
+
+    monkeypatch.setattr(type(estimator), "fit", counted)
+    spread = data.train.repartition(12).persist()
+    tuned = models.cross_validate(spread, estimator, grid, folds=3, tasks=2)
+    spread.unpersist()
+    assert len(seen) == 2 * 3 + 1 and {n for n, _ in seen} == {2}
+    # whole folds: each row trains all folds but its own, and the winner
+    assert sum(n for _, n in seen) == (2 * 2 + 1) * data.train.count()
+    judged = {(p, f): (a, pos, neg) for p, f, a, pos, neg in plain.scores}
+    for p, f, a, pos, neg in tuned.scores:
+        assert (pos, neg) == judged[p, f][1:] and a == pytest.approx(judged[p, f][0], abs=1e-6)
+
+
+def test_few_rows_take_one_task_and_fill_the_cores(spark, data):
+    from classweave.plans import queries_models as q
+    cores = spark.sparkContext.defaultParallelism
+    assert q._fit_tasks(data, "Logistic Regression") == 1
+    assert q._fits_at_once(spark, data, "Logistic Regression") == max(4, cores)
+    many = replace(data, balance=replace(data.balance, minority_count=30_000_000))
+    assert q._fit_tasks(many, "Logistic Regression") == 30
+    assert q._fits_at_once(spark, many, "Logistic Regression") == max(4, -(-cores // 30))
+    assert q._fits_at_once(spark, many, "Random Forest") == 1
+
+
 def test_every_family_can_be_tuned(data):
     tuned = models.tune_all(
         data.train, ["Decision Tree"], folds=2)["Decision Tree"]
