@@ -45,6 +45,8 @@ def hash_below(key: Sequence[str], seed: int, fraction: float) -> Column:
     bound = math.ceil(fraction * HASH_SPACE)
     if bound >= HASH_SPACE:
         return F.lit(True)
+    if bound <= 0:  # spares every row the digest
+        return F.lit(False)
     return hash_hex(key, seed) < F.lit(f"{bound:08x}")
 
 

@@ -361,3 +361,52 @@ def test_stream_equals_batch(spark, model, tmp_path):
     assert streamed.count() == 60
     assert streamed.select(*columns).exceptAll(batch.select(*columns)).count() == 0
     assert {r["model_version"] for r in streamed.collect()} == {"v7"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batch_scores_are_judged_row_by_row(spark, small):
+    """No row meets its expected score through a join or a list per key."""
+    from classweave.plans import queries_models as q
+    found = q.batch_score(spark, small)
+    assert "Join" not in plan_of(found) and "collect_set" not in plan_of(found)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert sum(r["n_agree"] for r in found.collect()) == lines
+
+
+def test_a_wrong_score_does_not_agree(spark):
+    """Rows of one key may have any of its scores, however many; others none."""
+    from classweave.plans import queries_models as q
+    expected = spark.createDataFrame(
+        [("a", [0.1, 0.2, 0.3], [0.0]), ("b", [0.7], [1.0])],
+        "row string, wants array<double>, labels array<double>")
+    scored = spark.createDataFrame(
+        [("a", 0.2, 0.0), ("a", 0.3, 0.0), ("a", 0.25, 0.0), ("b", 0.7, 1.0),
+         ("b", 1.5, 1.0), ("c", 0.7, 1.0)], "row string, p1 double, prediction double")
+    got = q._score_counts(scored, expected).first()
+    assert (got["n_rows"], got["n_scored"], got["n_agree"]) == (6, 5, 3)
+
+
+def test_expected_scores_of_a_key_are_one_row(spark, small, tmp_path):
+    from classweave.plans import queries_models as q
+    from classweave.plans import standins as s
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    twice = lines.orderBy(*s.LINEITEM_KEY).limit(3).withColumn("l_quantity", F.lit(60.0))
+    lines.unionByName(twice).unionByName(twice.withColumn(
+        "l_quantity", F.lit(70.0))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    model = q._trained(spark, small)
+    found = q._expected(spark, str(tmp_path), model, s.LINEITEM_KEY)
+    assert "collect_set" in plan_of(found) and "Aggregate" not in plan_of(found)
+    keys = lines.select(*s.LINEITEM_KEY).distinct().count()
+    assert found.count() == keys
+    assert found.filter(F.size("wants") >= 3).count() >= 3
+
+
+def test_an_empty_share_needs_no_digest(spark):
+    from classweave.functions.hashing import hash_between
+    rows = spark.range(100)
+    assert plan_of(rows.filter(hash_between(["id"], 1, 0.0, 0.8))).count("md5") == 1
+    assert rows.filter(hash_between(["id"], 1, 0.0, 0.8)).count() + rows.filter(
+        hash_between(["id"], 1, 0.8, 1.0)).count() == 100
