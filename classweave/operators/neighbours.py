@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from classweave.functions.joins import lookup
 from classweave.session import materialise
 
-CELL_ROWS = 20_000
+# every point meets all points of a cell, so the work grows with this number
+CELL_ROWS = 2_000
 # the tree goes to every task; beyond this many cells, cells grow
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 32
@@ -191,9 +192,12 @@ def _next_cells(tree, size: int):
         reach = radius.to_numpy() * (1 + SLACK)
         skip, most = seen.to_numpy(), limit.to_numpy()
         out: list = [None] * len(points)
+        home = own.cells(points)
         near = np.flatnonzero(np.isfinite(reach))
+        # points of one place are listed together, so that each list meets few boxes
+        near = near[np.argsort(home[near], kind="stable")]
         for start in range(0, len(near), TOGETHER):
-            known = near[start:start + TOGETHER]
+            known = np.sort(near[start:start + TOGETHER])
             found = list(own.within(points[known], reach[known]))
             row = np.concatenate([r for r, _, _ in found])
             cell = np.concatenate([np.full(len(r), c) for r, c, _ in found])
@@ -205,7 +209,11 @@ def _next_cells(tree, size: int):
             first, last = np.searchsorted(at, known), np.searchsorted(at, known, "right")
             for n, low, high in zip(known.tolist(), first, last):
                 out[n] = cell[low:high].tolist()
-        for n in np.flatnonzero(~np.isfinite(reach)):
+        # the first cell to visit is the one that holds the point
+        fresh = ~np.isfinite(reach) & (skip == 0) & (most == 1)
+        for n in np.flatnonzero(fresh):
+            out[n] = [int(home[n])]
+        for n in np.flatnonzero(~np.isfinite(reach) & ~fresh):
             out[n] = own.nearest(points[n], int(skip[n] + most[n]))[skip[n]:]
         return pa.array(out, pa.list_(pa.int64()))
 

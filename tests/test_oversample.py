@@ -111,3 +111,25 @@ def test_a_lone_row_is_copied(spark):
     made = oversample.synthetic_minority(df, sampling.measure_balance(df), "key", size=2)
     rows = made.select("parent", vector_to_array("features").alias("x")).collect()
     assert len(rows) == 48 and all(r["x"] == [0.0, 1.0] and r["parent"] == 0 for r in rows)
+
+
+def test_the_first_cell_holds_the_point_on_cuts_too():
+    values = np.random.default_rng(5).integers(0, 6, (500, 3)).astype(float)
+    tree = neighbours.grow(values, 32)
+    assert tree.cells(values).tolist() == [tree.nearest(v, 1)[0] for v in values]
+    # and it is the first of those that the later visits skip
+    found = list(tree.within(values, np.full(len(values), 0.5)))
+    home = np.full(len(values), 10**6)
+    for rows, cell, far in found:
+        at = rows[far == 0]
+        home[at] = np.minimum(home[at], cell)
+    assert home.tolist() == tree.cells(values).tolist()
+
+
+def test_a_point_meets_few_points_of_its_cell(spark):
+    """The work per point is a cell's size, at the size used without options."""
+    values = np.random.default_rng(6).uniform(size=(9000, 2))
+    locs = neighbours.locations(points(spark, values), 2)
+    tree = neighbours.plant(locs, 2)
+    assert np.bincount(tree.cells(values)).max() <= 2 * 2_000
+    check(spark, values[:5000], 3)
