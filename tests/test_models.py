@@ -410,3 +410,13 @@ def test_an_empty_share_needs_no_digest(spark):
     assert plan_of(rows.filter(hash_between(["id"], 1, 0.0, 0.8))).count("md5") == 1
     assert rows.filter(hash_between(["id"], 1, 0.0, 0.8)).count() + rows.filter(
         hash_between(["id"], 1, 0.8, 1.0)).count() == 100
+
+
+def test_a_forest_search_grows_the_same_trees(data):
+    from classweave.plans import queries_models as q
+    plain, searched = (
+        models.random_forest(numTrees=5, maxDepth=5, **more).fit(data.train)
+        for more in ({}, q.SEARCH_SETTINGS["Random Forest"]))
+    assert searched.getOrDefault("cacheNodeIds")
+    assert (plain.toDebugString.split("\n", 1)[1]
+            == searched.toDebugString.split("\n", 1)[1])
