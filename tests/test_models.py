@@ -261,6 +261,34 @@ def test_a_search_fits_in_few_tasks(data, monkeypatch):
         assert (pos, neg) == judged[p, f][1:] and a == pytest.approx(judged[p, f][0], abs=1e-6)
 
 
+def test_deep_trees_come_first_and_the_winner_is_spread(data, monkeypatch):
+    """A long fit that started last, or a refit in a fold's few tasks, would run alone."""
+    estimator = models.decision_tree()
+    grid = models.tree_grid(estimator)
+    seen, fit = [], type(estimator).fit
+
+    def noted(self, rows, params=None):
+        seen.append((params[estimator.maxDepth], rows.rdd.getNumPartitions()))
+        return fit(self, rows, params)
+
+    monkeypatch.setattr(type(estimator), "fit", noted)
+    spread = data.train.repartition(6).persist()
+    models.cross_validate(spread, estimator, grid, folds=3, parallelism=1, tasks=1,
+                          refit_tasks=4)
+    spread.unpersist()
+    depths = [depth for depth, _ in seen[:-1]]
+    assert depths == [5] * 6 + [3] * 6
+    assert [tasks for _, tasks in seen] == [1] * 12 + [4]
+
+
+def test_boosting_fits_share_the_cores(spark, data):
+    from classweave.plans import queries_models as q
+    cores = spark.sparkContext.defaultParallelism
+    assert q._fits_at_once(spark, data, "Gradient Boosting") == 2 * cores
+    many = replace(data, balance=replace(data.balance, minority_count=cores * 2_000_000))
+    assert q._fits_at_once(spark, many, "Gradient Boosting") == 1
+
+
 def test_few_rows_take_one_task_and_fill_the_cores(spark, data):
     from classweave.plans import queries_models as q
     cores = spark.sparkContext.defaultParallelism
