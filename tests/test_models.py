@@ -55,6 +55,28 @@ def test_training_set_is_balanced_and_the_test_set_is_not(data, staff):
     assert held_out[0.0] > 3 * held_out[1.0]
 
 
+def test_rows_are_chosen_before_they_are_prepared(spark, small):
+    """Rows that balancing leaves out get no vectors; the others are those of before."""
+    from classweave.operators import sampling
+    from classweave.plans import standins as s
+    made = training.build_training_set(s.lines(spark, small), s.LINES, folds=5)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = made.train._jdf.queryExecution().analyzed().toString().split("\n")
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    chosen = next(i for i, line in enumerate(plan)
+                  if "Filter" in line and f", {sampling.SEED})" in line)
+    vectors = [i for i, line in enumerate(plan) if "Project" in line and "_vec" in line]
+    assert vectors and max(vectors) < chosen
+    raw, _ = sampling.split(made.source, s.LINES.key)
+    late = sampling.with_fold(sampling.balance_classes(
+        training.prepare(raw, made.prep), s.LINES.key, balance=made.balance), s.LINES.key, 5)
+    kept = [vector_to_array("selectedFeatures").alias("x"), "label", "fold"]
+    ours, theirs = made.train.select(*kept), late.select(*kept)
+    assert ours.count() == theirs.count() > 0
+    assert ours.exceptAll(theirs).count() == 0
+    made.release()
+
+
 @pytest.mark.parametrize("unseen", ["keep", "error"])
 def test_features_equal_stages_fitted_by_mllib(staff, unseen):
     """The two-scan preparation gives the vector of an ordinary fit."""
