@@ -138,6 +138,27 @@ def test_models_learn_and_metrics_agree(data):
     assert best["auc"] == max(r["auc"] for r in rows.values())
 
 
+def test_checks_prepare_the_test_rows_once(data, spark):
+    """The shared pass and a pass for each model read rows that were written once."""
+    from pyspark.sql.functions import udf
+    from classweave.plans import queries_models as q
+    prepared = spark.sparkContext.accumulator(0)
+
+    @udf("double")
+    def counted(label):
+        prepared.add(1)
+        return label
+
+    fitted = models.fit_models(data.train, ["Logistic Regression", "Decision Tree"])
+    rows = data.test.withColumn("label", counted("label"))
+    found = q._checks(fitted, rows).collect()
+    held = {r["label"]: r["count"] for r in data.test.groupBy("label").count().collect()}
+    assert prepared.value == held[0.0] + held[1.0]
+    assert {r["model"] for r in found} == set(fitted)
+    assert all((r["pos"], r["neg"]) == (held[1.0], held[0.0]) and r["rates_hold"]
+               and r["best_is_first"] for r in found)
+
+
 def test_grid_has_eighteen_points():
     assert len(models.logistic_grid(models.logistic_regression())) == 18
 
