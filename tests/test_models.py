@@ -332,6 +332,27 @@ def test_boosting_fits_share_the_cores(spark, data):
     assert q._fits_at_once(spark, many, "Gradient Boosting") == 1
 
 
+def test_small_searches_run_beside_each_other(spark, data, monkeypatch):
+    """Each waits until all have begun, which searches in turn never do."""
+    from threading import Barrier
+    from classweave.plans import queries_models as q
+    begun = Barrier(len(models.CLASSIFIERS))
+
+    def search(spark, data, name):
+        begun.wait(30)
+        return models.Tuned([(name, 0, 0.5, 1, 1)], {}, None)
+
+    monkeypatch.setattr(q, "_tuned", search)
+    monkeypatch.setattr(q, "_training_set", lambda *_, **__: data)
+    monkeypatch.setattr(type(data), "release", lambda self: None)
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(q, "_fit_tasks", lambda data, name: cores // 4)
+    found = q.tune_models(spark, "nowhere").collect()
+    assert {(r["model"], r["params"]) for r in found} == {(n, n) for n in models.CLASSIFIERS}
+    monkeypatch.setattr(q, "_fit_tasks", lambda data, name: cores)
+    assert q._searches_at_once(spark, data) == 1
+
+
 def test_few_rows_take_one_task_and_fill_the_cores(spark, data):
     from classweave.plans import queries_models as q
     cores = spark.sparkContext.defaultParallelism
