@@ -90,6 +90,10 @@ def fingerprint_links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
     Every link is between fingerprints at most two bits apart, and every two
     such fingerprints are connected by links.
+
+    Both joins are sorted merges whatever the size: Spark takes a table after
+    an explode to be as large as before it, and would send a list of 34 or 65
+    rows a fingerprint through the driver.
     """
     first, second = _segments()
     cut = prints.select("fp", first.alias("s1"), second.alias("s2"))
@@ -117,13 +121,13 @@ def fingerprint_links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
         F.array(F.struct(F.lit(2).alias("segment"), F.col("s2").alias("value"))),
     )).alias("k")).select("k.segment", "k.value", "a")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    pairs = probes.join(tables, ["segment", "value"]).where(
+    pairs = probes.join(tables.hint("merge"), ["segment", "value"]).where(
         (F.col("a") != F.col("b")) & near).select("a", "b")
 
     meeting = cut.where("full1 or full2").select(
         "fp", F.explode(_ball(F.col("fp"), 64)).alias("value"))
     least = meeting.groupBy("value").agg(F.min("fp").alias("least"))
-    stars = meeting.join(least, "value").where("fp <> least").select(
+    stars = meeting.join(least.hint("merge"), "value").where("fp <> least").select(
         F.col("fp").alias("a"), F.col("least").alias("b"))
     # members of one meeting value are within two bits of each other
     return pairs.union(stars)

@@ -58,6 +58,22 @@ def test_groups_equal_all_pairs(spark, crowded):
     assert len(rows) == len(prints)
 
 
+@pytest.mark.parametrize("threshold", ["10m", "1g"])
+def test_exploded_tables_are_not_broadcast(spark, threshold):
+    """A list of a Hamming ball's values is many times what Spark takes it for."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    prints = spark.createDataFrame([(p,) for p in planted(400, 5)], "fp long")
+    before = spark.conf.get(name)
+    spark.conf.set(name, threshold)
+    try:
+        links = simhash.fingerprint_links(prints, crowded=4)
+        assert links.count()
+        plan = links._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert plan.count("SortMergeJoin") >= 2 and "Broadcast" not in plan
+
+
 def test_components(spark):
     draw = random.Random(6)
     chain = [(i, i + 1) for i in range(200, 240)]
