@@ -304,6 +304,111 @@ def test_a_search_fits_in_few_tasks(data, monkeypatch):
         assert (pos, neg) == judged[p, f][1:] and a == pytest.approx(judged[p, f][0], abs=1e-6)
 
 
+def loss_of(model, rows, point):
+    """The mean loss on ``rows`` with the penalty of the grid point, by its definition."""
+    import numpy as np
+    held = rows.select(vector_to_array("selectedFeatures").alias("x"), "label").toPandas()
+    x, y = np.array(held["x"].tolist()), held["label"].to_numpy()
+    at = {p.name: v for p, v in point.items()}
+    w = model.coefficients.toArray()
+    margin = x @ w + model.intercept
+    scaled = w * x.std(axis=0, ddof=1)
+    mix = at["elasticNetParam"]
+    return (np.logaddexp(0, margin) - y * margin).mean() + at["regParam"] * (
+        mix * np.abs(scaled).sum() + (1 - mix) / 2 * (scaled ** 2).sum())
+
+
+def test_fits_side_by_side_are_those_of_mllib(data):
+    """Grid points reach the least loss, which MLlib's own fit reaches if it may go on."""
+    from classweave.operators import logistic
+    estimator = models.logistic_regression()
+    grid = models.logistic_grid(estimator)
+    held = logistic.Rows(data.train, estimator, "fold")
+    found = {}
+    longer = {estimator.maxIter: 2000, estimator.tol: 1e-12}
+    jobs = [(0, point) for point in grid[::4]] + [(None, point) for point in grid[1::8]]
+    held.fit(jobs, found.__setitem__)
+    held.release()
+    assert sorted(found) == list(range(len(jobs)))
+    for number, model in found.items():
+        left_out, point = jobs[number]
+        rows = data.train if left_out is None else data.train.filter("fold <> 0")
+        want = estimator.fit(rows, {**point, **longer})
+        reached, least = loss_of(model, rows, point), loss_of(want, rows, point)
+        assert reached <= least + 1e-7
+        # weights of columns that add up to one are not unique, chances are
+        ours, theirs = (m.transform(rows).select(vector_to_array("probability")[1]).toPandas()
+                        .to_numpy()[:, 0] for m in (model, want))
+        assert ours == pytest.approx(theirs, abs=5e-3)
+        assert model.uid == want.uid and model.getThreshold() == want.getThreshold()
+        assert model.getRegParam() == want.getRegParam()
+        if not want.getFitIntercept():
+            assert model.intercept == 0
+
+
+def test_a_search_side_by_side_starts_few_steps(data, spark, monkeypatch, tmp_path):
+    """No fit of its own but the winner's; the areas and the ledger are as before."""
+    estimator = models.logistic_regression()
+    grid = models.logistic_grid(estimator)
+    plain = models.cross_validate(data.train, estimator, grid[::5], folds=3)
+    fitted, fit = [], type(estimator).fit
+    monkeypatch.setattr(type(estimator), "fit", lambda self, rows, params=None: (
+        fitted.append(params), fit(self, rows, params))[1])
+    place = dict(folds=3, ledger=str(tmp_path / "ledger"), side_by_side=True)
+    tuned = models.cross_validate(data.train, estimator, grid[::5], **place)
+    assert fitted == [tuned.best_params] and len(tuned.scores) == 12
+    for ours, theirs in zip(tuned.scores, plain.scores):
+        assert ours[:2] == theirs[:2] and ours[3:] == theirs[3:]
+        assert ours[2] == pytest.approx(theirs[2], abs=2e-3)
+    # a wider search does what is missing only
+    wider = models.cross_validate(data.train, estimator, grid, **place)
+    assert len(wider.scores) == 54 and len(list((tmp_path / "ledger").glob("*/fold-*/*"))) == 54
+    at = {s[:2]: s for s in wider.scores}
+    assert all(at[s[:2]] == s for s in tuned.scores)
+    # what only MLlib knows is left to it
+    fitted.clear()
+    models.cross_validate(data.train, models.logistic_regression(standardization=False),
+                          grid[:1], folds=2, side_by_side=True)
+    assert len(fitted) == 3
+
+
+def test_scores_are_counted_as_by_mllib(data, monkeypatch):
+    """The counts per distinct score, sorted in many stretches, are those of a grouping."""
+    from classweave.operators import logistic
+    monkeypatch.setattr(logistic, "SORTED_SCORES", 40)
+    monkeypatch.setattr(logistic, "HELD_ROWS", 50)
+    estimator = models.logistic_regression(maxIter=3)
+    twice = data.train.union(data.train).repartition(4).persist()
+    rows = logistic.Rows(twice, estimator, "fold")
+    fitted = {}
+    jobs = [(n, {}) for n in (0, 2, 0)]
+    few = list(logistic._some_rows(logistic.Block(0, None, [1] * 20) for _ in range(8)))
+    assert [len(some) for some in few] == [3, 3, 2]
+    rows.fit(jobs, fitted.__setitem__)
+    found = rows.counts([(jobs[i][0], fitted[i]) for i in range(3)]).toPandas()
+    rows.release()
+    for i, (n, _) in enumerate(jobs):
+        want = evaluate.model_counts([fitted[i]], twice.filter(F.col("fold") == n)).orderBy(
+            "score").toPandas()
+        ours = found[found["model"] == i].sort_values("score")
+        assert ours["score"].to_numpy() == pytest.approx(want["score"].to_numpy(), abs=1e-9)
+        assert (ours[["pos", "neg"]].to_numpy() == want[["pos", "neg"]].to_numpy()).all()
+    twice.unpersist()
+
+
+def test_a_fold_without_a_class_is_left_to_mllib(data):
+    """Rows of one class beside a fold of both: a constant model, as before."""
+    rows = data.train.withColumn("fold", F.when(F.col("label") == 1, 0).otherwise(
+        F.col("fold") % 2)).persist()
+    estimator = models.logistic_regression(maxIter=5)
+    grid = models.logistic_grid(estimator)[:1]
+    plain, ours = (models.cross_validate(
+        rows, estimator, grid, folds=2, side_by_side=s) for s in (False, True))
+    rows.unpersist()
+    assert plain.scores[0] == ours.scores[0] and plain.scores[0][2] == 0.5
+    assert [s[2:] for s in plain.scores] == [s[2:] for s in ours.scores]
+
+
 def test_deep_trees_come_first_and_the_winner_is_spread(data, monkeypatch):
     """A long fit that started last, or a refit in a fold's few tasks, would run alone."""
     estimator = models.decision_tree()
